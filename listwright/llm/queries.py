@@ -24,6 +24,32 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import quantized, top_k
+
+    vectors = quantized(table(spark, sf_dir, "embeddings"))
+    return top_k(vectors, vectors.where("vec_id % 50 = 0"), 5)
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import graded
+
+    return graded(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hnsw import build_index, nonzero, search
+
+    vectors = nonzero(table(spark, sf_dir, "embeddings"))
+    return search(build_index(vectors), vectors.where("vec_id % 100 = 0"), 10)
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
@@ -55,9 +81,32 @@ FROM digest WINDOW same AS (PARTITION BY html)
 """
 
 
+ORACLE_OP4 = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0),
+ranked AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+QUERIES: dict[str, Query] = {
+    "op1_warc": op1_warc,
+    "op4_exact_top_k": op4_exact_top_k,
+    "op5_quality_classifier": op5_quality_classifier,
+    "op6_hnsw": op6_hnsw,
+    "op7_toxicity": op7_toxicity,
+    "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_byte_bpe": op9_byte_bpe,
+}
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_warc": op1_warc, "op8_best_fit_packing": op8_best_fit_packing, "op9_byte_bpe": op9_byte_bpe}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": ORACLE_OP1}
+    return {"op1_warc": ORACLE_OP1, "op4_exact_top_k": ORACLE_OP4}
