@@ -12,7 +12,8 @@ RADIUS, AXIS, FLATTENING = 6371000.0, 6378137.0, 1 / 298.257223563
 def haversine(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
     half = lambda a, b: F.pow(F.sin(F.radians(b - a) / 2), 2)
     h = half(lat1, lat2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * half(lng1, lng2)
-    return 2 * RADIUS * F.asin(F.least(F.lit(1.0), F.sqrt(h)))
+    # least() would pass over a null
+    return F.when(h.isNotNull(), 2 * RADIUS * F.asin(F.least(F.lit(1.0), F.sqrt(h))))
 
 
 def ellipsoidal(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:

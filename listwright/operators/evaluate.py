@@ -66,7 +66,7 @@ def partition(cases: DataFrame, name: str, holdout: DataFrame | None = None) ->
 
 
 def confusion(results: DataFrame) -> DataFrame:
-    return results.groupBy("expected_routing").pivot("routing", ROUTINGS).agg(F.count("*")).na.fill(0, ROUTINGS)
+    return results.groupBy("expected_routing").pivot("routing", ROUTINGS).agg(F.count(F.lit(1))).na.fill(0, ROUTINGS)
 
 
 def metrics(results: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from listwright.plans import catalog, discovery_queries  # noqa: F401
+from listwright.plans import catalog, discovery_queries, matching_queries, report_queries, state_queries  # noqa: F401
 from listwright.plans.catalog import Query
 
 
