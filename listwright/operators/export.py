@@ -92,9 +92,9 @@ def sitemap(visible: DataFrame, base_url: str) -> DataFrame:
 
 
 def money(value: Column, currency: Column) -> Column:
-    """Brazilian notation: thousands by points, cents by a comma."""
+    """Brazilian notation: thousands by points, cents by a comma, a no-break space after the sign."""
     sign = F.when(F.coalesce(currency, F.lit("BRL")) == "BRL", "R$").otherwise(currency)
-    return F.concat(sign, F.lit(" "), F.translate(F.format_number(value, 2), ",.", ".,"))
+    return F.concat(sign, F.lit("\u00a0"), F.translate(F.format_number(value, 2), ",.", ".,"))
 
 
 def price_text(free: Column, low: Column, high: Column, currency: Column) -> Column:

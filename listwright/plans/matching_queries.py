@@ -85,11 +85,12 @@ def signal_temporal(spark, sf_dir):
     return rows.select("doc_id", F.round("t.similarity", 9).alias("similarity"), "t.conflict", "t.evidence")
 
 
-METRES = sql_haversine("l.lat", "l.lng", "r.lat", "r.lng")
+# least() and greatest() pass over nulls
+METRES = f"CASE WHEN l.lat IS NOT NULL AND r.lat IS NOT NULL THEN {sql_haversine('l.lat', 'l.lng', 'r.lat', 'r.lng')} END"
 VENUES = "l.venue IS NOT NULL AND r.venue IS NOT NULL"
 
 
-@query(f"WITH {BOTH} SELECT doc_id, CASE WHEN {VENUES} THEN round(greatest(0e0, 1 - {METRES} / 1000), 9) END AS similarity FROM p")
+@query(f"WITH {BOTH} SELECT doc_id, CASE WHEN {VENUES} AND l.lat IS NOT NULL AND r.lat IS NOT NULL THEN round(greatest(0e0, 1 - {METRES} / 1000), 9) END AS similarity FROM p")
 def signal_geo(spark, sf_dir):
     return sided(spark, sf_dir).select("doc_id", F.round(M.geo_signal(F.col("left.venue"), F.col("right.venue")), 9).alias("similarity"))
 
@@ -121,7 +122,7 @@ def signal_url(spark, sf_dir):
 
 ASSESS_SQL = f"""{TIME_SQL}, {VENUE_SQL.replace('{0}', 'temporal')},
   sig AS (SELECT *, {sql_token_similarity('l_title', 'r_title')} AS title_sim, CASE WHEN {VENUES} THEN {METRES} END AS metres, {URL_SQL} AS url_sim FROM venue),
-  sc AS (SELECT *, least(1e0, greatest(0e0, (0.4e0 * title_sim + coalesce(0.2e0 * vsim, 0) + 0.2e0 * tsim + coalesce(0.1e0 * greatest(0e0, 1 - metres / 1000), 0)) / (0.4e0 + CASE WHEN vsim IS NULL THEN 0 ELSE 0.2e0 END + 0.2e0 + CASE WHEN metres IS NULL THEN 0 ELSE 0.1e0 END)
+  sc AS (SELECT *, least(1e0, greatest(0e0, (0.4e0 * title_sim + coalesce(0.2e0 * vsim, 0) + 0.2e0 * tsim + CASE WHEN metres IS NULL THEN 0 ELSE 0.1e0 * greatest(0e0, 1 - metres / 1000) END) / (0.4e0 + CASE WHEN vsim IS NULL THEN 0 ELSE 0.2e0 END + 0.2e0 + CASE WHEN metres IS NULL THEN 0 ELSE 0.1e0 END)
     + CASE WHEN url_sim = 1 THEN 0.05e0 ELSE 0 END)) AS score,
     list_filter([tconflict, CASE WHEN {VENUES} AND l.city <> r.city THEN 'city_conflict' END, CASE WHEN {VENUES} AND CASE WHEN metres IS NOT NULL THEN metres > 1500 ELSE name_sim < 0.2 END THEN 'venue_conflict' END], lambda x: x IS NOT NULL) AS conflicts FROM sig),
   done AS (SELECT doc_id, round(score, 9) AS score, array_to_string(conflicts, ',') AS conflicts, CASE WHEN list_has_any(conflicts, ['date_conflict', 'time_conflict', 'city_conflict', 'edition_conflict']) THEN 'separate' WHEN len(conflicts) > 0 THEN 'review'

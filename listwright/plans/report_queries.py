@@ -156,7 +156,7 @@ def display_occurrences(spark, sf_dir):
     return view(spark, sf_dir, "v_occurrences").select("id", X.occurrence_text(c("temporal_kind"), c("starts_at"), c("start_date"), c("end_date")).alias("occurrence_text"))
 
 
-@query("""SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN 'Grátis' WHEN p_partkey % 5 = 0 THEN NULL ELSE 'R$ ' || replace(replace(replace(format('{:,.2f}', p_retailprice), ',', ';'), '.', ','), ';', '.') END AS price_text,
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN 'Grátis' WHEN p_partkey % 5 = 0 THEN NULL ELSE 'R$' || chr(160) || replace(replace(replace(format('{:,.2f}', p_retailprice), ',', ';'), '.', ','), ';', '.') END AS price_text,
   CASE WHEN p_size < 10 THEN CAST(p_size * 100 AS VARCHAR) || ' m' ELSE replace(format('{:.1f}', p_size / 10e0), '.', ',') || ' km' END AS distance_text FROM part""")
 def display_prices(spark, sf_dir):
     k, price = F.col("p_partkey"), F.col("p_retailprice")
