@@ -24,6 +24,12 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op2_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffixes import suffix_report
+
+    return suffix_report(table(spark, sf_dir, "documents"))
+
+
 def op3_content_defined_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring import substring_report
 
@@ -107,6 +113,7 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 
 QUERIES: dict[str, Query] = {
     "op1_warc": op1_warc,
+    "op2_suffix_array": op2_suffix_array,
     "op3_content_defined_chunks": op3_content_defined_chunks,
     "op4_exact_top_k": op4_exact_top_k,
     "op5_quality_classifier": op5_quality_classifier,

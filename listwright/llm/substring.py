@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -67,6 +67,19 @@ def numbered(docs: DataFrame, name: str) -> DataFrame:
     return written(docs.withColumn("row", F.monotonically_increasing_id()), name)
 
 
+def identified(docs: DataFrame, name: str) -> DataFrame:
+    """The documents with a column `row` that is the same in each plan they are used in.
+
+    Rows of a scan of files are numbered by their place in it, which every run of the scan repeats; rows that come from
+    anything else are written first.
+    """
+    try:
+        docs.select("_metadata.file_path")
+    except AnalysisException:
+        return numbered(docs, name)
+    return docs.withColumn("row", F.monotonically_increasing_id())
+
+
 def chunks(docs: DataFrame) -> DataFrame:
     """(row, doc_id, at, size, digest) of every chunk; docs has row, doc_id and text."""
 
