@@ -75,7 +75,7 @@ TICKET_ROWS = """SELECT doc_id, lang, source, n_chars, substr(text, 1, 60) AS na
 
 @query(f"""WITH r AS ({TICKET_ROWS})
   SELECT doc_id, CASE WHEN code = 'other' THEN 'unmappable status: other' WHEN begins IS NULL THEN 'no precise start' END AS reason, CASE code WHEN 'onsale' THEN 'scheduled' WHEN 'offsale' THEN 'scheduled' WHEN 'canceled' THEN 'cancelled' WHEN 'other' THEN NULL ELSE code END AS status,
-    {sql_stamp("CAST(begins AS TIMESTAMP)")} AS starts_at, CASE WHEN doc_id % 3 = 0 THEN lang ELSE source END AS category_id, CASE WHEN doc_id % 4 = 0 THEN source END AS venue_name, CASE WHEN doc_id % 4 = 0 THEN -30.5 END AS latitude, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE doc_id % 5 = 1 END AS free FROM r""")
+    {sql_stamp("CAST(begins AS TIMESTAMP)")} AS starts_at, CASE WHEN doc_id % 3 = 0 THEN lang ELSE source END AS category_id, CASE WHEN doc_id % 4 = 0 THEN source END AS venue_name, CASE WHEN doc_id % 4 = 0 THEN -30.5e0 END AS latitude, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE doc_id % 5 = 1 END AS free FROM r""")
 def normalize_ticket_reasons(spark, sf_dir):
     d = F.col("doc_id")
     rows = documents_as(spark, sf_dir, TICKET_ROWS)
@@ -260,8 +260,8 @@ def multi_source_union(spark, sf_dir):
 # specified in documents only
 
 
-@query("""SELECT e.id, round(0.15 + 0.20 + CASE WHEN venue_id IS NOT NULL THEN 0.15 ELSE 0 END + CASE WHEN latitude IS NOT NULL THEN 0.10 ELSE 0 END + 0.10 + CASE WHEN free IS NOT NULL THEN 0.05 ELSE 0 END + CASE WHEN doc_id % 8 = 0 THEN 0.10 ELSE 0 END, 6) AS quality,
-  round(0.30 * (doc_id % 10) / 10 + 0.30 * 0.5 + 0.20 * (0.5 + (doc_id % 5) / 10e0), 6) AS ranking FROM v_events e LEFT JOIN v_venues v ON v.id = e.venue_id""")
+@query("""SELECT e.id, round(0.15e0 + 0.20e0 + CASE WHEN venue_id IS NOT NULL THEN 0.15e0 ELSE 0 END + CASE WHEN latitude IS NOT NULL THEN 0.10e0 ELSE 0 END + 0.10e0 + CASE WHEN free IS NOT NULL THEN 0.05e0 ELSE 0 END + CASE WHEN doc_id % 8 = 0 THEN 0.10e0 ELSE 0 END, 6) AS quality,
+  round(0.30e0 * (doc_id % 10) / 10 + 0.30e0 * 0.5e0 + 0.20e0 * (0.5e0 + (doc_id % 5) / 10e0), 6) AS ranking FROM v_events e LEFT JOIN v_venues v ON v.id = e.venue_id""")
 def spec_scores(spark, sf_dir):
     e, v = view(spark, sf_dir, "v_events"), view(spark, sf_dir, "v_venues").select(F.col("id").alias("venue_id"), "latitude")
     d = F.col("doc_id")
