@@ -155,33 +155,86 @@ def validated(requests: DataFrame, now: Column) -> DataFrame:
 CELL, WEEK = 0.25, 7
 
 
+def week_of(day: Column) -> Column:
+    return F.floor(F.datediff(day, F.lit("1970-01-01").cast("date")) / WEEK)
+
+
+def cell_of(degrees: Column) -> Column:
+    return F.floor(degrees / CELL)
+
+
+def meridian_cell(cell: Column) -> Column:
+    """The cell of a longitude, the same on both sides of the date line."""
+    return F.pmod(cell, F.lit(int(360 / CELL)))
+
+
+def by_dates(asked: DataFrame, dated: DataFrame) -> DataFrame:
+    """Requests with dates meet occurrences by status and by the weeks of local dates."""
+    c = F.col
+    left = dated.withColumn("bucket", F.explode(F.sequence(week_of(c("first")), week_of(c("last")))))
+    right = asked.where("`from` is not null").select("request_id", "status", "from", "to", F.explode(F.sequence(week_of(c("from")), week_of(c("to")))).alias("bucket"))
+    hit = left.join(right, ["bucket", "status"]).where((c("first") <= c("to")) & (c("last") >= c("from")))
+    return hit.groupBy("request_id", "id").agg(F.min("instant").alias("sort_instant"))
+
+
+def by_cells(asked: DataFrame, events: DataFrame) -> DataFrame:
+    """Requests with a place and no dates meet events by status and grid cell; near the poles by cells of latitude."""
+    c = F.col
+    d_lat = c("radius") / 110000.0
+    polar = F.abs("lat") + d_lat > 89.0
+    d_lng = F.when(polar, 180.0).otherwise(c("radius") / (F.cos(F.radians(F.least(F.abs("lat") + d_lat, F.lit(89.0)))) * 110000.0))
+    near = asked.where("`from` is null and lat is not null").select("request_id", "status", "lng", d_lng.alias("d"), F.explode(F.sequence(cell_of(c("lat") - d_lat), cell_of(c("lat") + d_lat))).alias("row"))
+    columns = F.array_distinct(F.transform(F.sequence(cell_of(c("lng") - c("d")), cell_of(c("lng") + c("d"))), meridian_cell))
+    near = near.select("request_id", "status", "row", F.explode(columns).alias("column"))
+    placed = events.where("latitude is not null and longitude is not null").select("id", "status", "sort_instant", cell_of(c("latitude")).alias("row"), meridian_cell(cell_of(c("longitude"))).alias("column"))
+    return placed.join(near, ["status", "row", "column"]).select("request_id", "id", "sort_instant")
+
+
+def by_lists(asked: DataFrame, events: DataFrame) -> DataFrame:
+    """Requests without dates, place and text want the first events of their status, category and price: lists of
+    MAX_LIMIT events, which Spark cuts in the tasks before it exchanges them."""
+    c = F.col
+    plain = asked.where("`from` is null and lat is null and q is null")
+    out = None
+    for keys in (["status"], ["status", "category"], ["status", "free"], ["status", "category", "free"]):
+        own = events.withColumnRenamed("category_id", "category").dropna(subset=keys)
+        first = own.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("sort_instant", "id"))).where(c("_n") <= MAX_LIMIT)
+        wants = [c(k).isNotNull() if k in keys else c(k).isNull() for k in ("category", "free")]
+        rows = first.select(*keys, "id", "sort_instant").join(plain.where(wants[0] & wants[1]).select("request_id", *keys), keys).select("request_id", "id", "sort_instant")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def by_status(asked: DataFrame, events: DataFrame) -> DataFrame:
+    """Requests of a text only: any event may be similar, so they meet all of their status."""
+    wanted = asked.where("`from` is null and lat is null and q is not null").select("request_id", "status")
+    return events.select("id", "status", "sort_instant").join(wanted, "status").select("request_id", "id", "sort_instant")
+
+
 def discover_batch(events: DataFrame, occurrences: DataFrame, venues: DataFrame, requests: DataFrame, suppressed: DataFrame | None = None) -> DataFrame:
     """(request_id, rank, id, sort_instant, distance_meters) of many good requests (request_id, params) in one job.
 
-    Requests meet events by equality: of status, and of the week of a local date, or of a week-less key for requests
-    without dates. Category, price, text and distance are residual filters. Each request's rows are cut to its limit
+    Each request meets events by equality on its most selective part: weeks, else grid cells, else short lists, else
+    status alone (a text without dates or place). All its conditions are then checked, and its rows are cut to its limit
     by a rank within the request.
     """
     c = F.col
     asked = requests.select("request_id", "params.*").withColumnRenamed("start", "from").withColumnRenamed("end", "to")
-    week = lambda d: F.floor(F.datediff(d, F.lit("1970-01-01").cast("date")) / WEEK)
     occ = occurrences if "ends_at" in occurrences.columns else occurrences.withColumn("ends_at", F.lit(None).cast("timestamp"))
     occ = occ.select(
         c("event_id").alias("id"), effective_instant(c("temporal_kind"), c("starts_at"), c("start_date")).alias("instant"),
         local_start(c("temporal_kind"), c("starts_at"), c("start_date")).alias("first"), local_end(c("temporal_kind"), c("starts_at"), c("ends_at"), c("start_date"), c("end_date")).alias("last"),
     )
-    dated = asked.where("`from` is not null").withColumn("bucket", F.explode(F.sequence(week(c("from")), week(c("to")))))
     own = events.select("id", "category_id", "status", "free", "title", "description", "venue_id")
     if suppressed is not None:
         own = own.join(suppressed.select("id"), "id", "left_anti")
-    by_week = occ.withColumn("bucket", F.explode(F.sequence(week(c("first")), week(c("last"))))).join(own.select("id", "status"), "id")
-    hit = by_week.join(dated, ["bucket", "status"]).where((c("first") <= c("to")) & (c("last") >= c("from"))).groupBy("request_id", "id").agg(F.min("instant").alias("sort_instant"))
-    undated = asked.where("`from` is null").select("request_id", "status")
-    every = occ.groupBy("id").agg(F.min("instant").alias("sort_instant")).join(own.select("id", "status"), "id").join(undated, "status").select("request_id", "id", "sort_instant")
-    rows = hit.unionByName(every).join(asked, "request_id").withColumnRenamed("status", "asked_status").withColumnRenamed("free", "asked_free").join(own, "id")
-    rows = rows.where((c("category").isNull() | (c("category") == c("category_id"))) & (c("asked_free").isNull() | c("free").eqNullSafe(c("asked_free"))))
     places = venues.select(c("id").alias("venue_id"), c("name").alias("venue_name"), "latitude", "longitude")
-    rows = rows.join(places, "venue_id", "left").withColumn("distance_meters", F.when(c("lat").isNotNull(), ellipsoidal(c("latitude"), c("longitude"), c("lat"), c("lng"))))
+    placed = own.join(places, "venue_id", "left")
+    timed = placed.join(occ.groupBy("id").agg(F.min("instant").alias("sort_instant")), "id")
+    hits = by_dates(asked, occ.join(own.select("id", "status"), "id")).unionByName(by_cells(asked, timed)).unionByName(by_lists(asked, timed)).unionByName(by_status(asked, timed))
+    rows = hits.join(asked.withColumnRenamed("status", "asked_status").withColumnRenamed("free", "asked_free"), "request_id").join(placed, "id")
+    rows = rows.where((c("category").isNull() | (c("category") == c("category_id"))) & (c("asked_free").isNull() | c("free").eqNullSafe(c("asked_free"))))
+    rows = rows.withColumn("distance_meters", F.when(c("lat").isNotNull(), ellipsoidal(c("latitude"), c("longitude"), c("lat"), c("lng"))))
     rows = rows.where(c("lat").isNull() | (c("distance_meters") <= c("radius")))
     rows = rows.where(c("q").isNull() | text_match(c("q"), c("title"), c("description"), c("venue_name")))
     order = Window.partitionBy("request_id").orderBy(F.asc_nulls_first("distance_meters"), "sort_instant", "id")
