@@ -207,7 +207,8 @@ def packed(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         F.col("length").alias("of_length"),
         F.expr("sum(n) over (partition by length order by part) - n").alias("shift"),
     )
-    ranked = pieces.join(shift, (F.col("part") == F.col("of_part")) & (F.col("length") == F.col("of_length")))
+    # as many rows as tasks x lengths: never broadcast
+    ranked = pieces.join(shift.hint("merge"), (F.col("part") == F.col("of_part")) & (F.col("length") == F.col("of_length")))
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("local_rank") + F.col("shift")).alias("rank"))
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
