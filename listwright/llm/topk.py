@@ -87,10 +87,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     ranked = local.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") == k).select("query_id", F.col("score").alias("cutoff"))
     # a block's cutoffs travel with its queries: never more than BLOCK of them in a row
     members = asked.select("block", F.explode("ids").alias("query_id"))
-    with_cutoff = members.join(ranked, "query_id").groupBy("block").agg(F.map_from_entries(F.collect_set(F.struct("query_id", "cutoff"))).alias("cutoffs"))
-    asked = written(asked.join(with_cutoff, "block", "left"), "topk-cutoffs")
+    with_cutoff = members.join(ranked.hint("merge"), "query_id").groupBy("block").agg(F.map_from_entries(F.collect_set(F.struct("query_id", "cutoff"))).alias("cutoffs"))
+    asked = written(asked.join(with_cutoff.hint("merge"), "block", "left"), "topk-cutoffs")
 
-    pairs = paired(shards, asked.drop("cutoffs"), [*of_pair, "q_block"]).join(asked.select(F.col("block").alias("q_block"), "cutoffs"), "q_block").select(*of_pair, "cutoffs")
+    pairs = paired(shards, asked.drop("cutoffs"), [*of_pair, "q_block"]).join(asked.select(F.col("block").alias("q_block"), "cutoffs").hint("merge"), "q_block").select(*of_pair, "cutoffs")
 
     def collected(width: int, ids: list, data: bytes, q_ids: list, q_data: bytes, cutoffs: list | None) -> tuple:
         return collect(width, ids, data, q_ids, q_data, dict(cutoffs or []))

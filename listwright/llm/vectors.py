@@ -69,7 +69,7 @@ def paired(shards: DataFrame, queries: DataFrame, columns: list[str]) -> DataFra
         F.col("block").alias("q_block"), F.col("width").alias("q_width"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"),
         F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long"))).alias("q_slot"),
     )
-    both = left.join(right, (F.col("slot") == F.col("q_slot")) & (F.col("width") == F.col("q_width")))
+    both = left.join(right.hint("merge"), (F.col("slot") == F.col("q_slot")) & (F.col("width") == F.col("q_width")))
     return both.select(*columns)
 
 
