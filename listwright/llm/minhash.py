@@ -8,14 +8,16 @@ documents of similarity s share no table only if they agree in no half key of on
 1. A scan makes each document's set, its size, a digest of it and its signature. Equal sets are one class.
 2. Half keys that only one class has can't link anything and are dropped before tables are formed.
 3. In each table's bucket every class meets a leader: the class of smallest hash in its sixteenth of the bucket, and
-   those leaders the smallest of all. So a bucket of n classes gives n pairs at most, never n^2; other pairs meet in
-   other buckets, of which similar classes share many, where neither a leader of theirs is, and in later rounds. Pairs whose sizes rule the similarity out,
-   or whose signatures agree in fewer than 16 of 40 minhashes, are dropped (the latter happens to a pair of
-   similarity 0.75 less than once in a million).
+   those leaders the smallest of all. So a bucket of n classes gives n pairs at most, never n^2. Pairs whose sizes rule
+   the similarity out, or whose signatures agree in fewer than 16 of 40 minhashes, are dropped (the latter happens to
+   a pair of similarity 0.75 less than once in a million).
 4. Sets of the paired classes are made anew from their texts, and links are confirmed on them, first one pair for each
-   class, then those whose classes aren't in one component yet. Buckets that still hold several components are
-   paired again by other leaders, ROUNDS times at most.
-5. Components by propagation of the smallest id along links, with a shortcut through each neighbour's own label.
+   class, then those whose classes aren't in one component yet. Buckets that still hold several components and a pair
+   not tried are paired once more, each by leaders of its own.
+5. All classes of buckets that are still open meet in an exact join on their rarest shingles (`exact_pairs`), which
+   leaves out no similar pair of two components. So leaders only save work: no link between classes that share a table
+   depends on them.
+6. Components by propagation of the smallest id along links, with a shortcut through each neighbour's own label.
 
 Defined results. Documents with a null text, or without words, have an empty set and are linked with nothing. With
 fewer words than a shingle has, the whole sequence is the one shingle. Repeated rows of a doc_id are one document each
@@ -39,8 +41,8 @@ from .common import written
 WORDS, SIMILARITY = 5, (75, 100)
 COLLECTION, HALF = 10, 2
 MINHASHES = 2 * COLLECTION * HALF
-#: Minhashes that a pair must agree in before its sets are compared; rounds of pairing at most.
-LEAST_AGREE, ROUNDS = 16, 2
+#: Minhashes that a pair must agree in before its sets are compared; tokens in a batch of `exact_pairs`.
+LEAST_AGREE, TOKENS = 16, 200_000
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 EMPTY = np.zeros(0, np.uint64)
@@ -143,8 +145,8 @@ def pairs_of(keys: DataFrame, minhashes: DataFrame, seed: int) -> DataFrame:
 
     A bucket is dealt in 16 parts by a salt, so that one that holds a third of all classes isn't one task's.
     """
-    # one order for all buckets of a round, so that a class meets few leaders although it's in many buckets
-    order = F.xxhash64(F.lit(seed), "id")
+    # at first one order for all buckets, so that a class meets few leaders although it's in many buckets
+    order = F.xxhash64(F.lit(seed), "key", "id") if seed else F.xxhash64(F.lit(seed), "id")
     rows = keys.select("key", "id", order.alias("order"))
     rows = rows.withColumn("salt", F.pmod(F.col("order"), F.lit(16)).cast("int"))
     parts = rows.groupBy("key", "salt").agg(F.min(F.struct("order", "id")).alias("first"), F.count("*").alias("n"))
@@ -154,7 +156,11 @@ def pairs_of(keys: DataFrame, minhashes: DataFrame, seed: int) -> DataFrame:
     own = parts.where("n > 1").select("key", "salt", "leader").join(rows.select("key", "salt", "id"), ["key", "salt"]).select("id", "leader")
     up = parts.select("key", F.col("leader").alias("id")).join(heads.hint("merge"), "key").select("id", "leader")
     both = own.unionByName(up).where("id <> leader")
-    both = both.select(F.least("id", "leader").alias("x"), F.greatest("id", "leader").alias("y")).distinct()
+    return alike(both.select(F.least("id", "leader").alias("x"), F.greatest("id", "leader").alias("y")).distinct(), minhashes)
+
+
+def alike(both: DataFrame, minhashes: DataFrame) -> DataFrame:
+    """The pairs (x, y) whose sizes and signatures don't rule the similarity out."""
     named = minhashes.select(F.col("id").alias("x"), F.col("minhashes").alias("of_x"), F.col("n_shingles").alias("n_x"))
     other = minhashes.select(F.col("id").alias("y"), F.col("minhashes").alias("of_y"), F.col("n_shingles").alias("n_y"))
     near = both.join(named.hint("merge"), "x").join(other.hint("merge"), "y")
@@ -231,6 +237,51 @@ def apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
     return rows.where(F.coalesce("of_x", "x") != F.coalesce("of_y", "y")).select("x", "y")
 
 
+def open_keys(keys: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of buckets that may hold an untried pair of two components: in a bucket of two the pair has been tried."""
+    placed = keys.join(found.hint("merge"), "id", "left").select("key", F.coalesce("component", "id").alias("component"))
+    several = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("n"))
+    several = written(several.where("a < b and n > 2").select("key"), "minhash-open")
+    return written(keys.join(several.hint("merge"), "key"), "minhash-open-keys")
+
+
+def exact_pairs(ids: DataFrame, sets: DataFrame, found: DataFrame) -> DataFrame:
+    """Pairs (x, y), x < y, of the classes `ids`, among them all similar ones of two components.
+
+    Shingles are ordered by the number of classes that have them, those of one component only before all others. Sets
+    of n and m shingles that are similar share one among the first n - ceil(0.75 n) + 1 of the one and so of the other;
+    the first that they share also leaves enough behind it for the least overlap. A passage that unlike classes share
+    is frequent, comes late and gives no pair.
+    """
+    of = sets.join(ids.hint("merge"), "id").join(found.hint("merge"), "id", "left").select("id", F.coalesce("component", "id").alias("component"), "hashes")
+
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = np.array([len(x) // 8 for x in batch.column(2).to_pylist()], np.int64)
+            part = np.cumsum(size) // TOKENS
+            for k in np.unique(part):
+                at = np.flatnonzero(part == k)
+                own = batch.slice(at[0], len(at))
+                cols = [pa.array(np.repeat(own.column(i).to_numpy(), size[at])) for i in (0, 1)]
+                token = np.frombuffer(b"".join(own.column(2).to_pylist()), np.int64)
+                cols += [pa.array(np.repeat(size[at], size[at])), pa.array(token)]
+                yield pa.RecordBatch.from_arrays(cols, names=["id", "component", "n", "token"])
+
+    every = written(of.mapInArrow(tokens, "id long, component long, n long, token long"), "minhash-tokens")
+    several = every.groupBy("token").agg(F.count("*").alias("many"), F.min("component").alias("a"), F.max("component").alias("b")).where("a < b")
+    several = written(several.select("token", "many"), "minhash-several")
+    own = every.join(several.hint("merge"), "token").groupBy("id", "component", "n").agg(F.sort_array(F.collect_list(F.struct("many", "token"))).alias("own"))
+    own = own.withColumn("alone", F.col("n") - F.size("own"))
+    own = own.withColumn("first", F.expr(f"n - (n * {SIMILARITY[0]} + {SIMILARITY[1] - 1}) div {SIMILARITY[1]} + 1 - alone")).where("first > 0")
+    rows = own.select("id", "component", "n", "alone", F.posexplode(F.slice("own", F.lit(1), F.col("first").cast("int"))))
+    rows = written(rows.select("id", "component", "n", (F.col("n") - F.col("alone") - F.col("pos")).alias("left"), F.col("col.token").alias("token")), "minhash-first")
+    x = rows.select(F.col("token").alias("of_x"), F.col("id").alias("x"), F.col("component").alias("in_x"), F.col("n").alias("n_x"), F.col("left").alias("left_x"))
+    y = rows.select(F.col("token").alias("of_y"), F.col("id").alias("y"), F.col("component").alias("in_y"), F.col("n").alias("n_y"), F.col("left").alias("left_y"))
+    enough = F.least("left_x", "left_y") * sum(SIMILARITY) >= (F.col("n_x") + F.col("n_y")) * SIMILARITY[0]
+    near = (F.col("of_x") == F.col("of_y")) & (F.col("x") < F.col("y")) & (F.col("in_x") != F.col("in_y")) & enough
+    return x.join(y.hint("merge"), near).select("x", "y").distinct()
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document."""
     sketches = written(sketched(docs), "minhash-sketches")
@@ -240,22 +291,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     reps = written(reps, "minhash-reps")
     keys = written(tabled(reps), "minhash-tables")
     sets = written(shingle_sets(docs, keys.select("id").distinct()), "minhash-sets")
-    # first each class with one other, which joins most of a group; then what is still apart
-    pairs = written(pairs_of(keys, reps, 0), "minhash-pairs")
-    tried = written(pairs.groupBy("y").agg(F.min("x").alias("x")).select("x", "y"), "minhash-own")
-    links = written(confirmed(tried, sets), "minhash-links")
-    found = components(links)
-    for seed in range(ROUNDS):
-        if seed:  # buckets that still hold more than one component, under other leaders
-            placed = keys.join(found.hint("merge"), "id", "left").select("key", F.coalesce("component", "id").alias("component"))
-            several = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("key")
-            pairs = pairs_of(keys.join(written(several, "minhash-open").hint("merge"), "key"), reps, seed)
-        own = written(apart(pairs, found).join(tried.hint("merge"), ["x", "y"], "left_anti"), "minhash-own")
-        tried = tried.unionByName(own)
-        good = written(confirmed(own, sets), "minhash-links")
-        if not good.isEmpty():
-            links = links.unionByName(good)
-            found = components(links)
+    links = tried = written(docs.sparkSession.createDataFrame([], "x long, y long"), "minhash-links")
+    found, todo = components(links), keys
+    for seed in range(3):  # leaders of a common order, leaders of each bucket, then all that's left
+        if seed:
+            todo = open_keys(todo, found)
+            if todo.isEmpty():
+                break
+        pairs = pairs_of(todo, reps, seed) if seed < 2 else alike(exact_pairs(todo.select("id").distinct(), sets, found), reps)
+        pairs = written(apart(pairs.join(tried.hint("merge"), ["x", "y"], "left_anti"), found), "minhash-pairs")
+        for first in (True, False):
+            # first each class with one other, which joins most of a group; then what is still apart
+            own = pairs.groupBy("y").agg(F.min("x").alias("x")).select("x", "y") if first else apart(pairs.join(tried.hint("merge"), ["x", "y"], "left_anti"), found)
+            own = written(own, "minhash-own")
+            if own.isEmpty():
+                break
+            tried = tried.unionByName(own)
+            good = written(confirmed(own, sets), "minhash-links")
+            if not good.isEmpty():
+                links = links.unionByName(good)
+                found = components(links)
     of_class = classes.join(found.hint("merge"), "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
     of_class = written(of_class, "minhash-components")
     rows = sketches.join(of_class.hint("merge"), "digest", "left")

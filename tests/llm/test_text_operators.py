@@ -165,6 +165,34 @@ def test_minhash_groups_are_those_of_brute_force(spark, docs):
     assert rows_of(minhash.near_duplicates(docs)) == brute_groups(corpus())
 
 
+def edited_copies():
+    """300 copies of one text with 5 to 7 words replaced: a large group of related texts, median similarity about 0.7."""
+    base, draw, rows = words(31, 300).split(), np.random.default_rng(6), []
+    for i in range(300):
+        own = list(base)
+        for j in draw.choice(300, draw.integers(5, 8), replace=False):
+            own[j] = f"e{i}x{j}"
+        rows.append((i, " ".join(own)))
+    return rows
+
+
+def test_minhash_links_edited_copies_as_brute_force(spark):
+    rows = edited_copies()
+    want = brute_groups(rows)
+    assert 1 < len({r[2] for r in want}) < len(rows)
+    assert rows_of(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))) == want
+
+
+def test_minhash_exact_pairs_leave_out_no_link(spark):
+    unlike = [r for r in near_copies() if r[0] >= 400]  # share a passage only, so they give no pair
+    sets = [(i, minhash.Shingler().hashes(t)) for i, t in edited_copies()[:120] + unlike]
+    df = written(spark.createDataFrame([(i, s.tobytes()) for i, s in sets], "id long, hashes binary"), "sets")
+    got = {tuple(r) for r in minhash.exact_pairs(df.select("id"), df, spark.createDataFrame([], "id long, component long")).collect()}
+    both = [(a, b, len(np.intersect1d(x, y)), len(np.union1d(x, y))) for a, x in sets for b, y in sets if a < b]
+    want = {(a, b) for a, b, n, m in both if 100 * n >= 75 * m}
+    assert want and want <= got and all(b < 400 for _, b in got)
+
+
 def test_minhash_of_nothing(empty):
     assert minhash.near_duplicates(empty).count() == 0
 
