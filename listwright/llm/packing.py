@@ -36,6 +36,8 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part
 class Words:
     """A tokenizer with the ids of words it has met, as bytes. One for each Python worker, which serves many tasks.
 
+    The tokenizer's added tokens have their ids where their exact strings stand in a text (`parts` cuts there first).
+    What is left between them has none, though lower-casing may make such a string: that is cut as any other word.
     A run of letters, or of punctuation, is one word to the tokenizer, so such runs are encoded many at a time and
     their ids divided at the tokens that end a word. Words of both are put together; all else is encoded alone.
     """
@@ -47,14 +49,26 @@ class Words:
         self.encoder = Tokenizer.from_file(tokenizer)
         self.encoder.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
+        self.added = {t.content: np.array([i], "<u4").tobytes() for i, t in self.encoder.get_added_tokens_decoder().items()}
+        self.border = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")")
         vocabulary = self.encoder.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
-    def learn(self, words: set[str]) -> None:
+    def parts(self, text: str | None) -> list[str | bytes]:
+        """The words of a text, and the ids, as bytes, of the added tokens that stand between them."""
+        if not text or not any(token in text for token in self.added):
+            return in_words(text)
+        out: list[str | bytes] = []
+        for k, part in enumerate(self.border.split(text)):
+            out += [self.added[part]] if k % 2 else in_words(part)
+        return out
+
+    def learn(self, words: set[str | bytes]) -> None:
         known = self.known
         if len(known) > CACHED_WORDS:
             known.clear()
+        known.update((x, x) for x in self.added.values())  # ids stand for themselves
         runs, mixed, other = [], [], []
         for w in words - known.keys():
             core = w.rstrip(PUNCTUATION)
@@ -112,7 +126,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY)
             out: list[tuple] = []
             ids = batch.column(0).to_pylist()
             for low in range(0, batch.num_rows, 200):
-                texts = [in_words(x) for x in batch.column(1).slice(low, 200).to_pylist()]
+                texts = [words.parts(x) for x in batch.column(1).slice(low, 200).to_pylist()]
                 words.learn(set().union(*texts))
                 for doc, own in zip(ids[low : low + 200], texts, strict=True):
                     code = b"".join(map(words.known.__getitem__, own)) + end

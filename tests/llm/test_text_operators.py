@@ -240,6 +240,23 @@ def test_packing_tokenizes_as_the_library(text):
     assert np.frombuffer(b"".join(words_.known[w] for w in own), "<u4").tolist() == encoder.encode(text, add_special_tokens=False).ids
 
 
+ADDED = ["ab <|endoftext|> cd", "ab<|endoftext|>cd", "x <|ENDOFTEXT|> y<|EndOfText|>", "ΟΔΟΣ<|endoftext|>ΣΑΣ", "a\x1c<|startoftext|>b", "<|endoftext|><|startoftext|>", "ab  <|endoftext|>\n cd", "<|endoftext|", "don<|startoftext|>'t", "e<|endoftext|>\u0301"]
+
+
+def test_packing_keeps_added_tokens(spark):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encoder = Tokenizer.from_file(path)
+    rows = list(enumerate(ADDED))
+    want = []
+    for i, text in rows:
+        ids = encoder.encode(text, add_special_tokens=False).ids + [1]
+        want.append((i, 0, 0, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+    got = packing.tokenized_pieces(spark.createDataFrame(rows, "doc_id long, text string"), path).collect()
+    assert sorted(tuple(r)[:5] for r in got) == want
+
+
 def test_packing_plan_places_all_and_wastes_little():
     draw = np.random.default_rng(1)
     counts = Counter(np.minimum(draw.lognormal(5.5, 1.3, 20000).astype(int) + 1, 4096).tolist())
