@@ -7,22 +7,23 @@ documents of similarity s share no table only if they agree in no half key of on
 
 1. A scan makes each document's set, its size, a digest of it and its signature. Equal sets are one class.
 2. Half keys that only one class has can't link anything and are dropped before tables are formed.
-3. In each table's bucket every class meets a leader: the class of smallest hash in its sixteenth of the bucket, and
-   those leaders the smallest of all. So a bucket of n classes gives n pairs at most, never n^2. Pairs whose sizes rule
-   the similarity out, or whose signatures agree in fewer than 16 of 40 minhashes, are dropped (the latter happens to
-   a pair of similarity 0.75 less than once in a million).
-4. Sets of the paired classes are made anew from their texts, and links are confirmed on them, first one pair for each
-   class, then those whose classes aren't in one component yet. Buckets that still hold several components and a pair
-   not tried are paired once more, each by leaders of its own.
-5. All classes of buckets that are still open meet in an exact join on their rarest shingles (`exact_pairs`), which
-   leaves out no similar pair of two components. So leaders only save work: no link between classes that share a table
-   depends on them.
-6. Components by propagation of the smallest id along links, with a shortcut through each neighbour's own label.
+3. In the COLLECTION tables of half keys of one place every class meets its bucket's leader: a bucket of n classes gives
+   n - 1 pairs. Links are confirmed on the sets of both, and make components. That joins most of each group.
+4. Of all tables' buckets only those go on that hold more than one component. Again each class meets its bucket's
+   leader, if that is of another component.
+5. All classes of the buckets of 4 meet in an exact join on their rarest shingles (`exact_pairs`), which leaves out no
+   similar pair of two components. So leaders only save work: no link between classes that share a table depends on
+   them, and there's no bound on rounds, partners or bucket sizes.
+6. Components by propagation of the smallest id along links, with a shortcut through each neighbour's own label; links
+   of 4 and 5 join the components found before.
+
+Hot groups: a bucket's leader and components come from an aggregation that Spark combines in the tasks; its rows meet
+that one row in a join whose sides are read from tables, so that AQE can split it.
 
 Defined results. Documents with a null text, or without words, have an empty set and are linked with nothing. With
 fewer words than a shingle has, the whole sequence is the one shingle. Repeated rows of a doc_id are one document each
-in the result and linked by their texts. Null doc_ids take part in no component and keep a null component_id. An empty
-table gives no rows. Other columns are ignored.
+in the result and linked by their texts, also if these differ. Null doc_ids take part in no component and keep a null
+component_id. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,8 +42,8 @@ from .common import written
 WORDS, SIMILARITY = 5, (75, 100)
 COLLECTION, HALF = 10, 2
 MINHASHES = 2 * COLLECTION * HALF
-#: Minhashes that a pair must agree in before its sets are compared; tokens in a batch of `exact_pairs`.
-LEAST_AGREE, TOKENS = 16, 200_000
+#: Shingles in a batch of `exact_pairs`; earlier shingles that one of its rows knows, so that a pair is met once.
+TOKENS, EARLIER = 200_000, 8
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 EMPTY = np.zeros(0, np.uint64)
@@ -100,6 +101,10 @@ def half_keys(own: np.ndarray) -> np.ndarray:
     return mixed((halves[:, 0] << np.uint64(32) | halves[:, 1]) + mixed(np.arange(1, 2 * COLLECTION + 1, dtype=np.uint64))).astype(np.int64)
 
 
+def digest_of(own: bytes) -> bytes:
+    return hashlib.blake2b(own, digest_size=16).digest()
+
+
 def texts_of(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
@@ -114,7 +119,7 @@ def sketched(docs: DataFrame, width: int = WORDS) -> DataFrame:
             for text in batch.column(1).to_pylist():
                 own = make.hashes(text)
                 n.append(len(own))
-                digest.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None)
+                digest.append(digest_of(own.tobytes()) if len(own) else None)
                 minhashes.append(signature(own).tobytes() if len(own) else None)
             cols = [batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(minhashes, pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_shingles", "digest", "minhashes"])
@@ -122,57 +127,55 @@ def sketched(docs: DataFrame, width: int = WORDS) -> DataFrame:
     return texts_of(docs).mapInArrow(sketch, "doc_id long, n_shingles long, digest binary, minhashes binary")
 
 
-def tabled(classes: DataFrame) -> DataFrame:
-    """(id, table key) for all tables whose two half keys are both shared with another class."""
+def classes_of(sketches: DataFrame) -> DataFrame:
+    """(id, doc_id, digest, n, minhashes): each distinct set once, with the smallest of its doc_ids."""
+    own = sketches.where("digest is not null and doc_id is not null").groupBy("digest", "minhashes", F.col("n_shingles").alias("n"))
+    return own.agg(F.min("doc_id").alias("doc_id")).withColumn("id", F.monotonically_increasing_id())
+
+
+def shared_halves(classes: DataFrame) -> DataFrame:
+    """(id, n, a, b): each class's half keys of both collections that another class has too, as (place, half)."""
 
     def halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, MINHASHES)
+            own = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint32).reshape(-1, MINHASHES)
             keys = np.array([half_keys(x) for x in own], np.int64).reshape(-1, 2 * COLLECTION)
-            cols = [pa.array(np.repeat(batch.column(0).to_numpy(), 2 * COLLECTION)), pa.array(np.tile(np.arange(2 * COLLECTION, dtype=np.int32), len(own))), pa.array(keys.ravel())]
-            yield pa.RecordBatch.from_arrays(cols, names=["id", "place", "half"])
+            cols = [pa.array(np.repeat(batch.column(i).to_numpy(), 2 * COLLECTION)) for i in (0, 1)]
+            cols += [pa.array(np.tile(np.arange(2 * COLLECTION, dtype=np.int32), len(own))), pa.array(keys.ravel())]
+            yield pa.RecordBatch.from_arrays(cols, names=["id", "n", "place", "half"])
+
+    keys = written(classes.select("id", "n", "minhashes").mapInArrow(halves, "id long, n long, place int, half long"), "minhash-halves")
+    shared = written(keys.groupBy("half").agg(F.count("*").alias("of")).where("of > 1").select("half"), "minhash-shared")
+    first, own = F.col("place") < COLLECTION, F.struct((F.col("place") % COLLECTION).alias("place"), "half")
+    kept = keys.join(shared.hint("merge"), "half").groupBy("id", "n").agg(F.collect_list(F.when(first, own)).alias("a"), F.collect_list(F.when(~first, own)).alias("b"))
+    return kept.where((F.size("a") > 0) & (F.size("b") > 0))
 
-    keys = written(classes.select("id", "minhashes").mapInArrow(halves, "id long, place int, half long"), "minhash-halves")
-    shared = written(keys.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half"), "minhash-shared")
-    kept = keys.join(shared.hint("merge"), "half").groupBy("id").agg(
-        F.collect_list(F.when(F.col("place") < COLLECTION, F.col("half"))).alias("a"), F.collect_list(F.when(F.col("place") >= COLLECTION, F.col("half"))).alias("b")
-    )
-    return kept.select("id", F.explode("a").alias("x"), "b").select("id", "x", F.explode("b").alias("y")).select("id", F.xxhash64("x", "y").alias("key"))
 
+def in_tables(rows: DataFrame, same_place: bool) -> DataFrame:
+    """The rows with a column key, once for each of their tables; same_place: only tables of half keys of one place."""
+    every = rows.withColumn("a", F.explode("a")).withColumn("b", F.explode("b"))
+    if same_place:
+        every = every.where("a.place = b.place")
+    return every.withColumn("key", F.xxhash64("a.half", "b.half")).drop("a", "b")
 
-def pairs_of(keys: DataFrame, minhashes: DataFrame, seed: int) -> DataFrame:
-    """Pairs (x, y), x < y, of each bucket's classes with their leaders; keys is (id, key), seed the round.
 
-    A bucket is dealt in 16 parts by a salt, so that one that holds a third of all classes isn't one task's.
+def with_leaders(keys: DataFrame, seed: int) -> DataFrame:
+    """(id, n, component, leader, of_leader, n_leader) of all rows of buckets that hold several components.
+
+    keys is (key, id, n, component). Each bucket has a leader of its own, the class of smallest hash.
     """
-    # at first one order for all buckets, so that a class meets few leaders although it's in many buckets
-    order = F.xxhash64(F.lit(seed), "key", "id") if seed else F.xxhash64(F.lit(seed), "id")
-    rows = keys.select("key", "id", order.alias("order"))
-    rows = rows.withColumn("salt", F.pmod(F.col("order"), F.lit(16)).cast("int"))
-    parts = rows.groupBy("key", "salt").agg(F.min(F.struct("order", "id")).alias("first"), F.count("*").alias("n"))
-    parts = written(parts.select("key", "salt", F.col("first.order").alias("order"), F.col("first.id").alias("leader"), "n"), "minhash-parts")
-    heads = parts.groupBy("key").agg(F.min(F.struct("order", "leader")).alias("first"), F.sum("n").alias("n")).where("n > 1")
-    heads = written(heads.select("key", F.col("first.leader").alias("leader")), "minhash-heads")
-    own = parts.where("n > 1").select("key", "salt", "leader").join(rows.select("key", "salt", "id"), ["key", "salt"]).select("id", "leader")
-    up = parts.select("key", F.col("leader").alias("id")).join(heads.hint("merge"), "key").select("id", "leader")
-    both = own.unionByName(up).where("id <> leader")
-    return alike(both.select(F.least("id", "leader").alias("x"), F.greatest("id", "leader").alias("y")).distinct(), minhashes)
-
-
-def alike(both: DataFrame, minhashes: DataFrame) -> DataFrame:
-    """The pairs (x, y) whose sizes and signatures don't rule the similarity out."""
-    named = minhashes.select(F.col("id").alias("x"), F.col("minhashes").alias("of_x"), F.col("n_shingles").alias("n_x"))
-    other = minhashes.select(F.col("id").alias("y"), F.col("minhashes").alias("of_y"), F.col("n_shingles").alias("n_y"))
-    near = both.join(named.hint("merge"), "x").join(other.hint("merge"), "y")
-    ratio = F.least("n_x", "n_y") * SIMILARITY[1] >= F.greatest("n_x", "n_y") * SIMILARITY[0]
-
-    def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint32).reshape(-1, MINHASHES) for i in (2, 3))
-            keep = pa.array((a == b).sum(axis=1) >= LEAST_AGREE)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["x", "y"])
+    order = F.xxhash64(F.lit(seed), "key", "id")
+    heads = keys.groupBy("key").agg(
+        F.min("component").alias("least"), F.max("component").alias("most"), F.min(F.struct(order.alias("order"), F.col("id").alias("leader"), F.col("component").alias("of_leader"), F.col("n").alias("n_leader"))).alias("first")
+    )
+    heads = written(heads.where("least < most").select("key", "first.leader", "first.of_leader", "first.n_leader"), "minhash-leaders")
+    return keys.join(heads.hint("merge"), "key").select("id", "n", "component", "leader", "of_leader", "n_leader")
 
-    return near.where(ratio).select("x", "y", "of_x", "of_y").mapInArrow(agree, "x long, y long")
+
+def led_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs (x, y), x < y, of classes and their leaders of other components, unless their sizes rule the similarity out."""
+    ratio = F.least("n", "n_leader") * SIMILARITY[1] >= F.greatest("n", "n_leader") * SIMILARITY[0]
+    return rows.where(F.col("component") != F.col("of_leader")).where(ratio).select(F.least("id", "leader").alias("x"), F.greatest("id", "leader").alias("y")).distinct()
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -196,16 +199,21 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return rows.mapInArrow(similar, "x long, y long")
 
 
-def shingle_sets(docs: DataFrame, ids: DataFrame, width: int = WORDS) -> DataFrame:
-    """(id, hashes) of the documents named in `ids`, one row for each id."""
+def shingle_sets(docs: DataFrame, classes: DataFrame, width: int = WORDS) -> DataFrame:
+    """(id, hashes) of the classes (id, doc_id, digest), one row for each."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Shingler(width)
         for batch in batches:
-            own = [make.hashes(x).tobytes() for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary())], names=["id", "hashes"])
-
-    own = texts_of(docs).join(ids.select(F.col("id").alias("doc_id")).hint("merge"), "doc_id")
+            out = []
+            for i, digest, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = make.hashes(text).tobytes()
+                if digest_of(own) == digest:  # not so for another text of the same doc_id
+                    out.append((i, own))
+            ids, own = zip(*out, strict=True) if out else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(own, pa.binary())], names=["id", "hashes"])
+
+    own = classes.select("id", "doc_id", "digest").join(texts_of(docs).hint("merge"), "doc_id").select("id", "digest", "text")
     return own.mapInArrow(sets, "id long, hashes binary").dropDuplicates(["id"])
 
 
@@ -229,90 +237,86 @@ def components(links: DataFrame) -> DataFrame:
             return labels.withColumnRenamed("label", "component")
 
 
-def apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs whose components, as far as found, differ."""
-    of = found.select(F.col("id").alias("x"), F.col("component").alias("of_x"))
-    to = found.select(F.col("id").alias("y"), F.col("component").alias("of_y"))
-    rows = pairs.join(of.hint("merge"), "x", "left").join(to.hint("merge"), "y", "left")
-    return rows.where(F.coalesce("of_x", "x") != F.coalesce("of_y", "y")).select("x", "y")
-
-
-def open_keys(keys: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows of buckets that may hold an untried pair of two components: in a bucket of two the pair has been tried."""
-    placed = keys.join(found.hint("merge"), "id", "left").select("key", F.coalesce("component", "id").alias("component"))
-    several = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("n"))
-    several = written(several.where("a < b and n > 2").select("key"), "minhash-open")
-    return written(keys.join(several.hint("merge"), "key"), "minhash-open-keys")
+def joined(found: DataFrame, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The components `found` (id, component), joined by those of the pairs whose sets are similar."""
+    links = written(confirmed(pairs, sets), "minhash-links")
+    if links.isEmpty():
+        return found
+    for end in ("x", "y"):
+        of = found.select(F.col("id").alias(end), F.col("component").alias(f"of_{end}"))
+        links = links.join(of.hint("merge"), end)
+    merged = components(links.where("of_x <> of_y").select(F.col("of_x").alias("x"), F.col("of_y").alias("y")))
+    merged = merged.select(F.col("id").alias("component"), F.col("component").alias("into"))
+    return written(found.join(merged.hint("merge"), "component", "left").select("id", F.coalesce("into", "component").alias("component")), "minhash-components")
 
 
 def exact_pairs(ids: DataFrame, sets: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs (x, y), x < y, of the classes `ids`, among them all similar ones of two components.
+    """Pairs (x, y) of the classes `ids`, among them all similar ones of two components.
 
     Shingles are ordered by the number of classes that have them, those of one component only before all others. Sets
     of n and m shingles that are similar share one among the first n - ceil(0.75 n) + 1 of the one and so of the other;
     the first that they share also leaves enough behind it for the least overlap. A passage that unlike classes share
-    is frequent, comes late and gives no pair.
+    is frequent, comes late and gives no pair. The rows of each shingle's largest component only meet rows of others, so
+    that a component of very many classes isn't compared with itself. A row knows some of the shingles before its own:
+    where both rows have one of them, the pair has been met there.
     """
-    of = sets.join(ids.hint("merge"), "id").join(found.hint("merge"), "id", "left").select("id", F.coalesce("component", "id").alias("component"), "hashes")
+    sizes = found.groupBy("component").agg(F.count("*").alias("size"))
+    of = found.join(sizes.hint("merge"), "component").join(ids.hint("merge"), "id").select("id", F.struct("size", "component").alias("of"))
+    of = of.join(sets.hint("merge"), "id").select("id", "of.size", "of.component", "hashes")
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size = np.array([len(x) // 8 for x in batch.column(2).to_pylist()], np.int64)
+            size = np.array([len(x) // 8 for x in batch.column(3).to_pylist()], np.int64)
             part = np.cumsum(size) // TOKENS
             for k in np.unique(part):
                 at = np.flatnonzero(part == k)
                 own = batch.slice(at[0], len(at))
-                cols = [pa.array(np.repeat(own.column(i).to_numpy(), size[at])) for i in (0, 1)]
-                token = np.frombuffer(b"".join(own.column(2).to_pylist()), np.int64)
+                cols = [pa.array(np.repeat(own.column(i).to_numpy(), size[at])) for i in (0, 1, 2)]
+                token = np.frombuffer(b"".join(own.column(3).to_pylist()), np.int64)
                 cols += [pa.array(np.repeat(size[at], size[at])), pa.array(token)]
-                yield pa.RecordBatch.from_arrays(cols, names=["id", "component", "n", "token"])
+                yield pa.RecordBatch.from_arrays(cols, names=["id", "size", "component", "n", "token"])
 
-    every = written(of.mapInArrow(tokens, "id long, component long, n long, token long"), "minhash-tokens")
-    several = every.groupBy("token").agg(F.count("*").alias("many"), F.min("component").alias("a"), F.max("component").alias("b")).where("a < b")
-    several = written(several.select("token", "many"), "minhash-several")
-    own = every.join(several.hint("merge"), "token").groupBy("id", "component", "n").agg(F.sort_array(F.collect_list(F.struct("many", "token"))).alias("own"))
+    every = written(of.mapInArrow(tokens, "id long, size long, component long, n long, token long"), "minhash-tokens")
+    several = every.groupBy("token").agg(F.count("*").alias("many"), F.min("component").alias("a"), F.max("component").alias("b"), F.max(F.struct("size", "component")).alias("main"))
+    several = written(several.where("a < b").select("token", "many", F.col("main.component").alias("main")), "minhash-several")
+    own = every.join(several.hint("merge"), "token").groupBy("id", "component", "n")
+    own = own.agg(F.sort_array(F.collect_list(F.struct("many", "token", (F.col("component") == F.col("main")).alias("main")))).alias("own"))
     own = own.withColumn("alone", F.col("n") - F.size("own"))
     own = own.withColumn("first", F.expr(f"n - (n * {SIMILARITY[0]} + {SIMILARITY[1] - 1}) div {SIMILARITY[1]} + 1 - alone")).where("first > 0")
-    rows = own.select("id", "component", "n", "alone", F.posexplode(F.slice("own", F.lit(1), F.col("first").cast("int"))))
-    rows = written(rows.select("id", "component", "n", (F.col("n") - F.col("alone") - F.col("pos")).alias("left"), F.col("col.token").alias("token")), "minhash-first")
-    x = rows.select(F.col("token").alias("of_x"), F.col("id").alias("x"), F.col("component").alias("in_x"), F.col("n").alias("n_x"), F.col("left").alias("left_x"))
-    y = rows.select(F.col("token").alias("of_y"), F.col("id").alias("y"), F.col("component").alias("in_y"), F.col("n").alias("n_y"), F.col("left").alias("left_y"))
+    rows = own.select("id", "component", "n", "alone", F.col("own.token").alias("tokens"), F.posexplode(F.slice("own", F.lit(1), F.col("first").cast("int"))))
+    earlier = F.expr(f"slice(tokens, greatest(pos - {EARLIER}, 0) + 1, least(pos, {EARLIER}))")
+    left = F.col("n") - F.col("alone") - F.col("pos")
+    rows = written(rows.select("id", "component", "n", left.alias("left"), "col.token", "col.main", earlier.alias("earlier")), "minhash-first")
+
+    def side(own: DataFrame, end: str) -> DataFrame:
+        return own.select("token", *(F.col(c).alias(f"{c}_{end}") for c in ("id", "component", "n", "left", "main", "earlier")))
+
     enough = F.least("left_x", "left_y") * sum(SIMILARITY) >= (F.col("n_x") + F.col("n_y")) * SIMILARITY[0]
-    near = (F.col("of_x") == F.col("of_y")) & (F.col("x") < F.col("y")) & (F.col("in_x") != F.col("in_y")) & enough
-    return x.join(y.hint("merge"), near).select("x", "y").distinct()
+    once = F.col("main_y") | (F.col("id_x") < F.col("id_y"))
+    both = side(rows.where("not main"), "x").join(side(rows, "y").hint("merge"), "token")
+    both = both.where((F.col("component_x") != F.col("component_y")) & once & enough & ~F.arrays_overlap("earlier_x", "earlier_y"))
+    return both.select(F.least("id_x", "id_y").alias("x"), F.greatest("id_x", "id_y").alias("y")).distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document."""
     sketches = written(sketched(docs), "minhash-sketches")
-    classes = sketches.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("id"))
-    classes = written(classes, "minhash-classes")
-    reps = sketches.join(classes.hint("merge"), "digest").where("doc_id = id").select("id", "minhashes", "n_shingles").dropDuplicates(["id"])
-    reps = written(reps, "minhash-reps")
-    keys = written(tabled(reps), "minhash-tables")
-    sets = written(shingle_sets(docs, keys.select("id").distinct()), "minhash-sets")
-    links = tried = written(docs.sparkSession.createDataFrame([], "x long, y long"), "minhash-links")
-    found, todo = components(links), keys
-    for seed in range(3):  # leaders of a common order, leaders of each bucket, then all that's left
-        if seed:
-            todo = open_keys(todo, found)
-            if todo.isEmpty():
-                break
-        pairs = pairs_of(todo, reps, seed) if seed < 2 else alike(exact_pairs(todo.select("id").distinct(), sets, found), reps)
-        pairs = written(apart(pairs.join(tried.hint("merge"), ["x", "y"], "left_anti"), found), "minhash-pairs")
-        for first in (True, False):
-            # first each class with one other, which joins most of a group; then what is still apart
-            own = pairs.groupBy("y").agg(F.min("x").alias("x")).select("x", "y") if first else apart(pairs.join(tried.hint("merge"), ["x", "y"], "left_anti"), found)
-            own = written(own, "minhash-own")
-            if own.isEmpty():
-                break
-            tried = tried.unionByName(own)
-            good = written(confirmed(own, sets), "minhash-links")
-            if not good.isEmpty():
-                links = links.unionByName(good)
-                found = components(links)
-    of_class = classes.join(found.hint("merge"), "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
-    of_class = written(of_class, "minhash-components")
+    classes = written(classes_of(sketches), "minhash-classes")
+    halves = written(shared_halves(classes), "minhash-tables")
+    sets = written(shingle_sets(docs, classes.join(halves.select("id").hint("merge"), "id")), "minhash-sets")
+    found = halves.select("id", F.col("id").alias("component"))
+    keys = in_tables(halves.withColumn("component", F.col("id")), same_place=True)
+    found = joined(found, written(led_pairs(with_leaders(keys, 0)), "minhash-pairs"), sets)
+    placed = written(halves.join(found.hint("merge"), "id"), "minhash-placed")
+    still = written(with_leaders(in_tables(placed, same_place=False), 1), "minhash-open")
+    if not still.isEmpty():
+        found = joined(found, written(led_pairs(still), "minhash-pairs"), sets)
+        found = joined(found, written(exact_pairs(still.select("id").distinct(), sets, found), "minhash-pairs"), sets)
+    named = written(found.join(classes.select("id", "doc_id", "digest").hint("merge"), "id"), "minhash-named")
+    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    of_class = named.join(least.hint("merge"), "component").select("digest", "component_id")
+    others = classes.join(found.hint("merge"), "id", "left_anti").select("digest", F.col("doc_id").alias("component_id"))
+    of_class = written(of_class.unionByName(others), "minhash-of-class")
     rows = sketches.join(of_class.hint("merge"), "digest", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
