@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -12,13 +13,21 @@ from pyspark.sql import functions as F
 
 #: Hashed dimensions, and words kept with their terms in a task; when full, the cache starts anew.
 DIMENSIONS, CACHED_WORDS = 1 << 18, 300_000
-MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~¡¿«»“”…"
+#: Runs of letters and digits; longer ones (scripts without blanks, glued words) are known by all their runs of PART characters.
+PIECE, WHOLE, PART = re.compile(r"[^\W_]+"), 24, 5
 
 
 def hashed(term: str) -> int:
     return zlib.crc32(term.encode("utf-8", "surrogatepass")) & (DIMENSIONS - 1)
 
 
+def parts_of(piece: str) -> list[str]:
+    """A run of letters and digits by itself, or all overlapping parts of a long one: nothing of it is left out."""
+    if len(piece) <= WHOLE:
+        return [piece]
+    return list({piece[i : i + PART] for i in range(len(piece) - PART + 1)})
+
+
 class Cached(dict):
     """word -> make(word), kept up to a bound."""
 
@@ -33,6 +42,14 @@ class Cached(dict):
         return value
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """`name`, with as many underscores behind it as no column of the caller has, whatever the case of letters."""
+    known = {c.lower() for c in columns}
+    while name.lower() in known:
+        name += "_"
+    return name
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows whose crc32(doc_id as text) mod 4 is 2: no label of theirs is learnt."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -41,6 +58,7 @@ def held_out(doc_id: Column) -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
     """(doc_id, text, label): at most `most` documents of each label, those with the smallest hash of doc_id.
 
+    That bounds what a fit gets: `most` documents of each label, each with its distinct terms, DIMENSIONS at most.
     A document with several labels has the smallest; null labels and held-out documents don't count. The sample's
     (doc_id, label) rows, at most `most` for each label, are what is broadcast to the documents.
     """

@@ -34,10 +34,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
+from .features import fresh
 
 WORDS, SIMILARITY = 5, (75, 100)
 COLLECTION, HALF = 10, 2
@@ -106,11 +107,18 @@ def digest_of(own: bytes) -> bytes:
 
 
 def texts_of(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    """(doc_id, text, text_key): the key tells apart the texts of a repeated doc_id."""
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), text_key(text).alias("text_key"))
+
+
+def text_key(text: Column) -> Column:
+    """A number for a text; a null text's differs from an empty one's."""
+    return F.xxhash64(text, text.isNull())
 
 
 def sketched(docs: DataFrame, width: int = WORDS) -> DataFrame:
-    """(doc_id, n_shingles, digest, minhashes) of every document; digest and minhashes are null for an empty set."""
+    """(doc_id, text_key, n_shingles, digest, minhashes) of every document; the last two are null for an empty set."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Shingler(width)
@@ -121,16 +129,17 @@ def sketched(docs: DataFrame, width: int = WORDS) -> DataFrame:
                 n.append(len(own))
                 digest.append(digest_of(own.tobytes()) if len(own) else None)
                 minhashes.append(signature(own).tobytes() if len(own) else None)
-            cols = [batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(minhashes, pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_shingles", "digest", "minhashes"])
+            cols = [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(minhashes, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "text_key", "n_shingles", "digest", "minhashes"])
 
-    return texts_of(docs).mapInArrow(sketch, "doc_id long, n_shingles long, digest binary, minhashes binary")
+    return texts_of(docs).mapInArrow(sketch, "doc_id long, text_key long, n_shingles long, digest binary, minhashes binary")
 
 
 def classes_of(sketches: DataFrame) -> DataFrame:
-    """(id, doc_id, digest, n, minhashes): each distinct set once, with the smallest of its doc_ids."""
+    """(id, doc_id, text_key, digest, n, minhashes): each distinct set once, with the first of its documents."""
     own = sketches.where("digest is not null and doc_id is not null").groupBy("digest", "minhashes", F.col("n_shingles").alias("n"))
-    return own.agg(F.min("doc_id").alias("doc_id")).withColumn("id", F.monotonically_increasing_id())
+    own = own.agg(F.min(F.struct("doc_id", "text_key")).alias("first")).select("first.doc_id", "first.text_key", "digest", "n", "minhashes")
+    return own.withColumn("id", F.monotonically_increasing_id())
 
 
 def shared_halves(classes: DataFrame) -> DataFrame:
@@ -200,20 +209,15 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, classes: DataFrame, width: int = WORDS) -> DataFrame:
-    """(id, hashes) of the classes (id, doc_id, digest), one row for each."""
+    """(id, hashes) of the classes (id, doc_id, text_key), one row for each."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Shingler(width)
         for batch in batches:
-            out = []
-            for i, digest, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                own = make.hashes(text).tobytes()
-                if digest_of(own) == digest:  # not so for another text of the same doc_id
-                    out.append((i, own))
-            ids, own = zip(*out, strict=True) if out else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(own, pa.binary())], names=["id", "hashes"])
-
-    own = classes.select("id", "doc_id", "digest").join(texts_of(docs).hint("merge"), "doc_id").select("id", "digest", "text")
+            own = [make.hashes(x).tobytes() for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary())], names=["id", "hashes"])
+
+    own = classes.select("id", "doc_id", "text_key").join(texts_of(docs).hint("merge"), ["doc_id", "text_key"]).select("id", "text")
     return own.mapInArrow(sets, "id long, hashes binary").dropDuplicates(["id"])
 
 
@@ -298,8 +302,8 @@ def exact_pairs(ids: DataFrame, sets: DataFrame, found: DataFrame) -> DataFrame:
     return both.select(F.least("id_x", "id_y").alias("x"), F.greatest("id_x", "id_y").alias("y")).distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every document."""
+def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(sketches, classes, components of the classes that may have links)."""
     sketches = written(sketched(docs), "minhash-sketches")
     classes = written(classes_of(sketches), "minhash-classes")
     halves = written(shared_halves(classes), "minhash-tables")
@@ -312,6 +316,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     if not still.isEmpty():
         found = joined(found, written(led_pairs(still), "minhash-pairs"), sets)
         found = joined(found, written(exact_pairs(still.select("id").distinct(), sets, found), "minhash-pairs"), sets)
+    return sketches, classes, found
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every document."""
+    sketches, classes, found = grouped(docs)
     named = written(found.join(classes.select("id", "doc_id", "digest").hint("merge"), "id"), "minhash-named")
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     of_class = named.join(least.hint("merge"), "component").select("digest", "component_id")
@@ -320,3 +330,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = sketches.join(of_class.hint("merge"), "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The documents in the same columns, one of each group: that of smallest doc_id (then text_key), whatever is beside it.
+
+    Documents of an empty set are groups of their own; of rows that repeat a doc_id and a text, one stays. Rows with a
+    null doc_id stay as they are. Unlike texts of one doc_id are of unlike groups, and stay both.
+    """
+    sketches, classes, found = grouped(docs)
+    every = classes.join(found.hint("merge"), "id", "left").groupBy(F.coalesce("component", "id").alias("component"))
+    kept = every.agg(F.min(F.struct("doc_id", "text_key")).alias("first")).select("first.doc_id", "first.text_key")
+    kept = kept.unionByName(sketches.where("digest is null and doc_id is not null").select("doc_id", "text_key").distinct())
+    own, key = docs.where("doc_id is not null"), fresh(docs.columns, "text_key")
+    doc = fresh(docs.columns, "kept_doc_id")
+    own = own.withColumn(key, text_key(F.col("text").cast("string"))).withColumn(doc, F.col("doc_id").cast("long"))
+    own = own.join(kept.select(F.col("doc_id").alias(doc), F.col("text_key").alias(key)).hint("merge"), [doc, key], "left_semi").dropDuplicates([doc, key])
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    return own.select(*names).unionByName(docs.where("doc_id is null").select(*names))

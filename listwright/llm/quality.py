@@ -12,15 +12,18 @@ each get the same score. Without labels, or with one grade only, every document
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .features import DIMENSIONS, MARKS, Cached, frequent, hashed, held_out, labelled_sample, sparse_rows
+from .features import DIMENSIONS, PIECE, Cached, frequent, fresh, hashed, held_out, labelled_sample, parts_of, sparse_rows
 
 #: Documents of each grade that the fit takes; rows a term needs among them; passes; pull towards zero.
 MOST, LEAST_ROWS, STEPS, PULL = 4000, 5, 150, 1e-4
@@ -38,7 +41,7 @@ class Model:
 
 def shape(word: str) -> str:
     """The word's letters as a or A, its digits as 0, each run once; other characters as they are, runs of one up to 3."""
-    kinds = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word[:40])
+    kinds = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word)
     out: list[str] = []
     for c in kinds:
         if out[-1:] != [c] or (c not in "aA0" and out[-3:] != [c] * 3):
@@ -46,8 +49,11 @@ def shape(word: str) -> str:
     return "".join(out)
 
 
-def word_terms(word: str) -> int:
-    return hashed("w " + word.strip(MARKS).lower()[:40]) | hashed("s " + shape(word)) << 20
+def word_terms(word: str) -> tuple[int, ...]:
+    """The hashed shape of what stands between blanks, then its pieces; a long one's parts."""
+    low = word.lower()
+    pieces = PIECE.findall(low)
+    return (hashed("s " + shape(word)), *(hashed("w " + part) for piece in pieces for part in parts_of(piece)))
 
 
 def text_terms() -> Callable[[str], tuple[np.ndarray, np.ndarray]]:
@@ -56,19 +62,21 @@ def text_terms() -> Callable[[str], tuple[np.ndarray, np.ndarray]]:
     def terms(text: str) -> tuple[np.ndarray, np.ndarray]:
         words = (text or "").split()
         n = len(words)
-        code = np.fromiter(map(known.__getitem__, words), np.int64, n)
-        parts, values = [], []
-        for own in (code & (DIMENSIONS - 1), code >> 20):
-            at, count = np.unique(own, return_counts=True)
-            parts.append(at)
-            values.append(np.sqrt(count / max(n, 1)))
+        count = Counter(words)
+        code = np.fromiter(map({w: i for i, w in enumerate(count)}.__getitem__, words), np.int64, n)
+        # each word's terms, its shape first, weigh as often as the word occurs
+        own = [known[w] for w in count]
+        sizes = np.fromiter(map(len, own), np.int64, len(own))
+        times = np.repeat(np.fromiter(count.values(), np.float64, len(own)), sizes)
+        found, where = np.unique(np.fromiter(chain.from_iterable(own), np.int64, int(sizes.sum())), return_inverse=True)
+        parts, values = [found], [np.sqrt(np.bincount(where, times, len(found)) / max(n, 1))]
         lines = [x for x in text.split("\n") if x.strip()] if text else []
         repeats = int((code[1:] == code[:-1]).sum())
         letters = sum(map(len, words))
         facts = {
             "words": int(np.log2(n + 1)),
-            "new": int(10 * len(set(words)) / n) if n else -1,
-            "new by length": (int(10 * len(np.unique(code)) / n), int(np.log2(n))) if n else -1,
+            "new": int(10 * len(count) / n) if n else -1,
+            "new by length": (int(10 * len(count) / n), int(np.log2(n))) if n else -1,
             "again": int(20 * repeats / n) if n else -1,
             "lines": int(10 * len(set(lines)) / len(lines)) if lines else -1,
             "per line": int(np.log2(n / len(lines) + 1)) if lines else -1,
@@ -123,10 +131,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int =
 
 
 def scored(docs: DataFrame, model: Model, cut: int | None = None) -> DataFrame:
-    """Columns doc_id, expected_grade, tail_probability beside the document's own (as in `docs`)."""
+    """The documents as they are, with two more columns: expected_grade and tail_probability (`fresh` names, if taken)."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    schema = docs.schema
-    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema) + ", expected_grade double, tail_probability double"
+    new = [fresh(docs.columns, x) for x in ("expected_grade", "tail_probability")]
+    out = StructType([*docs.schema.fields, *(StructField(x, DoubleType()) for x in new)])
     place = docs.columns.index("text")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,7 +149,7 @@ def scored(docs: DataFrame, model: Model, cut: int | None = None) -> DataFrame:
             below = sigmoid(own.thresholds[None, :] - x[:, None])
             expected = own.grades[-1] - below @ np.diff(own.grades) if len(own.grades) > 1 else np.full(len(x), float(own.grades[0]))
             tail = 1 - below[:, j - 1] if 0 < j <= below.shape[1] else np.full(len(x), float(j == 0))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(expected, pa.float64()), pa.array(tail, pa.float64())], names=[*batch.schema.names, "expected_grade", "tail_probability"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(expected, pa.float64()), pa.array(tail, pa.float64())], names=[*batch.schema.names, *new])
 
     return docs.mapInArrow(score, out)
 

@@ -3,14 +3,16 @@
 A text's UTF-8 bytes are cut where the gear hash of the last 32 bytes is the least within `RADIUS` bytes on both sides,
 so cuts depend on nearby content only and an insertion moves none but those beside it; at most `LONGEST` bytes
 lie between cuts. A chunk is known by its 128-bit BLAKE2b digest; of equal chunks the one of smallest (doc_id, position)
-stays. A run of neighbouring later copies of `LEAST` bytes or more is removed whole: shorter runs, such as a stock
-phrase, stay. The ends of a run that lie within a chunk stay as well, up to a chunk on each side.
+stays. A run of neighbouring later copies is found by its chunks and then grows at both ends, byte by byte, as far as
+the text around the first copies agrees (`CONTEXT` bytes at most; a chunk is some 50 bytes long, and a cut depends on 55
+bytes before it and 24 after it). Runs of `LEAST` bytes or more are removed whole: shorter ones, such as a stock phrase,
+stay. A removed byte's equal always stands in a smaller (doc_id, row, place), so one copy of everything stays.
 
 Defined results. A null text is empty: nothing is removed, and null texts stay null. Removal never splits a character: a
 removed run begins and ends at character starts. Of repeated rows of a doc_id each counts as a document of its own; the
 row number within its task tells them apart, so one of two identical rows loses its text to the other. Rows with a null
 doc_id come after all others and are treated alike. An empty table gives no rows. In `deduplicated` all other columns
-are kept, `n_chars` (if there) is counted anew.
+are kept, whatever their names, `n_chars` (if there) is counted anew.
 """
 
 from __future__ import annotations
@@ -23,11 +25,13 @@ import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .common import written
+from .features import fresh
 
-#: Bytes on both sides of a cut with a greater hash; longest chunk; shortest removed run.
-RADIUS, LONGEST, LEAST = 24, 512, 160
+#: Bytes on both sides of a cut with a greater hash; longest chunk; shortest removed run; bytes compared around a run.
+RADIUS, LONGEST, LEAST, CONTEXT = 24, 512, 200, 256
 GEAR = np.random.default_rng(20240101).integers(0, 2**32, 256, dtype=np.uint32)
 
 
@@ -62,26 +66,27 @@ def cuts(data: np.ndarray) -> np.ndarray:
     return borders
 
 
-def numbered(docs: DataFrame, name: str) -> DataFrame:
+def numbered(docs: DataFrame, name: str, row: str = "row") -> DataFrame:
     """The documents as a table with a column `row`, unique and fixed once written."""
-    return written(docs.withColumn("row", F.monotonically_increasing_id()), name)
+    return written(docs.withColumn(row, F.monotonically_increasing_id()), name)
 
 
-def identified(docs: DataFrame, name: str) -> DataFrame:
-    """The documents with a column `row` that is the same in each plan they are used in.
+def identified(docs: DataFrame, name: str, row: str = "row") -> DataFrame:
+    """The documents with a column `row` (a name that docs hasn't) that is the same in each plan they are used in.
 
     Rows of a scan of Parquet files are numbered by file and place in the file, which don't depend on how the scan is
     split into tasks; rows that come from anything else are written first. The list of files is the driver's, as it is
     Spark's own; what is broadcast has 16 bytes for each file.
     """
+    file, at, number = (fresh(docs.columns, x) for x in ("_row_file", "_row_at", "_row_number"))
     try:
-        placed = docs.select("*", F.xxhash64("_metadata.file_path").alias("_row_file"), F.col("_metadata.row_index").alias("_row_at"))
+        placed = docs.select("*", F.xxhash64("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(at))
     except AnalysisException:
-        return numbered(docs, name)
-    files = sorted(r["_row_file"] for r in placed.select("_row_file").distinct().collect())
-    numbers = docs.sparkSession.createDataFrame(list(zip(files, range(len(files)), strict=True)), "_row_file long, _row_number long")
-    row = F.shiftleft("_row_number", 40).bitwiseOR(F.col("_row_at"))
-    return placed.join(F.broadcast(numbers), "_row_file").select(*docs.columns, row.alias("row"))
+        return numbered(docs, name, row)
+    files = sorted(r[file] for r in placed.select(file).distinct().collect())
+    numbers = docs.sparkSession.createDataFrame(list(zip(files, range(len(files)), strict=True)), f"{file} long, {number} long")
+    place = F.shiftleft(number, 40).bitwiseOR(F.col(at))
+    return placed.join(F.broadcast(numbers), file).select(*(F.col(f"`{c}`") for c in docs.columns), place.alias(row))
 
 
 def chunks(docs: DataFrame) -> DataFrame:
@@ -108,72 +113,128 @@ def chunks(docs: DataFrame) -> DataFrame:
     return own.mapInArrow(made, "row long, doc_id long, at long, size int, digest binary")
 
 
-def removed_runs(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """(row, runs array<struct<start, end>>) of the rows that lose bytes; docs has row, doc_id and text.
+def removed_runs(docs: DataFrame) -> DataFrame:
+    """(row, runs) of the rows that hold later copies; docs has row, doc_id and text.
+
+    A run is struct<at, end, before, after>: neighbouring chunks that are later copies, and up to `CONTEXT` bytes that
+    stand before its first chunk's first copy and after its last chunk's.
 
     The digests' first places come from one aggregation, which Spark combines in the tasks before the exchange. Only
     digests that occur again are joined back, and both sides of that join are tables, so that AQE can split a digest
-    that very many documents share.
+    that very many documents share. So it is with contexts, which are cut once for each place.
     """
     pieces = written(chunks(docs), "chunks")
     place = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc"), "row", "at")
     first = pieces.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
     first = written(first.select("digest", F.col("first.row").alias("first_row"), F.col("first.at").alias("first_at")), "chunk-first")
     later = pieces.join(first.hint("merge"), "digest").where("row <> first_row or at <> first_at")
-    spans = later.select("row", F.struct("at", (F.col("at") + F.col("size")).alias("end")).alias("span"))
+    end = F.col("at") + F.col("size")
+    spans = later.select("row", F.struct("at", end.alias("end"), F.col("first_row").alias("a_row"), F.col("first_at").alias("a_at"), F.col("first_row").alias("b_row"), (F.col("first_at") + F.col("size")).alias("b_at")).alias("span"))
     own = spans.groupBy("row").agg(F.sort_array(F.collect_list("span")).alias("spans"))
     runs = F.expr(
-        """aggregate(spans, cast(array() as array<struct<at: bigint, end: bigint>>), (done, x) ->
+        """aggregate(spans, cast(array() as array<struct<at: bigint, end: bigint, a_row: bigint, a_at: bigint, b_row: bigint, b_at: bigint>>), (done, x) ->
              if(size(done) > 0 and done[size(done) - 1].end = x.at,
-                concat(slice(done, 1, size(done) - 1), array(named_struct('at', done[size(done) - 1].at, 'end', x.end))),
+                concat(slice(done, 1, size(done) - 1), array(named_struct(
+                  'at', done[size(done) - 1].at, 'end', x.end, 'a_row', done[size(done) - 1].a_row, 'a_at', done[size(done) - 1].a_at, 'b_row', x.b_row, 'b_at', x.b_at))),
                 concat(done, array(x))))"""
     )
-    return own.select("row", F.filter(runs, lambda x: x["end"] - x["at"] >= least).alias("runs")).where(F.size("runs") > 0)
+    found = written(own.select("row", F.explode(runs).alias("run")).select("row", "run.*"), "chunk-runs")
+    asked = found.select(F.col("a_row").alias("row"), F.col("a_at").alias("at")).union(found.select("b_row", "b_at"))
+    around = written(contexts(docs, asked.distinct().groupBy("row").agg(F.sort_array(F.collect_list("at")).alias("at"))), "chunk-contexts")
+    before = around.select(F.col("row").alias("a_row"), F.col("at").alias("a_at"), "before")
+    after = around.select(F.col("row").alias("b_row"), F.col("at").alias("b_at"), "after")
+    found = found.join(before.hint("merge"), ["a_row", "a_at"]).join(after.hint("merge"), ["b_row", "b_at"])
+    return found.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("at", "end", "before", "after"))).alias("runs"))
+
 
+def contexts(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """(row, at, before, after): the bytes around each place (row, at array<long>)."""
 
-def cut_out(docs: DataFrame, runs: DataFrame) -> DataFrame:
-    """The documents with a column `kept` (text) and the columns n_bytes, n_removed, n_spans, kept_sha256."""
-    both = docs.join(runs.hint("merge"), "row", "left")
-    text, spans = both.columns.index("text"), both.columns.index("runs")
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, at, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                code = text.encode("utf-8", "surrogatepass")
+                for low in range(0, len(at), 5000):
+                    own = at[low : low + 5000]
+                    cols = [pa.array([row] * len(own), pa.int64()), pa.array(own, pa.int64())]
+                    cols += [pa.array([code[max(0, x - CONTEXT) : x] for x in own], pa.binary()), pa.array([code[x : x + CONTEXT] for x in own], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(cols, names=["row", "at", "before", "after"])
+
+    own = docs.select("row", F.col("text").cast("string").alias("text")).join(asked.hint("merge"), "row").select("row", "at", "text")
+    return own.mapInArrow(cut, "row long, at long, before binary, after binary")
+
+
+def extended(code: bytes, runs: list[dict], least: int) -> list[tuple[int, int]]:
+    """The runs, longer by the bytes that also stand around their first copies; of `least` bytes or more, at characters."""
+    out: list[list[int]] = []
+    edge = 0
+    for k, run in enumerate(runs):
+        at, end, before, after = run["at"], run["end"], run["before"], run["after"]
+        n, most = 0, min(len(before), at - edge)
+        while n < most and before[-1 - n] == code[at - 1 - n]:
+            n += 1
+        at -= n
+        n, most = 0, min(len(after), (runs[k + 1]["at"] if k + 1 < len(runs) else len(code)) - end)
+        while n < most and after[n] == code[end + n]:
+            n += 1
+        edge = end + n
+        if out and at <= out[-1][1]:
+            out[-1][1] = edge
+        else:
+            out.append([at, edge])
+    kept = []
+    for low, high in out:
+        while low < high and code[low] & 0xC0 == 0x80:
+            low += 1
+        while high < len(code) and high > low and code[high] & 0xC0 == 0x80:
+            high -= 1
+        if high - low >= least:
+            kept.append((low, high))
+    return kept
+
+
+def cut_out(docs: DataFrame, runs: DataFrame, least: int) -> DataFrame:
+    """(row, own, kept, n_bytes, n_removed, n_spans, kept_sha256): docs has row, text and a struct `own`."""
+    both = docs.select("row", "own", F.col("text").cast("string").alias("text")).join(runs.hint("merge"), "row", "left")
 
     def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept, n, gone, count, sums = [], [], [], [], []
-            for x, own in zip(batch.column(text).to_pylist(), batch.column(spans).to_pylist(), strict=True):
+            for x, own in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 code = (x or "").encode("utf-8", "surrogatepass")
-                parts, at, number = [], 0, 0
-                for run in own or []:
-                    low, high = run["at"], run["end"]
-                    while low < high and code[low] & 0xC0 == 0x80:
-                        low += 1
-                    while high < len(code) and high > low and code[high] & 0xC0 == 0x80:
-                        high -= 1
-                    parts.append(code[at:low])
-                    at, number = high, number + 1
-                left = b"".join([*parts, code[at:]])
+                cut = extended(code, own, least) if own else []
+                borders = [0, *(b for run in cut for b in run), len(code)]
+                left = b"".join(code[a:b] for a, b in zip(borders[::2], borders[1::2], strict=True))
                 kept.append(None if x is None else left.decode("utf-8", "surrogatepass"))
                 n.append(len(code))
                 gone.append(len(code) - len(left))
-                count.append(number)
+                count.append(len(cut))
                 sums.append(hashlib.sha256(left).hexdigest())
             cols = [pa.array(kept, pa.string()), *(pa.array(c, pa.int64()) for c in (n, gone, count)), pa.array(sums, pa.string())]
-            base = [i for i in range(batch.num_columns) if i not in (text, spans)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in base), *cols], names=[*(batch.schema.names[i] for i in base), "kept", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], names=["row", "own", "kept", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+    schema = StructType([both.schema["row"], both.schema["own"], StructField("kept", StringType()), *(StructField(x, LongType()) for x in ("n_bytes", "n_removed", "n_spans")), StructField("kept_sha256", StringType())])
+    return both.mapInArrow(out, schema)
+
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in both.schema if f.name not in ("text", "runs"))
-    return both.mapInArrow(out, kinds + ", kept string, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+def without_copies(docs: DataFrame, least: int) -> DataFrame:
+    """What `cut_out` gives for whole documents; their columns are inside `own`, where no name can clash."""
+    row = fresh(docs.columns, "row")
+    placed = identified(docs, "substring-docs", row)
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    rows = placed.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*(c for c, n in zip(names, docs.columns, strict=True) if n != "text")).alias("own"))
+    return cut_out(rows, removed_runs(rows), least)
 
 
 def substring_report(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
-    rows = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "substring-docs")
-    return cut_out(rows, removed_runs(rows, least)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return without_copies(docs.select("doc_id", "text"), least).select(F.col("own.doc_id").cast("long").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def deduplicated(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """The documents without their repeated passages, in the same columns."""
-    rows = numbered(docs, "substring-docs")
-    left = cut_out(rows, removed_runs(rows, least)).withColumnRenamed("kept", "text")
+    left = without_copies(docs, least)
+    cols = {c: F.col(f"own.`{c}`") for c in docs.columns if c != "text"} | {"text": F.col("kept").cast(docs.schema["text"].dataType)}
     if "n_chars" in docs.columns:
-        left = left.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return left.select(*docs.columns)
+        cols["n_chars"] = F.char_length("kept").cast(docs.schema["n_chars"].dataType)
+    return left.select(*(cols[name].alias(name) for name in docs.columns))

@@ -1,10 +1,15 @@
 """Operator 7: toxicity by a factorization machine over hashed terms.
 
 score = sigmoid(bias + sum w_i + 1/2 sum_f ((sum v_if)^2 - sum v_if^2)) over the terms i that a text has. Terms are its
-words and their first four to eight letters, lower-cased; the factors v give each pair of terms a weight of its own, so
-an insult beside a group's name can weigh more than both alone. The model is fitted on at most `MOST` labelled
-documents of each label (those of smallest hash), on the driver; every document is scored in its task, on its whole
-text. No label of a held-out document is learnt, and doc_id, lang, source and labels are no inputs.
+runs of letters and digits, lower-cased, and their first four to eight letters; a run of more than 24 characters (a
+script without blanks, glued words) is known by all its runs of five. The factors v give each pair of terms a weight of
+its own, so an insult beside a group's name can weigh more than both alone. Terms go into the model if they tell the
+labels apart alone, or in a pair of whole words: `pairs_that_tell` finds pairs whose documents' labels differ from what
+the terms' own weights give them, and the factors begin at those pairs' effects, so that the descent needn't find them
+by chance.
+
+The model is fitted on at most `MOST` labelled documents of each label (those of smallest hash), on the driver; every
+document is scored in its task, on its whole text. No label of a held-out document is learnt, and doc_id, lang, source and labels are no inputs.
 
 Defined results. A null or empty text has no terms and gets the bias's score. Repeated rows each get the same score.
 Without labels of both kinds the score is 0, or 1 where all are toxic. An empty table gives no rows. Null doc_ids are
@@ -20,16 +25,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .features import DIMENSIONS, MARKS, Cached, frequent, hashed, held_out, labelled_sample, sparse_rows
+from .features import DIMENSIONS, PIECE, WHOLE, Cached, frequent, fresh, hashed, held_out, labelled_sample, parts_of, sparse_rows
 from .quality import sigmoid
 
 #: Documents of each label that the fit takes; rows a term needs among them; factors; passes; rows in a step.
-MOST, LEAST_ROWS, FACTORS, PASSES, BATCH = 4000, 4, 4, 12, 128
+MOST, LEAST_ROWS, FACTORS, PASSES, BATCH = 4000, 4, 8, 12, 128
 PULL, RATE, THRESHOLD = 2e-3, 0.08, 0.3
 PREFIXES = range(4, 9)
 #: The G statistic a term needs: chance alone passes it once in some 10,000 terms.
 TELLING = 15.0
+#: Whole words, the most frequent of the sample, whose pairs are screened; the standard deviations a pair's documents
+#: need to be apart from what the words' own weights say, and the least variance that counts (8 documents at even odds).
+PAIRED, APART, LEAST_VARIANCE = 2000, 5.5, 2.0
 
 
 @dataclass
@@ -40,18 +49,22 @@ class Model:
     factors: np.ndarray
 
 
-def word_terms(word: str) -> tuple[int, ...]:
-    core = word.strip(MARKS).lower()[:40]
-    if not core:
-        return ()
-    return tuple({hashed("w " + core), *(hashed(f"{n} {core[:n]}") for n in PREFIXES if len(core) >= n)})
+def word_terms(piece: str) -> tuple[int, ...]:
+    """Hashed terms of a lower-cased run of letters and digits; those of whole words are even."""
+    if len(piece) > WHOLE:
+        return tuple({hashed("p " + x) | 1 for x in parts_of(piece)})
+    return tuple({hashed("w " + piece) & ~1, *(hashed(f"{n} {piece[:n]}") | 1 for n in PREFIXES if len(piece) >= n)})
+
+
+def pieces_of(text: str | None) -> set[str]:
+    return set(PIECE.findall((text or "").lower()))
 
 
 def text_terms() -> Callable[[str], tuple[np.ndarray, np.ndarray]]:
     known = Cached(word_terms)
 
     def terms(text: str) -> tuple[np.ndarray, np.ndarray]:
-        at = np.array(sorted(set().union(*map(known.__getitem__, set((text or "").split())))), np.int64)
+        at = np.array(sorted(set().union(*map(known.__getitem__, pieces_of(text)))), np.int64)
         return at, np.ones(len(at))
 
     return terms
@@ -66,54 +79,116 @@ def telling(at: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     return terms[g >= TELLING]
 
 
+def pairs_that_tell(at: list[np.ndarray], miss: np.ndarray, spread: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(terms, effects): words of pairs that tell the labels apart beyond the words' own weights; effects in log odds.
+
+    miss and spread are each document's label less its expected label, and that label's variance. What a word misses by
+    itself isn't a pair's doing, so a pair must be further apart than either word.
+    """
+    counts = np.bincount(np.concatenate(at), minlength=DIMENSIONS)
+    counts[1::2] = 0
+    often = np.argsort(-counts, kind="stable")[:PAIRED]
+    often = np.sort(often[counts[often] >= LEAST_ROWS])
+    place = np.full(DIMENSIONS, -1)
+    place[often] = np.arange(len(often))
+    off, var = np.zeros((2, len(often), len(often)), np.float32)
+    for low in range(0, len(at), 400):
+        own = [p[p >= 0] for p in (place[a] for a in at[low : low + 400])]
+        has = np.zeros((len(own), len(often)), np.float32)
+        has[np.repeat(np.arange(len(own)), [len(p) for p in own]), np.concatenate(own)] = 1
+        off += has.T @ (has * miss[low : low + 400, None].astype(np.float32))
+        var += has.T @ (has * spread[low : low + 400, None].astype(np.float32))
+    alone = np.abs(np.diag(off)) / np.sqrt(np.diag(var) + 0.5)
+    found, effects = [], np.zeros((len(often), len(often)), np.float32)
+    for i in range(len(often)):  # row by row: less memory
+        z = np.abs(off[i]) / np.sqrt(var[i] + 0.5)
+        ok = np.flatnonzero((var[i] >= LEAST_VARIANCE) & (z >= APART) & (z >= 1.5 * np.maximum(alone, alone[i])))
+        effects[i, ok] = np.clip(off[i, ok] / var[i, ok], -4, 4)
+        found += [i] * bool(len(ok))
+    return often[found], effects[np.ix_(found, found)]
+
+
+def first_factors(effects: np.ndarray) -> np.ndarray:
+    """Factors whose products come near to the effects of pairs: the largest eigenvectors, with a diagonal that allows roots."""
+    own = effects.astype(float) + np.diag(np.abs(effects).sum(1))
+    values, vectors = np.linalg.eigh(own)
+    top = np.argsort(-values)[:FACTORS]
+    out = np.zeros((len(effects), FACTORS))
+    out[:, : len(top)] = vectors[:, top] * np.sqrt(np.maximum(values[top], 0))
+    return out
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MOST) -> Model:
     kinds = labels.select("doc_id", (F.col(label).cast("int") > 0).cast("int").alias("toxic"))
     at, _, y = sparse_rows(labelled_sample(docs, kinds, "toxic", most), text_terms)
     if len(np.unique(y)) < 2:
         return Model(np.zeros(0, int), 40.0 if y.sum() else -40.0, np.zeros(0), np.zeros((0, FACTORS)))
     by_label = {r["toxic"]: r["n"] for r in kinds.dropna().where(~held_out(F.col("doc_id"))).groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    start = float(np.log(y.mean() / (1 - y.mean())))
     terms = telling(at, y)
+    rows = placed(at, terms)
+    linear = descended(rows, y, Model(terms, start, np.zeros(len(terms)), np.zeros((len(terms), FACTORS))), 0)
+    likely = sigmoid(np.array([raw_score(linear, own) for own in rows]))
+    paired, effects = pairs_that_tell(at, y - likely, likely * (1 - likely))
+    terms = np.union1d(terms, paired).astype(np.int64)
+    factors = np.random.default_rng(5).normal(0, 0.05, (len(terms), FACTORS))
+    factors[np.searchsorted(terms, paired)] += first_factors(effects)
+    model = descended(placed(at, terms), y, Model(terms, start, np.zeros(len(terms)), factors), 1)
+    # the sample holds as many of each label as it may; the bias takes the labels' real shares back
+    real = np.log(by_label.get(1, 1) / by_label.get(0, 1))
+    return Model(terms, model.bias + real - float(np.log(y.sum() / (len(y) - y.sum()))), model.weights, model.factors)
+
+
+def placed(at: list[np.ndarray], terms: np.ndarray) -> list[np.ndarray]:
+    """Each document's places in `terms`."""
     place = np.full(DIMENSIONS, -1)
     place[terms] = np.arange(len(terms))
-    rows = [p[p >= 0] for p in (place[a] for a in at)]
-    draw = np.random.default_rng(7)
-    weights, factors, bias = np.zeros(len(terms)), draw.normal(0, 0.01, (len(terms), FACTORS)), float(np.log(y.mean() / (1 - y.mean())))
-    sum_w, sum_v, sum_b = np.full(len(terms), 1e-4), np.full((len(terms), FACTORS), 1e-4), 1e-4
+    return [p[p >= 0] for p in (place[a] for a in at)]
+
+
+def descended(rows: list[np.ndarray], y: np.ndarray, model: Model, by_factors: int) -> Model:
+    """The model after gradient descent on the sample; by_factors is 0 for the weights alone."""
+    draw, bias, weights, factors = np.random.default_rng(7), model.bias, model.weights.copy(), model.factors.copy()
+    sum_w, sum_v, sum_b = np.full(weights.shape, 1e-4), np.full(factors.shape, 1e-4), 1e-4
     for _ in range(PASSES):
         order = draw.permutation(len(rows))
         for low in range(0, len(order), BATCH):
             own = order[low : low + BATCH]
-            sizes = np.array([len(rows[i]) for i in own])
             col = np.concatenate([rows[i] for i in own])
-            row = np.repeat(np.arange(len(own)), sizes)
-            # pairs of common words are many: the interaction is divided by the number of terms
-            scale = 1 / np.maximum(sizes, 1)
+            row = np.repeat(np.arange(len(own)), [len(rows[i]) for i in own])
             v = factors[col]
-            total = np.zeros((len(own), FACTORS))
-            np.add.at(total, row, v)
-            square = np.bincount(row, (v * v).sum(1), len(own))
-            score = bias + np.bincount(row, weights[col], len(own)) + 0.5 * scale * ((total**2).sum(1) - square)
+            total = sums(row, v, len(own))
+            score = bias + np.bincount(row, weights[col], len(own)) + 0.5 * ((total**2).sum(1) - np.bincount(row, (v * v).sum(1), len(own)))
             miss = (sigmoid(score) - y[own]) / len(own)
             touched, where = np.unique(col, return_inverse=True)
-            slope_w = np.bincount(where, miss[row]) + PULL * weights[touched] / 10
-            slope_v = np.zeros((len(touched), FACTORS))
-            np.add.at(slope_v, where, (miss * scale)[row][:, None] * (total[row] - v))
-            slope_v += PULL * factors[touched]
+            slope_w = np.bincount(where, miss[row], len(touched)) + PULL * weights[touched] / 10
             sum_w[touched] += slope_w**2
-            sum_v[touched] += slope_v**2
-            sum_b += miss.sum() ** 2
             weights[touched] -= RATE * slope_w / np.sqrt(sum_w[touched])
-            factors[touched] -= RATE / 4 * slope_v / np.sqrt(sum_v[touched])
+            if by_factors:
+                slope_v = sums(where, miss[row][:, None] * (total[row] - v), len(touched)) + PULL * factors[touched]
+                sum_v[touched] += slope_v**2
+                factors[touched] -= RATE / 4 * slope_v / np.sqrt(sum_v[touched])
+            sum_b += miss.sum() ** 2
             bias -= RATE * miss.sum() / np.sqrt(sum_b)
-    # the sample holds as many of each label as it may; the bias takes the labels' real shares back
-    real = np.log(by_label.get(1, 1) / by_label.get(0, 1))
-    return Model(terms, bias + real - float(np.log(y.sum() / (len(y) - y.sum()))), weights, factors)
+    return Model(model.terms, bias, weights, factors)
+
+
+def sums(group: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """The sum of each group's rows."""
+    return np.stack([np.bincount(group, rows[:, f], n) for f in range(rows.shape[1])], axis=1)
+
+
+def raw_score(model: Model, has: np.ndarray) -> float:
+    """The log odds of a text with these places of the model's terms."""
+    v = model.factors[has]
+    return model.bias + float(model.weights[has].sum()) + 0.5 * float((v.sum(0) ** 2).sum() - (v * v).sum())
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """The documents as they are, with a column score."""
+    """The documents as they are, with one more column: score (a `fresh` name, if taken)."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index("text")
+    new = fresh(docs.columns, "score")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
@@ -122,15 +197,10 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
         # only terms of the model are kept with a word
         known = Cached(lambda word: tuple(int(at[t]) for t in word_terms(word) if at[t] >= 0))
         for batch in batches:
-            out = []
-            for text in batch.column(place).to_pylist():
-                has = np.array(list(set().union(*map(known.__getitem__, set((text or "").split())))), np.int64)
-                v = own.factors[has]
-                pairs = 0.5 * float((v.sum(0) ** 2).sum() - (v * v).sum()) / max(len(has), 1)
-                out.append(own.bias + float(own.weights[has].sum()) + pairs)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sigmoid(np.array(out)), pa.float64())], names=[*batch.schema.names, "score"])
-
-    return docs.mapInArrow(score, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", score double")
+            out = [raw_score(own, np.array(sorted(set().union(*map(known.__getitem__, pieces_of(text)))), np.int64)) for text in batch.column(place).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sigmoid(np.array(out)), pa.float64())], names=[*batch.schema.names, new])
+
+    return docs.mapInArrow(score, StructType([*docs.schema.fields, StructField(new, DoubleType())]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

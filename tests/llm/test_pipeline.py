@@ -2,6 +2,7 @@
 
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -43,3 +44,52 @@ def test_twin(spark, name):
     names = [d[0] for d in cursor.description]
     mine = sorted((tuple(r[c] for c in names) for r in df.collect()), key=repr)
     assert mine == sorted(map(tuple, cursor.fetchall()), key=repr)
+
+
+def odd_corpus(spark):
+    """Null ids and texts, an empty and a very long text, repeated rows, unlike texts of one id, and clashing names."""
+    draw = np.random.default_rng(12)
+
+    def text(n):
+        return " ".join(f"plain{i}" for i in draw.integers(0, 4000, n))
+
+    long, passage = text(30_000), text(60)
+    texts = {1: text(80), 3: None, 4: "", 5: long, 6: long + " end", 7: text(70) + " " + passage, 8: text(70) + " " + passage + " " + text(30), 9: "日" * 5000}
+    rows = [(i, t) for i, t in texts.items()]
+    rows += [(1, texts[1]), (1, text(90)), (None, texts[1]), (None, None), (2, texts[1])]
+    names = ["row", "kept", "runs", "score", "expected_grade", "tail_probability", "n_bytes", "n_removed", "digest", "text_key", "component_id", "own", "at", "_row_file", "file"]
+    made = [(i, t, "en", "s", len(t or ""), *(f"{n}{k}" for n in names)) for k, (i, t) in enumerate(rows)]
+    columns = "doc_id long, text string, lang string, source string, n_chars int, " + ", ".join(f"`{n}` string" for n in names)
+    return spark.createDataFrame(made, columns).repartition(3), names
+
+
+def test_stages_on_odd_tables(spark, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    docs, names = odd_corpus(spark)
+    spark.createDataFrame([(1, 1, 0), (7, 1, 0), (5, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    before = {r["row"]: r for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES:
+        none = stage(spark, docs.limit(0), str(tmp_path))
+        assert none.count() == 0, name
+        got = stage(spark, docs, str(tmp_path))
+        if name == "best_fit_packing":
+            assert {r["doc_id"] for r in got.collect()} == {r["doc_id"] for r in before.values()}
+            continue
+        assert got.dtypes == docs.dtypes
+        rows = got.collect()
+        for r in rows:
+            own = before[r["row"]]
+            assert all(r[c] == own[c] for c in ["doc_id", "lang", "source", *names])
+            assert name == "substring_dedup" or r["text"] == own["text"]
+        if name in ("quality_classifier", "toxicity", "substring_dedup"):
+            assert len(rows) == len(before)
+        if name == "substring_dedup":
+            assert all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in rows)
+            at = {r["row"]: r["text"] for r in rows}
+            gone = [k for k, r in before.items() if r["text"] is not None and at[k] != r["text"]]
+            assert {before[k]["doc_id"] for k in gone} >= {6, 8, 2, None} and 7 not in {before[k]["doc_id"] for k in gone}
+        if name == "minhash_near_dedup":
+            # 1 and its copy of id 2 are one, 1's other text and rows without an id stay
+            assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in rows) == [(False, i) for i in (1, 1, 3, 4, 5, 7, 8, 9)] + [(True, 0)] * 2

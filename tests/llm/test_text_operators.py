@@ -125,6 +125,62 @@ def test_substring_takes_later_copies(spark):
             assert r["n_removed"] == 0 and r["kept_sha256"] == hashlib.sha256((text or "").encode()).hexdigest()
 
 
+def pieces(seed, n, language):
+    """Texts of words of a language's length and letters."""
+    draw = np.random.default_rng(seed)
+    letters, mean = {"en": ("etaoinshrdlu", 4.5), "de": ("enisratdhuläöüß", 6), "fr": ("esaitnruloédpè", 5), "es": ("eaosrnidlctuñá", 5)}[language]
+    return " ".join("".join(draw.choice(list(letters), max(1, int(draw.poisson(mean))))) for _ in range(n))
+
+
+def test_substring_finds_passages_of_51_words(spark):
+    rows, long = [], 0
+    for k in range(120):
+        lang = ("en", "de", "fr", "es")[k % 4]
+        passage = pieces(1000 + k, 51, lang)
+        for j in range(2):
+            rows.append((2 * k + j, pieces(5000 + 2 * k + j, 30, lang) + f" {passage} " + pieces(9000 + 2 * k + j, 25, lang), len(passage.encode())))
+    df = spark.createDataFrame(rows, "doc_id long, text string, least long")
+    got = {r["doc_id"]: r for r in substring.substring_report(df).collect()}
+    for doc, _, n in rows:
+        long += doc % 2 and got[doc]["n_removed"] >= n - 8
+        assert doc % 2 or got[doc]["n_removed"] == 0
+    assert long >= 0.98 * 120
+
+
+def brute_copies(rows, least):
+    """For each text, the bytes of its substrings of `least` bytes or more that also begin earlier, in order of doc_id."""
+    seen, out = set(), {}
+    for doc, text in sorted(rows):
+        code, gone = text.encode(), set()
+        for i in range(len(code) - least + 1):
+            if code[i : i + least] in seen:
+                gone |= set(range(i, i + least))
+        seen |= {code[i : i + least] for i in range(len(code) - least + 1)}
+        out[doc] = gone
+    return out
+
+
+def test_substring_against_brute_force(spark):
+    """What is removed also stands earlier, byte for byte; what is left of long copies is little."""
+    draw = np.random.default_rng(77)
+    stock = [words(100 + i, 90) for i in range(6)]
+    rows = []
+    for i in range(60):
+        parts = [words(1000 + i, int(draw.integers(5, 120)))]
+        parts += [stock[j] for j in draw.choice(6, int(draw.integers(0, 3)), replace=False)]
+        draw.shuffle(parts)
+        rows.append((i, " ".join([*parts, words(3000 + i, 20)])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_copies(rows, substring.LEAST)
+    out = {r["doc_id"]: r["text"] for r in substring.deduplicated(df).collect()}
+    missed = 0
+    for doc, text in rows:
+        removed = len(text.encode()) - len(out[doc].encode())
+        assert removed <= len(want[doc])
+        missed += len(want[doc]) - removed
+    assert missed <= 0.02 * sum(map(len, want.values()))
+
+
 def test_substring_keeps_columns_and_characters(docs, empty):
     out = substring.deduplicated(docs)
     assert out.columns == docs.columns and out.count() == docs.count()
@@ -187,7 +243,7 @@ def test_minhash_exact_pairs_leave_out_no_link(spark):
     unlike = [r for r in near_copies() if r[0] >= 400]  # share a passage only, so they give no pair
     sets = [(i, minhash.Shingler().hashes(t)) for i, t in edited_copies()[:120] + unlike]
     df = written(spark.createDataFrame([(i, s.tobytes()) for i, s in sets], "id long, hashes binary"), "sets")
-    got = {tuple(r) for r in minhash.exact_pairs(df.select("id"), df, spark.createDataFrame([], "id long, component long")).collect()}
+    got = {tuple(r) for r in minhash.exact_pairs(df.select("id"), df, df.select("id", F.col("id").alias("component"))).collect()}
     both = [(a, b, len(np.intersect1d(x, y)), len(np.union1d(x, y))) for a, x in sets for b, y in sets if a < b]
     want = {(a, b) for a, b, n, m in both if 100 * n >= 75 * m}
     assert want and want <= got and all(b < 400 for _, b in got)
