@@ -1,14 +1,15 @@
 """A corpus pipeline over `documents`: quality, toxicity, near duplicates, repeated passages, packing.
 
 Each stage takes (spark, docs, sf_dir), where docs is what its predecessor kept, and all but the last return the columns
-of docs. Rows with null or empty texts pass the filters by the same scores as any other row.
+of docs with the caller's values, whatever other columns there are. Rows with null or empty texts pass the filters by
+the same scores as any other row. An empty table gives no rows at any stage.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from listwright.llm import minhash, packing, quality, substring, toxicity
@@ -20,31 +21,44 @@ ORACLE_SQL = None
 
 
 def good_enough(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose probability of the better grade is below quality.LEAST."""
+    """Drops documents whose probability of the better grade is below quality.LEAST.
+
+    A row's own text decides, so repeated rows stay or go together; a probability of just the limit stays.
+    """
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.scored(docs, model).where(F.col("tail_probability") >= quality.LEAST).select(*docs.columns)
+    return chosen(docs, quality.scored(docs, model), 1, lambda p: p >= quality.LEAST)
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose toxicity reaches toxicity.THRESHOLD."""
+    """Drops documents whose toxicity reaches toxicity.THRESHOLD; repeated rows stay or go together."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.scored(docs, model).where(F.col("score") < toxicity.THRESHOLD).select(*docs.columns)
+    return chosen(docs, toxicity.scored(docs, model), 0, lambda p: p < toxicity.THRESHOLD)
+
+
+def chosen(docs: DataFrame, scored: DataFrame, place: int, good: Callable[[Column], Column]) -> DataFrame:
+    """The rows of good scores; the score is the column `place` columns behind the document's own."""
+    return scored.where(good(F.col(scored.columns[len(docs.columns) + place]))).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest doc_id of each near-duplicate group, once; rows without a doc_id stay."""
-    kept = minhash.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    own = docs.join(kept.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return own.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    """Keeps one document of each near-duplicate group, that of smallest doc_id.
+
+    Of rows that repeat doc_id and text one stays; unlike texts of one doc_id are unlike documents; rows without a
+    doc_id, and documents without words, are linked with nothing and stay.
+    """
+    return minhash.one_of_each(docs)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes passages out of texts that occur in an earlier document."""
+    """Takes passages out of texts that occur in an earlier document; no document goes, though a text may become empty.
+
+    Of repeated rows the first keeps its text. n_chars is counted anew.
+    """
     return substring.deduplicated(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The places of all documents' tokens in sequences."""
+    """The places of all documents' tokens in sequences. A null or empty text is its closing id; repeated rows count each."""
     return packing.pack_documents(docs, tokenizer_file("word_bpe_49k.json"))
 
 
