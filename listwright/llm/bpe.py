@@ -2,19 +2,24 @@
 
 A task cuts each text into words by the pattern and looks up those it hasn't met. They become rows (word, position,
 token); the recursive query joins neighbouring rows to the merge table, contracts each word's leftmost pair of minimum
-rank and ends where no word has a pair left. Ordered aggregation collects ids and decodes them.
+rank and ends where no word has a pair left. A query goes through `ROUNDS` rounds at most; what isn't done then begins
+the next one, so that a word of any length is contracted in the same way with bounded memory. Pairs of the same rank
+are contracted in one round, from the left, if the token that they make is part of no pair of a smaller rank: none of
+them could come between then. Decoding begins at a document's ids: rows (document, position, token) meet the
+vocabulary, and an ordered aggregation makes the bytes.
+
+Where the pattern begins a match at each space that follows a character other than white space (`space_led`), a text
+without white space before a space is cut there first, and the words of such a part are remembered together.
 
 Defined results. A null or empty text has no tokens and the digests of no bytes. Rows are encoded as they come, so
-repeated rows and null doc_ids stay. An empty table gives no rows. Other columns are ignored. A word of more than
-`LONG_WORD` bytes (a run of letters without a blank) would need as many rounds as it has merges, each over the whole
-word: such words are contracted by a heap instead, which gives the same ids.
+repeated rows and null doc_ids stay. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,64 +28,89 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LONG_WORD = 400
-#: Words that one recursive query takes, and words kept in a Python worker; when full, the cache starts anew.
-WORDS_AT_ONCE, CACHED_WORDS = 40_000, 500_000
+#: Words that one query takes, rounds that it goes, documents decoded at once, and words (and parts of texts) kept in a
+#: Python worker; when full, the cache starts anew.
+WORDS_AT_ONCE, ROUNDS, DOCUMENTS, CACHED_WORDS = 40_000, 64, 500, 300_000
+AMONG_SPACES = re.compile(r"^ |\s ")
 
-ENCODE = """
+ENCODE = f"""
 WITH RECURSIVE state(round, word, pos, tok) AS (
   SELECT 0, word, pos, tok FROM letters
   UNION ALL (
     WITH paired AS (
-      SELECT round, word, pos, tok, lead(tok) OVER own AS following, lag(pos) OVER own AS before
-      FROM state WINDOW own AS (PARTITION BY word ORDER BY pos)),
+      SELECT round, word, pos, tok, lead(tok) OVER own AS following, row_number() OVER own AS n
+      FROM state WHERE round < {ROUNDS} WINDOW own AS (PARTITION BY word ORDER BY pos)),
+    ranked AS (
+      SELECT p.*, m.rank, m.quiet FROM paired p LEFT JOIN merges m ON m.pair = (p.tok::BIGINT << 32 | p.following)),
     best AS (
-      SELECT p.word, min(m.rank::BIGINT << 32 | p.pos) AS rank_pos
-      FROM paired p JOIN merges m ON m.pair = (p.tok::BIGINT << 32 | p.following) GROUP BY p.word)
-    SELECT p.round + 1, p.word, p.pos, CASE WHEN p.pos = rank_pos & 4294967295 THEN (rank_pos >> 32)::INT ELSE p.tok END
-    FROM paired p JOIN best b ON b.word = p.word WHERE p.before IS DISTINCT FROM (rank_pos & 4294967295))),
+      SELECT word, min(rank) AS least, min(rank::BIGINT << 32 | n) & 4294967295 AS first FROM ranked WHERE rank IS NOT NULL GROUP BY word),
+    chosen AS (
+      SELECT r.*, coalesce(rank = least AND (quiet OR n = first), false) AS hit FROM ranked r JOIN best USING (word)),
+    -- of overlapping pairs (a run of one token) every second one
+    counted AS (
+      SELECT *, n - coalesce(max(CASE WHEN NOT hit THEN n END) OVER (PARTITION BY word ORDER BY pos ROWS UNBOUNDED PRECEDING), 0) AS in_run FROM chosen),
+    taken AS (
+      SELECT *, lag(in_run % 2, 1, 0) OVER (PARTITION BY word ORDER BY pos) AS gone FROM counted)
+    SELECT round + 1, word, pos, CASE WHEN in_run % 2 = 1 THEN rank ELSE tok END FROM taken WHERE gone = 0)),
 last AS (SELECT word, max(round) AS round FROM state GROUP BY word)
-SELECT word, list(tok ORDER BY pos) AS ids, string_agg(hex(bytes), '' ORDER BY pos) AS decoded
-FROM state JOIN last USING (word, round) JOIN vocabulary USING (tok) GROUP BY word
+SELECT word, pos, tok, round FROM state JOIN last USING (word, round) ORDER BY word, pos
 """
+DECODE = "SELECT doc, list(bytes ORDER BY pos) AS parts FROM coded JOIN vocabulary USING (tok) GROUP BY doc ORDER BY doc"
 
 
 class Words:
     """The merge table in DuckDB, with the words met so far. One for each Python worker, which serves many tasks."""
 
-    def __init__(self, ranks_path: str, pattern: str) -> None:
+    def __init__(self, ranks_path: str, pattern: str, space_led: bool) -> None:
         import duckdb
         import regex
 
         with open(ranks_path, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.find = regex.compile(pattern).findall
-        self.known: dict[str, tuple[bytes, bytes]] = {}
+        self.space_led = space_led
+        self.known: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
         own = self.ranks
-        merges = np.array([(own[t[:i]] << 32 | own[t[i:]], r) for t, r in own.items() for i in range(1, len(t)) if t[:i] in own and t[i:] in own], np.int64).reshape(-1, 2)
-        self.tokens = {r: t for t, r in own.items()}
+        merges = np.array([(own[t[:i]], own[t[i:]], r) for t, r in own.items() for i in range(1, len(t)) if t[:i] in own and t[i:] in own], np.int64).reshape(-1, 3)
+        early = merges[:, 2] <= merges[:, :2].max(axis=1)  # a token of such a pair may be made after the pair is due
+        loud = np.unique(merges[early, :2][merges[early, :2] >= merges[early, 2:]])
         self.byte_ids = np.array([own[bytes([i])] for i in range(256)], np.int32)
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
-        self.load("merges", pa.table({"pair": merges[:, 0], "rank": merges[:, 1]}))
-        self.load("vocabulary", pa.table({"tok": pa.array(list(self.tokens), pa.int32()), "bytes": pa.array(list(self.tokens.values()), pa.binary())}))
+        self.load("merges", pa.table({"pair": merges[:, 0] << 32 | merges[:, 1], "rank": merges[:, 2].astype(np.int32), "quiet": ~np.isin(merges[:, 2], loud)}))
+        self.load("vocabulary", pa.table({"tok": pa.array(list(own.values()), pa.int32()), "bytes": pa.array(list(own), pa.binary())}))
 
     def load(self, name: str, rows: pa.Table) -> None:
         self.db.register("given", rows)
         self.db.execute(f"CREATE OR REPLACE TABLE {name} AS SELECT * FROM given")
         self.db.unregister("given")
 
-    def learn(self, words: set[str]) -> None:
-        """Puts (ids, decoded bytes) of all `words` into `known`."""
+    def divided(self, text: str | None) -> list[str]:
+        """Parts of a text between which no match of the pattern goes on."""
+        if not text:
+            return []
+        if not self.space_led or AMONG_SPACES.search(text):
+            return [text]
+        first, *rest = text.split(" ")
+        return [first, *[" " + x for x in rest]]
+
+    def learn(self, parts: set[str]) -> None:
+        """Puts the ids of all `parts` of texts into `parts`, as bytes."""
+        if len(self.parts) > CACHED_WORDS:
+            self.parts.clear()
+        new = {x: self.find(x) for x in parts - self.parts.keys()}
+        self.learn_words(set().union(*new.values()))
+        known = self.known
+        self.parts.update((x, b"".join([known[w] for w in own])) for x, own in new.items())
+
+    def learn_words(self, words: set[str]) -> None:
         if len(self.known) > CACHED_WORDS:
             self.known.clear()
         waiting: list[tuple[str, bytes]] = []
         for w in words - self.known.keys():
             code = w.encode()
-            if code in self.ranks:
-                self.known[w] = np.array([self.ranks[code]], "<u4").tobytes(), code
-            elif len(code) > LONG_WORD:
-                ids = self.contracted(code)
-                self.known[w] = np.array(ids, "<u4").tobytes(), b"".join(map(self.tokens.__getitem__, ids))
+            if code in self.ranks:  # a whole token is never divided
+                self.known[w] = np.array([self.ranks[code]], "<u4").tobytes()
             else:
                 waiting.append((w, code))
         for low in range(0, len(waiting), WORDS_AT_ONCE):
@@ -89,67 +119,60 @@ class Words:
             letters = np.frombuffer(b"".join(c for _, c in own), np.uint8)
             word = np.repeat(np.arange(len(own), dtype=np.int32), sizes)
             pos = np.arange(len(letters)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            self.load("letters", pa.table({"word": word, "pos": pos.astype(np.int32), "tok": self.byte_ids[letters]}))
-            for k, ids, text in self.db.execute(ENCODE).fetchall():
-                self.known[own[k][0]] = np.array(ids, "<u4").tobytes(), bytes.fromhex(text)
-
-    def contracted(self, code: bytes) -> list[int]:
-        """The same contraction for one long word, with the pairs in a heap."""
-        ids: list[int] = self.byte_ids[np.frombuffer(code, np.uint8)].tolist()
-        ends, before, after = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1)), list(range(1, len(ids) + 1))
-        heap: list[tuple[int, int, int]] = []
-
-        def offer(i: int) -> None:
-            if i >= 0 and after[i] < len(ids) and (rank := self.ranks.get(code[i : ends[after[i]]])) is not None:
-                heapq.heappush(heap, (rank, i, ends[after[i]]))
-
-        for i in range(len(ids)):
-            offer(i)
-        while heap:
-            rank, i, end = heapq.heappop(heap)
-            if ids[i] < 0 or after[i] >= len(ids) or ends[after[i]] != end or ends[i] == end:
-                continue
-            j = after[i]
-            ids[i], ids[j], ends[i], after[i] = rank, -1, end, after[j]
-            if after[j] < len(ids):
-                before[after[j]] = i
-            offer(i)
-            offer(before[i])
-        return [x for x in ids if x >= 0]
+            rows = pa.table({"word": word, "pos": pos.astype(np.int32), "tok": self.byte_ids[letters]})
+            while len(rows):
+                self.load("letters", rows)
+                got = self.db.execute(ENCODE).fetchnumpy()
+                going = got["round"] >= ROUNDS
+                rows = pa.table({k: got[k][going] for k in ("word", "pos", "tok")})
+                done, ids = got["word"][~going], got["tok"][~going].astype("<u4")
+                borders = [*np.flatnonzero(np.diff(done, prepend=-1)).tolist(), len(done)]
+                for a, b in zip(borders[:-1], borders[1:], strict=True):
+                    self.known[own[done[a]][0]] = ids[a:b].tobytes()
+
+    def decoded(self, codes: list[bytes]) -> list[bytes]:
+        """The bytes of documents given by their ids."""
+        sizes = [len(c) // 4 for c in codes]
+        ids = np.frombuffer(b"".join(codes), "<u4").astype(np.int32)
+        self.load("coded", pa.table({"doc": np.repeat(np.arange(len(codes), dtype=np.int32), sizes), "pos": np.arange(len(ids), dtype=np.int64), "tok": ids}))
+        got = self.db.sql(DECODE).to_arrow_table()
+        out = [b""] * len(codes)
+        for doc, parts in zip(got["doc"].to_pylist(), got["parts"], strict=True):
+            out[doc] = joined(parts.values)
+        return out
+
+
+def joined(parts: pa.Array) -> bytes:
+    """All of a binary array, one after another, as it lies in its buffer."""
+    kind = np.int64 if pa.types.is_large_binary(parts.type) else np.int32
+    ends = np.frombuffer(parts.buffers()[1], kind)[parts.offset : parts.offset + len(parts) + 1]
+    return parts.buffers()[2][int(ends[0]) : int(ends[-1])].to_pybytes() if len(parts) else b""
 
 
 @lru_cache(1)
-def words_of(ranks_path: str, pattern: str) -> Words:
-    return Words(ranks_path, pattern)
+def words_of(ranks_path: str, pattern: str, space_led: bool) -> Words:
+    return Words(ranks_path, pattern, space_led)
 
 
 OUT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-def encoded(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = False) -> DataFrame:
+def encoded(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = False, space_led: bool = False) -> DataFrame:
     """One row per document with digests; with_ids adds the ids themselves and the decoded text."""
 
     def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = words_of(ranks_path, pattern)
+        words = words_of(ranks_path, pattern, space_led)
         for batch in batches:
-            for low in range(0, batch.num_rows, 500):
-                ids = batch.column(0).slice(low, 500)
-                texts = [words.find(x) if x else [] for x in batch.column(1).slice(low, 500).to_pylist()]
+            for low in range(0, batch.num_rows, DOCUMENTS):
+                ids = batch.column(0).slice(low, DOCUMENTS)
+                texts = [words.divided(x) for x in batch.column(1).slice(low, DOCUMENTS).to_pylist()]
                 words.learn(set().union(*texts))
-                n, sums, backs, lists, plain = [], [], [], [], []
-                for own in texts:
-                    pairs = [words.known[w] for w in own]
-                    code = b"".join([a for a, _ in pairs])
-                    back = b"".join([b for _, b in pairs])
-                    n.append(len(code) // 4)
-                    sums.append(hashlib.sha256(code).hexdigest())
-                    backs.append(hashlib.sha256(back).hexdigest())
-                    if with_ids:
-                        lists.append(np.frombuffer(code, "<u4").astype(np.int32))
-                        plain.append(back.decode())
-                cols, names = [ids, pa.array(n, pa.int64()), pa.array(sums, pa.string()), pa.array(backs, pa.string())], OUT.split(", ")
+                code = [b"".join(map(words.parts.__getitem__, own)) for own in texts]
+                back = words.decoded(code)
+                cols = [ids, pa.array([len(c) // 4 for c in code], pa.int64()), *(pa.array([hashlib.sha256(x).hexdigest() for x in own], pa.string()) for own in (code, back))]
+                names = OUT.split(", ")
                 if with_ids:
-                    cols += [pa.array(lists, pa.list_(pa.int32())), pa.array(plain, pa.string())]
+                    cols += [pa.array([np.frombuffer(c, "<u4").astype(np.int32) for c in code], pa.list_(pa.int32())), pa.array([b.decode() for b in back], pa.string())]
                     names = [*names, "ids", "decoded"]
                 yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in names])
 

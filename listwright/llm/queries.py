@@ -73,7 +73,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from .bpe import encoded
 
-    return encoded(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return encoded(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, space_led=True)
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

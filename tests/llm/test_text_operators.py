@@ -337,22 +337,34 @@ def test_bpe_as_the_library(docs, empty):
     for doc, text, *_ in corpus():
         ids = library.encode_ordinary(text or "")
         want.append((doc, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest()))
-    assert rows_of(bpe.encoded(docs, path, public_tokenizers.PATTERN)) == sorted(want, key=repr)
+    for space_led in (False, True):
+        assert rows_of(bpe.encoded(docs, path, public_tokenizers.PATTERN, space_led=space_led)) == sorted(want, key=repr)
     assert bpe.encoded(empty, path, public_tokenizers.PATTERN).count() == 0
     full = bpe.encoded(docs.where("doc_id = 1"), path, public_tokenizers.PATTERN, with_ids=True).first()
     assert full["ids"] == library.encode_ordinary(corpus()[1][1]) and full["decoded"] == corpus()[1][1]
 
 
-def test_bpe_long_words():
+def test_bpe_words_of_any_length_and_odd_spaces():
     import tiktoken
 
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    own = bpe.Words(path, public_tokenizers.PATTERN)
+    own = bpe.Words(path, public_tokenizers.PATTERN, True)
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=own.ranks, special_tokens={})
     draw = np.random.default_rng(2)
-    for n in (1, 2, 30, 401, 1500):
-        word = "".join(draw.choice(list("abeinsthé"), n))
-        assert own.contracted(word.encode()) == library.encode_ordinary(word)
+    long = ["".join(draw.choice(list("abeinsthé"), n)) for n in (1, 2, 30, 401, 1500)] + ["a" * 1999, "ab" * 700, "日本語" * 200]
+    own.learn_words(set(long))
+    for word in long:
+        assert np.frombuffer(own.known[word], "<u4").tolist() == library.encode_ordinary(word)
+    parts = ["a", "Word", " ", "  ", "\n", "\t", "\u00a0", "'s", "don't", "42", "!?", "é", "日本", "\u2003", "\x1f", "🙂", "\r\n", " b", "c "]
+    texts = ["".join(draw.choice(parts, int(draw.integers(1, 12)))) for _ in range(3000)]
+    cut = [own.divided(x) for x in texts]
+    own.learn(set().union(*cut))
+    codes = [b"".join(own.parts[p] for p in x) for x in cut]
+    assert [np.frombuffer(c, "<u4").tolist() for c in codes] == [library.encode_ordinary(x) for x in texts]
+    assert own.decoded(codes) == [x.encode() for x in texts]
+    assert any(len(x) > 1 for x in cut)
+    # decoding begins at the ids: a damaged one changes the text
+    assert own.decoded([codes[0][:-4] + np.array([own.ranks[b"zz"]], "<u4").tobytes()]) != [texts[0].encode()]
 
 
 def test_warc_round_trip(spark):
