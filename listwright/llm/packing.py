@@ -142,40 +142,76 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(pieces, PIECES)
 
 
+class Sums:
+    """Index of the sums of one, two and three lengths: for each sum, lengths that make it.
+
+    pair[s] is the larger length of a pair of sum s, triple[s] the largest of three; 0 where there is none. The index is
+    made once. Lengths get used up, so what it names is checked against the counts; where they don't suffice any more,
+    another combination of that sum is looked for and put into the index.
+    """
+
+    def __init__(self, counts: np.ndarray) -> None:
+        capacity = len(counts) - 1
+        self.pair, self.triple = np.zeros(capacity + 1, np.int64), np.zeros(capacity + 1, np.int64)
+        lengths = np.flatnonzero(counts)
+        for a in lengths:  # ascending: the largest first member stays
+            b = lengths[(lengths <= min(a, capacity - a)) & ((lengths < a) | (counts[a] > 1))]
+            self.pair[a + b] = a
+        pairs = np.flatnonzero(self.pair)
+        for a in lengths:
+            two = pairs[(pairs <= capacity - a) & (self.pair[pairs] <= a)]
+            self.triple[a + two] = a
+
+    def two(self, total: int, free: np.ndarray, top: int) -> list[int] | None:
+        """Two lengths, at most `top`, of this sum that are there."""
+        if not self.pair[total]:
+            return None  # counts only fall
+        own = [int(self.pair[total]), total - int(self.pair[total])]
+        if own[0] <= top and self.there(own, free):
+            return own
+        a = np.flatnonzero(free[: min(total, top + 1)] > 0)
+        a = a[a * 2 >= total]
+        a = a[(free[total - a] > 0) & ((a * 2 != total) | (free[a] > 1))]
+        if not len(a):
+            return None
+        self.pair[total] = max(self.pair[total], a[-1]) if own[0] > top else a[-1]
+        return [int(a[-1]), total - int(a[-1])]
+
+    def three(self, total: int, free: np.ndarray) -> list[int] | None:
+        if not self.triple[total]:
+            return None
+        tries = [int(self.triple[total])]
+        a = np.flatnonzero(free[:total] > 0)
+        tries += a[a * 3 >= total][::-1].tolist()
+        for x in tries:
+            two = self.two(total - x, free, x)
+            if two and self.there([x, *two], free):
+                self.triple[total] = x
+                return [x, *two]
+        return None
+
+    def exact(self, gap: int, free: np.ndarray) -> list[int] | None:
+        """One, two or three lengths that are there and fill the gap."""
+        return [gap] if free[gap] > 0 else self.two(gap, free, gap) or self.three(gap, free)
+
+    @staticmethod
+    def there(own: list[int], free: np.ndarray) -> bool:
+        return all(free[x] >= own.count(x) for x in own)
+
+
 def packing_plan(counts: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
     """Rows (length, first rank, copies in a bin, bins, first bin, offset): which pieces of a length go where.
 
     A bin starts with the longest lengths left. Once three pieces could fill its gap, the gap is looked up among the
-    lengths left, then the sums of two and of three of them, as far as the counts allow; if none is exact, the longest
-    that fits goes in (best fit) and the lookup is repeated. A bin is repeated as often as the counts allow, so each
-    step uses up a length: the plan has at most `capacity` kinds of bins.
+    lengths left and the indexed sums of two and of three of them (`Sums`), as far as the counts allow; if none is
+    exact, the longest that fits goes in (best fit) and the lookup is repeated. A bin is repeated as often as the counts
+    allow, so each step uses up a length: the plan has at most `capacity` kinds of bins.
     """
     left = np.zeros(capacity + 1, np.int64)
     for n, c in counts.items():
         left[n] = c
     used = np.zeros(capacity + 1, np.int64)
-    plan, bins = [], 0
-
-    def exact(gap: int, free: np.ndarray) -> list[int] | None:
-        if free[gap] > 0:
-            return [gap]
-        lengths = np.flatnonzero(free[: gap + 1] > 0)
-        has = np.zeros(gap + 1, bool)
-        has[lengths] = True
-
-        def pair(total: int, top: int) -> list[int] | None:
-            a = lengths[(lengths * 2 >= total) & (lengths < total) & (lengths <= top)]
-            ok = a[has[total - a] & ((a * 2 != total) | (free[a] > 1))]
-            return [int(ok[-1]), total - int(ok[-1])] if len(ok) else None
-
-        if two := pair(gap, gap):
-            return two
-        for a in lengths[(lengths * 3 >= gap) & (lengths < gap)][::-1]:
-            rest = gap - int(a)
-            if (two := pair(rest, int(a))) and all(free[x] >= n for x, n in Counter([int(a), *two]).items()):
-                return [int(a), *two]
-        return None
-
+    plan, bins, sums = [], 0, Sums(left)
     while (lengths := np.flatnonzero(left)).size:
         free, gap, own = left.copy(), capacity, []
         while gap:
@@ -183,7 +219,7 @@ def packing_plan(counts: dict[int, int], capacity: int = CAPACITY) -> np.ndarray
             if not fits.size:
                 break
             longest = int(fits[-1])
-            more = exact(gap, free) if own and gap <= 3 * longest else None
+            more = sums.exact(gap, free) if own and gap <= 3 * longest else None
             if more is None:  # the longest that fits, as often as three more of it would still fit
                 n = max(1, min(int(free[longest]), gap // longest - 3)) if own else 1
                 more = [longest] * n
