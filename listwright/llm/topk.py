@@ -1,10 +1,11 @@
 """Operator 4: exact top-k by inner product, in three phases with a uniform threshold.
 
 A vector's score is the sum of `LISTS` partial scores, one for each slice of its components; a slice of a shard is one
-list. Phase 1 takes each list's k highest entries, completes their scores and gathers the k best: a query's k-th best
-of all shards is a safe cutoff. Phase 2 sends the cutoffs to all shards: an entry can only reach its cutoff if in some
-list it lies above the list's share of it, so every list collects its entries above that share. Phase 3 completes the
-scores of those entries and keeps each shard's k best that reach the cutoff.
+list. Phase 1 takes each list's k highest entries, completes the scores of these alone and gathers the k best: a query's
+k-th best of all shards is a safe cutoff. Phase 2 sends the cutoffs to all shards. A shard whose lists' longest slices
+can't reach a query's cutoff (Cauchy's bound) isn't looked at for that query. In the others an entry can only reach the
+cutoff if in some list it lies above the list's share of it, so every list collects its entries above that share. Phase
+3 completes the scores of those entries and keeps each shard's k best that reach the cutoff.
 
 Defined results. Vectors that are null, empty, or hold null or non-finite components take no part. Vectors of
 different lengths don't meet. A query never meets its own vec_id, so repeated rows of one vec_id don't meet each other;
@@ -34,6 +35,13 @@ def scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a.astype(np.int64).astype(object) @ b.astype(np.int64).astype(object).T
 
 
+def completed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Integer inner products of rows in the same place, exact as `scores`."""
+    if a.size and np.abs(a).max() * np.abs(b).max() * a.shape[1] < EXACT:
+        return np.einsum("ij,ij->i", a, b)
+    return (a.astype(np.int64).astype(object) * b.astype(np.int64).astype(object)).sum(axis=1)
+
+
 def slices(width: int) -> list[slice]:
     edges = np.linspace(0, width, min(LISTS, width) + 1).astype(int)
     return [slice(a, b) for a, b in zip(edges[:-1], edges[1:], strict=True)]
@@ -58,7 +66,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         at = np.unique(np.concatenate(rows) * len(vec) + np.concatenate(cols))
         r, c = np.divmod(at, len(vec))
         r, c = r[own[r] != vec[c]], c[own[r] != vec[c]]
-        whole = scores(q, v)[r, c].astype(np.int64)
+        whole = completed(q[r], v[c]).astype(np.int64)
         keep = best(own[r], vec[c], -whole, k)
         return own[r][keep], vec[c][keep], whole[keep]
 
@@ -66,6 +74,11 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         """Phases 2 and 3 in a shard: what lies above its list's share of the cutoff, completed."""
         v, q, vec, own = doubles(data, width), doubles(q_data, width), ints(ids), ints(q_ids)
         cutoff = np.array([cutoffs.get(x, -np.inf) for x in own.tolist()])
+        bound = sum(np.sqrt((q[:, s] ** 2).sum(axis=1)) * np.sqrt((v[:, s] ** 2).sum(axis=1).max()) for s in slices(width))
+        may = bound * (1 + 1e-9) >= cutoff
+        q, own, cutoff = q[may], own[may], cutoff[may]
+        if not len(own):
+            return own, own, own
         parts = [scores(q[:, s], v[:, s]) for s in slices(width)]
         tops = np.stack([p.max(axis=1).astype(np.float64) for p in parts])
         # uniform shares: each list may fall short of its top by the same amount, so that the shares sum to the cutoff
