@@ -1,6 +1,7 @@
 """Vector searches against brute force; classifiers by held-out accuracy."""
 
 import os
+import re
 import zlib
 
 import numpy as np
@@ -122,6 +123,68 @@ def test_no_labels_and_no_documents(spark):
     assert toxicity.toxicity(docs.limit(0), labels).count() == 0
 
 
+def test_pairs_of_words_are_learnt(spark):
+    """Labels that neither of two words tells alone: the exclusive or of both, and an insult beside a group's name."""
+    draw = np.random.default_rng(3)
+    rows, either, both = [], [], []
+    for i in range(2400):
+        a, b = draw.random(2) < 0.4
+        w = draw.choice([f"word{k}" for k in range(300)], 40).tolist() + ["alpha"] * int(a) + ["beta"] * int(b)
+        draw.shuffle(w)
+        rows.append((i, " ".join(w)))
+        either.append((i, int(a != b)))
+        both.append((i, int(a and b)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for made in (either, both):
+        labels = spark.createDataFrame(made, "doc_id long, toxic int")
+        model = toxicity.fit(docs, labels)
+        truth = dict(made)
+        for own, good in ((model, True), (toxicity.Model(model.terms, model.bias, model.weights, model.factors * 0), False)):
+            held = toxicity.scored(docs, own).where(toxicity.held_out(F.col("doc_id"))).collect()
+            right = np.mean([int(r["score"] >= 0.3) == truth[r["doc_id"]] for r in held])
+            assert (right > 0.9) == good
+
+
+def test_toxicity_score_is_the_double_sum(spark):
+    docs, labels = labelled(spark)
+    model = toxicity.fit(docs, labels)
+    place = {int(t): k for k, t in enumerate(model.terms)}
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in toxicity.scored(docs.where("doc_id % 50 = 1"), model).collect():
+        pieces = set(re.findall(r"[^\W_]+", texts[r["doc_id"]].lower()))
+        has = sorted({place[t] for p in pieces for t in toxicity.word_terms(p) if t in place})
+        x = model.bias + sum(model.weights[i] for i in has)
+        x += sum(float(model.factors[i] @ model.factors[j]) for k, i in enumerate(has) for j in has[:k])
+        assert r[len(docs.columns)] == pytest.approx(1 / (1 + np.exp(-x)), abs=1e-9)
+
+
+def test_quality_score_is_the_cumulative_link(spark):
+    docs, labels = labelled(spark)
+    model = quality.fit(docs, labels)
+    weights = dict(zip(model.terms.tolist(), model.weights.tolist(), strict=True))
+    make, texts = quality.text_terms(), {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in quality.scored(docs.where("doc_id % 50 = 1"), model).collect():
+        at, value = make(texts[r["doc_id"]])
+        x = sum(weights.get(int(a), 0.0) * float(b) for a, b in zip(at, value, strict=True))
+        at_most = [1 / (1 + np.exp(-(c - x))) for c in model.thresholds] + [1.0]
+        share = np.diff([0.0, *at_most])
+        assert r["expected_grade"] == pytest.approx(float(share @ model.grades), abs=1e-9)
+        assert r["tail_probability"] == pytest.approx(float(share[-1]), abs=1e-9)
+
+
+def test_whole_texts_are_read(spark):
+    """Words behind punctuation and the ends of long texts, with and without blanks, count."""
+    docs, labels = labelled(spark)
+    model = toxicity.fit(docs, labels)
+    long = " ".join(["word1"] * 30_000)
+    rows = [(0, "word1 hello,scumbag"), (1, "you/scumbag"), (2, long + " scumbag"), (3, long), (4, "\u65e5" * 5000 + ",scumbag")]
+    got = {r["doc_id"]: r["score"] for r in toxicity.scored(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert min(got[i] for i in (0, 1, 2, 4)) > 0.3 > got[3]
+    assert toxicity.word_terms("\u65e5" * 60) != toxicity.word_terms("\u65e5" * 60 + "\u672c" * 500)
+    assert quality.word_terms("\u65e5" * 60) != quality.word_terms("\u65e5" * 60 + "\u672c" * 500)
+    assert quality.graded(spark.createDataFrame(rows, "doc_id long, text string"), labels).count() == 5
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_held_out_accuracy(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import itertools
 import re
 import zlib
 from collections import Counter
@@ -264,7 +265,6 @@ def test_packing(docs, empty):
     path = public_tokenizers.path("word_bpe_49k.json")
     out = packing.pack_documents(docs, path).collect()
     encoder = Tokenizer.from_file(path)
-    encoder.encode_special_tokens = True
     want = Counter()
     for doc, text, *_ in corpus():
         ids = encoder.encode(text or "", add_special_tokens=False).ids + [1]
@@ -289,10 +289,9 @@ def test_packing_tokenizes_as_the_library(text):
 
     path = public_tokenizers.path("word_bpe_49k.json")
     words_ = packing.Words(path)
-    own = packing.in_words(text)
+    own = words_.parts(text)
     words_.learn(set(own))
     encoder = Tokenizer.from_file(path)
-    encoder.encode_special_tokens = True
     assert np.frombuffer(b"".join(words_.known[w] for w in own), "<u4").tolist() == encoder.encode(text, add_special_tokens=False).ids
 
 
@@ -313,6 +312,25 @@ def test_packing_keeps_added_tokens(spark):
     assert sorted(tuple(r)[:5] for r in got) == want
 
 
+def test_sums_are_indexed_and_checked_against_counts():
+    draw = np.random.default_rng(6)
+    for _ in range(200):
+        counts = np.zeros(61, np.int64)
+        for x in draw.integers(1, 60, int(draw.integers(1, 8))):
+            counts[x] += 1
+        sums = packing.Sums(counts)
+        has = np.repeat(np.arange(61), counts).tolist()
+        free = counts.copy()
+        for x in draw.choice(has, len(has) // 3, replace=False):  # some are used up
+            free[x] -= 1
+        left = np.repeat(np.arange(61), free).tolist()
+        made = {sum(c) for n in (1, 2, 3) for c in itertools.combinations(left, n)}
+        for gap in range(1, 61):
+            got = sums.exact(gap, free)
+            assert (got is not None) == (gap in made)
+            assert got is None or sum(got) == gap and not Counter(got) - Counter(left)
+
+
 def test_packing_plan_places_all_and_wastes_little():
     draw = np.random.default_rng(1)
     counts = Counter(np.minimum(draw.lognormal(5.5, 1.3, 20000).astype(int) + 1, 4096).tolist())
