@@ -57,9 +57,14 @@ def significant_tokens(c: Column) -> Column:
 
 def token_similarity(a: Column, b: Column) -> Column:
     """The larger of Dice and overlap coefficient of the significant tokens; 0 if a side has none."""
-    x, y = significant_tokens(a), significant_tokens(b)
-    shared, n, m = F.size(F.array_intersect(x, y)), F.size(x), F.size(y)
-    return F.when((n <= 0) | (m <= 0), F.lit(0.0)).otherwise(F.greatest(2.0 * shared / (n + m), shared / F.least(n, m)))
+
+    def of(both: Column) -> Column:
+        x, y = both["x"], both["y"]
+        shared, n, m = F.size(F.array_intersect(x, y)), F.size(x), F.size(y)
+        return F.when((n <= 0) | (m <= 0), F.lit(0.0)).otherwise(F.greatest(2.0 * shared / (n + m), shared / F.least(n, m)))
+
+    # a lambda's argument is made once, however often it's named: an expression would be made anew in each place
+    return F.transform(F.array(F.struct(significant_tokens(a).alias("x"), significant_tokens(b).alias("y"))), of)[0]
 
 
 def slug(c: Column) -> Column:

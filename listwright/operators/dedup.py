@@ -69,10 +69,9 @@ def candidate_pairs(events: DataFrame, occurrences: DataFrame, refs: DataFrame)
     rows = rows.where(~F.coalesce(F.arrays_overlap("left_sources", "right_sources"), F.lit(False)))
     shared, every = F.size(F.array_intersect("left_grams", "right_grams")), F.size(F.array_union("left_grams", "right_grams"))
     rows = rows.withColumn("shared", shared).where("shared > 0").withColumn("similar", F.col("shared") / every > LEAST_TITLE)
-    # the similarity of runs costs more: only for pairs that the plain one leaves open
-    sure = rows.where("similar").select("left_id", "right_id")
-    open_ = rows.where("not similar").where(word_similarity(F.col("left_title"), F.col("right_title")) > LEAST_TITLE).select("left_id", "right_id")
-    return sure.unionByName(open_)
+    # the similarity of runs costs more: pairs that the plain one settles send it a null, which it passes over
+    open_title = F.when(~F.col("similar"), F.col("left_title"))
+    return rows.where(F.col("similar") | (word_similarity(open_title, F.col("right_title")) > LEAST_TITLE)).select("left_id", "right_id")
 
 
 def title_candidate(a: Column, b: Column) -> Column:
@@ -82,8 +81,9 @@ def title_candidate(a: Column, b: Column) -> Column:
 # signals
 
 
-def venue_signal(left: Column, right: Column) -> Column:
-    name = token_similarity(left["name"], right["name"])
+def venue_signal(left: Column, right: Column, name: Column | None = None) -> Column:
+    """name: the names' similarity, where it's known already."""
+    name = token_similarity(left["name"], right["name"]) if name is None else name
     second = F.array_compact(F.array(*(F.when(left[k].isNotNull() & right[k].isNotNull() & (left[k] != "") & (right[k] != ""), token_similarity(left[k], right[k])) for k in ("address", "neighborhood"))))
     average = F.aggregate(second, F.lit(0.0), lambda a, x: a + x) / F.size(second)
     return F.when(left.isNotNull() & right.isNotNull(), F.when(F.size(second) > 0, 0.8 * name + 0.2 * average).otherwise(name))
@@ -164,13 +164,15 @@ def score(signals: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), mean + F.when(signals["url"] == 1, F.lit(URL_BONUS)).otherwise(F.lit(0.0))))
 
 
-def conflicts(left: Column, right: Column, temporal: Column) -> Column:
+def conflicts(left: Column, right: Column, temporal: Column, name: Column | None = None) -> Column:
+    """Venues conflict by city as they're written: a missing city is another than a given one."""
     a, b = left["venue"], right["venue"]
+    name = token_similarity(a["name"], b["name"]) if name is None else name
     both, metres = a.isNotNull() & b.isNotNull(), geo_metres(a, b)
-    venue = F.when(metres.isNotNull(), metres > VENUE_CONFLICT_METRES).otherwise(token_similarity(a["name"], b["name"]) < VENUE_CONFLICT_NAME)
+    venue = F.when(metres.isNotNull(), metres > VENUE_CONFLICT_METRES).otherwise(name < VENUE_CONFLICT_NAME)
     one, other = year_token(left["title"]), year_token(right["title"])
     return F.array_compact(
-        F.array(temporal["conflict"], F.when(both & (a["city"] != b["city"]), "city_conflict"), F.when(both & venue, "venue_conflict"), F.when(one != other, "edition_conflict"))
+        F.array(temporal["conflict"], F.when(both & ~a["city"].eqNullSafe(b["city"]), "city_conflict"), F.when(both & venue, "venue_conflict"), F.when(one != other, "edition_conflict"))
     )
 
 
@@ -186,6 +188,7 @@ def routing(value: Column, found: Column, blocked: Column) -> Column:
     )
 
 
+# The texts of reasons.
 def reasons(s: Column, found: Column, blocked: Column, route: Column) -> Column:
     two = lambda text, c: F.when(c.isNotNull(), F.format_string(f"{text}: %.2f", c))
     first = F.array_compact(
@@ -202,15 +205,16 @@ def reasons(s: Column, found: Column, blocked: Column, route: Column) -> Column:
 def assess(pairs: DataFrame) -> DataFrame:
     """pairs with columns left and right, plus signals, score, conflicts, blockers, routing, reasons."""
     l, r = F.col("left"), F.col("right")
-    rows = pairs.withColumn("temporal", temporal_signal(l["occurrence"], r["occurrence"]))
+    names = token_similarity(l["venue"]["name"], r["venue"]["name"])
+    rows = pairs.withColumns({"temporal": temporal_signal(l["occurrence"], r["occurrence"]), "name_similarity": names})
     signals = F.struct(
-        token_similarity(l["title"], r["title"]).alias("title"), venue_signal(l["venue"], r["venue"]).alias("venue"), F.col("temporal.similarity").alias("temporal"),
+        token_similarity(l["title"], r["title"]).alias("title"), venue_signal(l["venue"], r["venue"], F.col("name_similarity")).alias("venue"), F.col("temporal.similarity").alias("temporal"),
         performer_signal(l["performers"], r["performers"]).alias("performer"), geo_signal(l["venue"], r["venue"]).alias("geo"), url_signal(l, r).alias("url"),
     )
-    rows = rows.withColumns({"signals": signals, "conflicts": conflicts(l, r, F.col("temporal")), "blockers": blockers(F.col("temporal.evidence"))})
+    rows = rows.withColumns({"signals": signals, "conflicts": conflicts(l, r, F.col("temporal"), F.col("name_similarity")), "blockers": blockers(F.col("temporal.evidence"))})
     rows = rows.withColumn("score", score(F.col("signals")))
     rows = rows.withColumn("routing", routing(F.col("score"), F.col("conflicts"), F.col("blockers")))
-    return rows.withColumn("reasons", reasons(F.col("signals"), F.col("conflicts"), F.col("blockers"), F.col("routing")))
+    return rows.withColumn("reasons", reasons(F.col("signals"), F.col("conflicts"), F.col("blockers"), F.col("routing"))).drop("name_similarity")
 
 
 def sides(events: DataFrame, occurrences: DataFrame, venues: DataFrame) -> DataFrame:

@@ -84,4 +84,6 @@ def sql_word_similarity(a: str, b: str) -> str:
 
 
 def sql_haversine(a: str, b: str, c: str, d: str) -> str:
-    return f"2 * 6371000e0 * asin(least(1e0, sqrt(pow(sin(radians({c} - {a}) / 2), 2) + cos(radians({a})) * cos(radians({c})) * pow(sin(radians({d} - {b}) / 2), 2))))"
+    """Null where a coordinate is: DuckDB's least() passes over nulls."""
+    known = " AND ".join(f"{x} IS NOT NULL" for x in (a, b, c, d))
+    return f"CASE WHEN {known} THEN 2 * 6371000e0 * asin(least(1e0, sqrt(pow(sin(radians({c} - {a}) / 2), 2) + cos(radians({a})) * cos(radians({c})) * pow(sin(radians({d} - {b}) / 2), 2)))) END"

@@ -239,7 +239,7 @@ def local_dates(spark, sf_dir):
 
 
 @query("""WITH p AS (SELECT a.id AS a, b.id AS b, a.latitude AS la, a.longitude AS lo, b.latitude AS lb, b.longitude AS lp FROM v_venues a JOIN v_venues b ON b.id = a.id + 1)
-  SELECT a, b, round(2 * 6371000e0 * asin(least(1e0, sqrt(pow(sin(radians(lb - la) / 2), 2) + cos(radians(la)) * cos(radians(lb)) * pow(sin(radians(lp - lo) / 2), 2)))), 3) AS metres FROM p""")
+  SELECT a, b, CASE WHEN la IS NOT NULL AND lo IS NOT NULL AND lb IS NOT NULL AND lp IS NOT NULL THEN round(2 * 6371000e0 * asin(least(1e0, sqrt(pow(sin(radians(lb - la) / 2), 2) + cos(radians(la)) * cos(radians(lb)) * pow(sin(radians(lp - lo) / 2), 2)))), 3) END AS metres FROM p""")
 def sphere_distance(spark, sf_dir):
     v = view(spark, sf_dir, "v_venues")
     b = v.select((F.col("id") - 1).alias("a"), F.col("id").alias("b"), F.col("latitude").alias("lb"), F.col("longitude").alias("lp"))

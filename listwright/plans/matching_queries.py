@@ -14,10 +14,12 @@ from .views import view
 OVERLAP = f"""{OCC}, o AS (SELECT occ.*, e.title FROM occ JOIN v_events e ON e.id = occ.event_id WHERE e.status = 'scheduled'),
   src AS (SELECT event_id, list(source_id) AS s FROM v_refs GROUP BY event_id),
   near AS (SELECT DISTINCT a.event_id AS left_id, b.event_id AS right_id FROM o a JOIN o b ON a.event_id < b.event_id AND a.first_day <= b.last_day AND b.first_day <= a.last_day)"""
-BLOCK = f"""{OVERLAP}, g AS (SELECT id, title, {sql_trigrams('title')} AS t FROM v_events),
+
+
+SHORT = "(category_id || ' ' || source_id)"
+BLOCK = f"""{OVERLAP}, g AS (SELECT id, {sql_trigrams(SHORT)} AS t FROM v_events),
   far AS (SELECT left_id, right_id, l.t AS lt, r.t AS rt FROM near JOIN src a ON a.event_id = left_id JOIN src b ON b.event_id = right_id JOIN g l ON l.id = left_id JOIN g r ON r.id = right_id WHERE NOT list_has_any(a.s, b.s)),
-  sim AS (SELECT left_id, right_id, lt, rt, {sql_similarity('lt', 'rt')} AS s FROM far),
-  pairs AS (SELECT left_id, right_id FROM sim WHERE s > 0.15 OR {sql_word_similarity('lt', 'rt')} > 0.15)"""
+  sim AS (SELECT left_id, right_id, lt, rt, {sql_similarity('lt', 'rt')} AS s FROM far)"""
 
 
 def store(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
@@ -39,16 +41,15 @@ def block_pairs(spark, sf_dir):
     return M.candidate_pairs(events, occurrences, refs)
 
 
-SMALL = "(SELECT * FROM v_events WHERE length(title) < 40)"
-SMALL_BLOCK = BLOCK.replace("FROM v_events)", f"FROM {SMALL})").replace("JOIN v_events e ON e.id", f"JOIN {SMALL} e ON e.id")
-
-
-@query(f"WITH {SMALL_BLOCK} SELECT left_id, right_id FROM pairs")
+@query(f"WITH {BLOCK} SELECT left_id, right_id FROM sim WHERE s > 0.15 OR {sql_word_similarity('lt', 'rt')} > 0.15")
 def block_pairs_short_titles(spark, sf_dir):
+    """All events once more, each with a short field as its title: its language and source."""
     events, occurrences, _, refs = store(spark, sf_dir)
-    return M.candidate_pairs(events.where("length(title) < 40"), occurrences, refs)
+    return M.candidate_pairs(events.withColumn("title", F.concat_ws(" ", "category_id", "source_id")), occurrences, refs)
 
 
+# titles and venues are stand-ins: beginnings of texts of a title's length. text_normalize, trigram_similarity and others
+# of functions run on whole texts
 # signals: an event beside the next one of its language, with the venues, dates, names and links that documents give
 
 SIDES = """SELECT doc_id, CAST(doc_id AS STRING) AS id, substr(text, 1, 40) AS title, CASE WHEN doc_id % 3 = 0 THEN 'date' ELSE 'timed' END AS kind,
@@ -124,7 +125,7 @@ ASSESS_SQL = f"""{TIME_SQL}, {VENUE_SQL.replace('{0}', 'temporal')},
   sig AS (SELECT *, {sql_token_similarity('l_title', 'r_title')} AS title_sim, CASE WHEN {VENUES} THEN {METRES} END AS metres, {URL_SQL} AS url_sim FROM venue),
   sc AS (SELECT *, least(1e0, greatest(0e0, (0.4e0 * title_sim + coalesce(0.2e0 * vsim, 0) + 0.2e0 * tsim + CASE WHEN metres IS NULL THEN 0 ELSE 0.1e0 * greatest(0e0, 1 - metres / 1000) END) / (0.4e0 + CASE WHEN vsim IS NULL THEN 0 ELSE 0.2e0 END + 0.2e0 + CASE WHEN metres IS NULL THEN 0 ELSE 0.1e0 END)
     + CASE WHEN url_sim = 1 THEN 0.05e0 ELSE 0 END)) AS score,
-    list_filter([tconflict, CASE WHEN {VENUES} AND l.city <> r.city THEN 'city_conflict' END, CASE WHEN {VENUES} AND CASE WHEN metres IS NOT NULL THEN metres > 1500 ELSE name_sim < 0.2 END THEN 'venue_conflict' END], lambda x: x IS NOT NULL) AS conflicts FROM sig),
+    list_filter([tconflict, CASE WHEN {VENUES} AND l.city IS DISTINCT FROM r.city THEN 'city_conflict' END, CASE WHEN {VENUES} AND CASE WHEN metres IS NOT NULL THEN metres > 1500 ELSE name_sim < 0.2 END THEN 'venue_conflict' END], lambda x: x IS NOT NULL) AS conflicts FROM sig),
   done AS (SELECT doc_id, round(score, 9) AS score, array_to_string(conflicts, ',') AS conflicts, CASE WHEN list_has_any(conflicts, ['date_conflict', 'time_conflict', 'city_conflict', 'edition_conflict']) THEN 'separate' WHEN len(conflicts) > 0 THEN 'review'
     WHEN evidence <> 'mixed_precision' AND score >= 0.99 THEN 'auto_merge' WHEN score >= 0.8 THEN 'review' ELSE 'separate' END AS routing FROM sc)"""
 

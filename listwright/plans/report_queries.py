@@ -60,9 +60,9 @@ def product_summary(spark, sf_dir):
     return R.product_summary(view(spark, sf_dir, "v_analytics"))
 
 
-@query("""SELECT user_id, event_name, ts FROM (SELECT user_id, event_name, strftime(ts, '%Y-%m-%d %H:%M') AS ts FROM v_analytics WHERE event_name <> 'error' AND event_id % 100 = 0)""")
+@query("""SELECT user_id, event_name, ts FROM (SELECT user_id, event_name, strftime(ts, '%Y-%m-%d %H:%M') AS ts FROM v_analytics WHERE event_name <> 'error')""")
 def analytics_append(spark, sf_dir):
-    a = view(spark, sf_dir, "v_analytics").where("event_id % 100 = 0")
+    a = view(spark, sf_dir, "v_analytics")
     none = F.lit(None).cast("map<string, string>")
     rows = a.select("event_name", F.concat_ws("/", "event_id", "user_id").alias("event_id"), none.alias("metadata"), F.col("ts").cast("timestamp").alias("created_at"))
     good = R.analytics_rows(rows)
