@@ -38,7 +38,7 @@ PREFIXES = range(4, 9)
 TELLING = 15.0
 #: Whole words, the most frequent of the sample, whose pairs are screened; the standard deviations a pair's documents
 #: need to be apart from what the words' own weights say, and the least variance that counts (8 documents at even odds).
-PAIRED, APART, LEAST_VARIANCE = 2000, 5.5, 2.0
+PAIRED, APART, LEAST_VARIANCE = 1500, 5.5, 2.0
 
 
 @dataclass
@@ -65,7 +65,7 @@ def text_terms() -> Callable[[str], tuple[np.ndarray, np.ndarray]]:
 
     def terms(text: str) -> tuple[np.ndarray, np.ndarray]:
         at = np.array(sorted(set().union(*map(known.__getitem__, pieces_of(text)))), np.int64)
-        return at, np.ones(len(at))
+        return at, np.zeros(0)  # a term counts once: no values to send
 
     return terms
 
@@ -99,13 +99,16 @@ def pairs_that_tell(at: list[np.ndarray], miss: np.ndarray, spread: np.ndarray)
         off += has.T @ (has * miss[low : low + 400, None].astype(np.float32))
         var += has.T @ (has * spread[low : low + 400, None].astype(np.float32))
     alone = np.abs(np.diag(off)) / np.sqrt(np.diag(var) + 0.5)
-    found, effects = [], np.zeros((len(often), len(often)), np.float32)
+    found, pairs = [], []
     for i in range(len(often)):  # row by row: less memory
         z = np.abs(off[i]) / np.sqrt(var[i] + 0.5)
         ok = np.flatnonzero((var[i] >= LEAST_VARIANCE) & (z >= APART) & (z >= 1.5 * np.maximum(alone, alone[i])))
-        effects[i, ok] = np.clip(off[i, ok] / var[i, ok], -4, 4)
+        pairs.append((ok, np.clip(off[i, ok] / var[i, ok], -4, 4)))
         found += [i] * bool(len(ok))
-    return often[found], effects[np.ix_(found, found)]
+    effects = np.zeros((len(found), len(found)))
+    for k, i in enumerate(found):
+        effects[k, np.searchsorted(found, pairs[i][0])] = pairs[i][1]
+    return often[found], effects
 
 
 def first_factors(effects: np.ndarray) -> np.ndarray:
