@@ -4,12 +4,13 @@ A task cuts each text into words by the pattern and looks up those it hasn't met
 token); the recursive query joins neighbouring rows to the merge table, contracts each word's leftmost pair of minimum
 rank and ends where no word has a pair left. A query goes through `ROUNDS` rounds at most; what isn't done then begins
 the next one, so that a word of any length is contracted in the same way with bounded memory. Pairs of the same rank
-are contracted in one round, from the left, if the token that they make is part of no pair of a smaller rank: none of
-them could come between then. Decoding begins at a document's ids: rows (document, position, token) meet the
+are contracted in one round if the token that they make is part of no pair of a smaller rank, which could come between,
+and can't overlap itself; else only the leftmost is. Decoding begins at a document's ids: rows (document, position, token) meet the
 vocabulary, and an ordered aggregation makes the bytes.
 
-Where the pattern begins a match at each space that follows a character other than white space (`space_led`), a text
-without white space before a space is cut there first, and the words of such a part are remembered together.
+Where the pattern begins a match at each space that follows a character other than white space, and letters, with or
+without a space before them, or any match that stands alone, are one match (`space_led`), a text without white space before a space is cut there first, and the words of such a
+part are remembered together.
 
 Defined results. A null or empty text has no tokens and the digests of no bytes. Rows are encoded as they come, so
 repeated rows and null doc_ids stay. An empty table gives no rows. Other columns are ignored.
@@ -28,34 +29,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words that one query takes, rounds that it goes, documents decoded at once, and words (and parts of texts) kept in a
-#: Python worker; when full, the cache starts anew.
-WORDS_AT_ONCE, ROUNDS, DOCUMENTS, CACHED_WORDS = 40_000, 64, 500, 300_000
+#: Words that one query takes, rounds that it goes, documents decoded at once, and words and parts of texts kept in a
+#: Python worker (some 150 bytes each); when full, the cache starts anew.
+WORDS_AT_ONCE, ROUNDS, DOCUMENTS, CACHED_WORDS = 40_000, 64, 500, 800_000
 AMONG_SPACES = re.compile(r"^ |\s ")
 
+#: A row's spot is its word's number << 32 | its place in the word: one number to sort by.
 ENCODE = f"""
-WITH RECURSIVE state(round, word, pos, tok) AS (
-  SELECT 0, word, pos, tok FROM letters
+WITH RECURSIVE state(round, spot, tok) AS (
+  SELECT 0, spot, tok FROM letters
   UNION ALL (
-    WITH paired AS (
-      SELECT round, word, pos, tok, lead(tok) OVER own AS following, row_number() OVER own AS n
-      FROM state WHERE round < {ROUNDS} WINDOW own AS (PARTITION BY word ORDER BY pos)),
+    WITH beside AS (
+      SELECT round, spot, tok, lead(spot) OVER own AS next_spot, lead(tok) OVER own AS following, lag(spot) OVER own AS last_spot, lag(tok) OVER own AS before
+      FROM state WHERE round < {ROUNDS} WINDOW own AS (ORDER BY spot)),
+    paired AS (
+      SELECT *, CASE WHEN next_spot >> 32 = spot >> 32 THEN tok::BIGINT << 32 | following END AS pair,
+        CASE WHEN last_spot >> 32 = spot >> 32 THEN before::BIGINT << 32 | tok END AS last_pair FROM beside),
     ranked AS (
-      SELECT p.*, m.rank, m.quiet FROM paired p LEFT JOIN merges m ON m.pair = (p.tok::BIGINT << 32 | p.following)),
+      SELECT p.*, m.rank, m.quiet FROM paired p LEFT JOIN merges m USING (pair)),
     best AS (
-      SELECT word, min(rank) AS least, min(rank::BIGINT << 32 | n) & 4294967295 AS first FROM ranked WHERE rank IS NOT NULL GROUP BY word),
-    chosen AS (
-      SELECT r.*, coalesce(rank = least AND (quiet OR n = first), false) AS hit FROM ranked r JOIN best USING (word)),
-    -- of overlapping pairs (a run of one token) every second one
-    counted AS (
-      SELECT *, n - coalesce(max(CASE WHEN NOT hit THEN n END) OVER (PARTITION BY word ORDER BY pos ROWS UNBOUNDED PRECEDING), 0) AS in_run FROM chosen),
-    taken AS (
-      SELECT *, lag(in_run % 2, 1, 0) OVER (PARTITION BY word ORDER BY pos) AS gone FROM counted)
-    SELECT round + 1, word, pos, CASE WHEN in_run % 2 = 1 THEN rank ELSE tok END FROM taken WHERE gone = 0)),
-last AS (SELECT word, max(round) AS round FROM state GROUP BY word)
-SELECT word, pos, tok, round FROM state JOIN last USING (word, round) ORDER BY word, pos
+      SELECT spot >> 32 AS word, min(rank::BIGINT << 32 | (spot & 4294967295)) AS first FROM ranked WHERE rank IS NOT NULL GROUP BY 1)
+    SELECT r.round + 1, r.spot,
+      CASE WHEN r.rank = first >> 32 AND (r.quiet OR r.spot & 4294967295 = first & 4294967295) THEN r.rank ELSE r.tok END
+    FROM ranked r JOIN best ON word = r.spot >> 32 LEFT JOIN merges b ON b.pair = r.last_pair
+    WHERE (b.rank = first >> 32 AND (b.quiet OR r.last_spot & 4294967295 = first & 4294967295)) IS NOT TRUE)),
+final AS (SELECT spot >> 32 AS word, max(round) AS round FROM state GROUP BY 1)
+SELECT spot, tok, s.round FROM state s JOIN final f ON f.word = s.spot >> 32 AND f.round = s.round ORDER BY spot
 """
-DECODE = "SELECT doc, list(bytes ORDER BY pos) AS parts FROM coded JOIN vocabulary USING (tok) GROUP BY doc ORDER BY doc"
+DECODE = "SELECT list(bytes ORDER BY place) AS parts FROM coded JOIN vocabulary USING (tok)"
 
 
 class Words:
@@ -70,11 +71,10 @@ class Words:
         self.find = regex.compile(pattern).findall
         self.space_led = space_led
         self.known: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
         own = self.ranks
         merges = np.array([(own[t[:i]], own[t[i:]], r) for t, r in own.items() for i in range(1, len(t)) if t[:i] in own and t[i:] in own], np.int64).reshape(-1, 3)
         early = merges[:, 2] <= merges[:, :2].max(axis=1)  # a token of such a pair may be made after the pair is due
-        loud = np.unique(merges[early, :2][merges[early, :2] >= merges[early, 2:]])
+        loud = np.union1d(merges[early, :2][merges[early, :2] >= merges[early, 2:]], [r for t, r in own.items() if any(t[:k] == t[-k:] for k in range(1, len(t)))])
         self.byte_ids = np.array([own[bytes([i])] for i in range(256)], np.int32)
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
         self.load("merges", pa.table({"pair": merges[:, 0] << 32 | merges[:, 1], "rank": merges[:, 2].astype(np.int32), "quiet": ~np.isin(merges[:, 2], loud)}))
@@ -86,26 +86,25 @@ class Words:
         self.db.unregister("given")
 
     def divided(self, text: str | None) -> list[str]:
-        """Parts of a text between which no match of the pattern goes on."""
+        """The words of a text, or parts of it between which no match of the pattern goes on."""
         if not text:
             return []
         if not self.space_led or AMONG_SPACES.search(text):
-            return [text]
+            return self.find(text)
         first, *rest = text.split(" ")
         return [first, *[" " + x for x in rest]]
 
     def learn(self, parts: set[str]) -> None:
-        """Puts the ids of all `parts` of texts into `parts`, as bytes."""
-        if len(self.parts) > CACHED_WORDS:
-            self.parts.clear()
-        new = {x: self.find(x) for x in parts - self.parts.keys()}
-        self.learn_words(set().union(*new.values()))
+        """Puts the ids of all `parts` into `known`, as bytes."""
+        if len(self.known) > CACHED_WORDS:
+            self.known.clear()
+        new = parts - self.known.keys()
+        several = {x: own for x in new if not ((x[0] == " " or x[0].isalpha()) and x[1:].isalpha()) and len(own := self.find(x)) != 1} if self.space_led else {}
+        self.learn_words((new - several.keys()).union(*several.values()))
         known = self.known
-        self.parts.update((x, b"".join([known[w] for w in own])) for x, own in new.items())
+        known.update((x, b"".join([known[w] for w in own])) for x, own in several.items())
 
     def learn_words(self, words: set[str]) -> None:
-        if len(self.known) > CACHED_WORDS:
-            self.known.clear()
         waiting: list[tuple[str, bytes]] = []
         for w in words - self.known.keys():
             code = w.encode()
@@ -117,36 +116,39 @@ class Words:
             own = waiting[low : low + WORDS_AT_ONCE]
             sizes = np.array([len(c) for _, c in own])
             letters = np.frombuffer(b"".join(c for _, c in own), np.uint8)
-            word = np.repeat(np.arange(len(own), dtype=np.int32), sizes)
-            pos = np.arange(len(letters)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            rows = pa.table({"word": word, "pos": pos.astype(np.int32), "tok": self.byte_ids[letters]})
+            word = np.repeat(np.arange(len(own)), sizes)
+            place = np.arange(len(letters)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            rows = pa.table({"spot": word << 32 | place, "tok": self.byte_ids[letters]})
             while len(rows):
                 self.load("letters", rows)
                 got = self.db.execute(ENCODE).fetchnumpy()
                 going = got["round"] >= ROUNDS
-                rows = pa.table({k: got[k][going] for k in ("word", "pos", "tok")})
-                done, ids = got["word"][~going], got["tok"][~going].astype("<u4")
+                rows = pa.table({k: got[k][going] for k in ("spot", "tok")})
+                done, ids = got["spot"][~going] >> 32, got["tok"][~going].astype("<u4").tobytes()
                 borders = [*np.flatnonzero(np.diff(done, prepend=-1)).tolist(), len(done)]
-                for a, b in zip(borders[:-1], borders[1:], strict=True):
-                    self.known[own[done[a]][0]] = ids[a:b].tobytes()
+                for k, a, b in zip(done[borders[:-1]].tolist(), borders[:-1], borders[1:], strict=True):
+                    self.known[own[k][0]] = ids[4 * a : 4 * b]
 
     def decoded(self, codes: list[bytes]) -> list[bytes]:
-        """The bytes of documents given by their ids."""
+        """The bytes of documents given by their ids: those of all tokens in order, cut at the documents' ends."""
         sizes = [len(c) // 4 for c in codes]
         ids = np.frombuffer(b"".join(codes), "<u4").astype(np.int32)
-        self.load("coded", pa.table({"doc": np.repeat(np.arange(len(codes), dtype=np.int32), sizes), "pos": np.arange(len(ids), dtype=np.int64), "tok": ids}))
-        got = self.db.sql(DECODE).to_arrow_table()
-        out = [b""] * len(codes)
-        for doc, parts in zip(got["doc"].to_pylist(), got["parts"], strict=True):
-            out[doc] = joined(parts.values)
-        return out
-
-
-def joined(parts: pa.Array) -> bytes:
-    """All of a binary array, one after another, as it lies in its buffer."""
+        if not len(ids):
+            return [b""] * len(codes)
+        self.load("coded", pa.table({"place": np.arange(len(ids)), "tok": ids}))
+        parts = self.db.sql(DECODE).to_arrow_table()["parts"].combine_chunks()
+        parts = parts.chunk(0) if isinstance(parts, pa.ChunkedArray) else parts
+        tokens = parts[0].values
+        ends, data = spread(tokens)
+        at = ends[np.cumsum([0, *sizes])].tolist()
+        return [data[x:y] for x, y in zip(at[:-1], at[1:], strict=True)]
+
+
+def spread(parts: pa.Array) -> tuple[np.ndarray, bytes]:
+    """The ends of a binary array's items, and all of them one after another, as they lie in its buffer."""
     kind = np.int64 if pa.types.is_large_binary(parts.type) else np.int32
     ends = np.frombuffer(parts.buffers()[1], kind)[parts.offset : parts.offset + len(parts) + 1]
-    return parts.buffers()[2][int(ends[0]) : int(ends[-1])].to_pybytes() if len(parts) else b""
+    return ends - ends[0], parts.buffers()[2][int(ends[0]) : int(ends[-1])].to_pybytes()
 
 
 @lru_cache(1)
@@ -167,7 +169,7 @@ def encoded(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = Fal
                 ids = batch.column(0).slice(low, DOCUMENTS)
                 texts = [words.divided(x) for x in batch.column(1).slice(low, DOCUMENTS).to_pylist()]
                 words.learn(set().union(*texts))
-                code = [b"".join(map(words.parts.__getitem__, own)) for own in texts]
+                code = [b"".join(map(words.known.__getitem__, own)) for own in texts]
                 back = words.decoded(code)
                 cols = [ids, pa.array([len(c) // 4 for c in code], pa.int64()), *(pa.array([hashlib.sha256(x).hexdigest() for x in own], pa.string()) for own in (code, back))]
                 names = OUT.split(", ")

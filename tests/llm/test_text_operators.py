@@ -377,7 +377,7 @@ def test_bpe_words_of_any_length_and_odd_spaces():
     texts = ["".join(draw.choice(parts, int(draw.integers(1, 12)))) for _ in range(3000)]
     cut = [own.divided(x) for x in texts]
     own.learn(set().union(*cut))
-    codes = [b"".join(own.parts[p] for p in x) for x in cut]
+    codes = [b"".join(own.known[p] for p in x) for x in cut]
     assert [np.frombuffer(c, "<u4").tolist() for c in codes] == [library.encode_ordinary(x) for x in texts]
     assert own.decoded(codes) == [x.encode() for x in texts]
     assert any(len(x) > 1 for x in cut)
