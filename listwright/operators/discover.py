@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 from listwright.functions.geo import ellipsoidal, within_box
 from listwright.functions.temporal import PERIODS, date_range, date_range_error, effective_instant, local_end, local_start
 from listwright.functions.text import contains_ignore_case, word_similarity
+from listwright.operators.export import public_rows
 from listwright.operators.normalize import STATUSES
+from listwright.operators.store import hydrate
 
 # Bounds and defaults of a request, and the least word similarity.
 LIMIT, MAX_LIMIT, RADIUS, MIN_RADIUS, MAX_RADIUS, LEAST_WORD_SIMILARITY = 20, 100, 5000, 1, 50000, 0.3
@@ -122,6 +124,19 @@ def discover(events: DataFrame, occurrences: DataFrame, venues: DataFrame, reque
     return rows.orderBy(*key).limit(request.limit)
 
 
+def public_page(events: DataFrame, occurrences: DataFrame, venues: DataFrame, refs: DataFrame, request: Request, suppressed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(one page of public rows with their position pos, (has_more, next key)): suppressed events go before the page is
+    cut, and only the page's rows, at most its limit, get their children. Order by pos.
+
+    events, venues and refs have the columns that `export.public_rows` shows.
+    """
+    rows, following = page(found(events, occurrences, venues, request, suppressed), request)
+    extra = ["distance_meters"] if request.lat is not None else []
+    key = order_key(request.lat is not None)
+    ids = rows.select("id", *extra, F.row_number().over(Window.orderBy(*key)).alias("pos"))  # a page's rows
+    return public_rows(hydrate(events, occurrences, venues, refs, ids), "pos"), following
+
+
 def full_scan(events: DataFrame, occurrences: DataFrame, venues: DataFrame, suppressed: DataFrame | None = None) -> DataFrame:
     """All visible events in order: what paging to the end would give, as one range-partitioned sort."""
     return found(events, occurrences, venues, Request(), suppressed).orderBy(*order_key(False))
@@ -242,4 +257,4 @@ def discover_batch(events: DataFrame, occurrences: DataFrame, venues: DataFrame,
     return rows.withColumn("rank", F.row_number().over(order)).where(c("rank") <= c("limit")).select("request_id", "rank", "id", "sort_instant", "distance_meters")
 
 
-__all__ = ["PERIODS", "Request", "discover", "discover_batch", "found", "full_scan", "matching", "page", "validated"]
+__all__ = ["PERIODS", "Request", "discover", "discover_batch", "found", "full_scan", "matching", "page", "public_page", "validated"]

@@ -49,8 +49,9 @@ def occurrence_shape(o: Column) -> Column:
     return F.when(o["temporal_kind"] == "timed", timed).otherwise(dated)
 
 
-def public_rows(events: DataFrame) -> DataFrame:
-    """Hydrated events (venue, price, occurrences, sources) in the public shape; distance_meters only if there."""
+def public_rows(events: DataFrame, *extra: str) -> DataFrame:
+    """Hydrated events (venue, price, occurrences, sources) in the public shape; distance_meters only if there, and the
+    columns `extra`."""
     c = F.col
     price = lambda k: c("price")[k]
     venue = F.when(c("venue").isNotNull(), F.struct(*(c("venue")[k].alias(k) for k in ("name", "address", "neighborhood", "city", "state", "country", "latitude", "longitude"))))
@@ -58,7 +59,7 @@ def public_rows(events: DataFrame) -> DataFrame:
     return events.select(
         "id", "slug", "title", "description", "status", c("category_id").alias("category"), F.transform("occurrences", occurrence_shape).alias("occurrences"), venue.alias("venue"),
         price("free").alias("free"), price("min").alias("price_min"), price("max").alias("price_max"), price("currency").alias("currency"), "image_url", "ticket_url", sources.alias("sources"), "quality_score", "ranking_score",
-        *(["distance_meters"] if "distance_meters" in events.columns else []),
+        *(["distance_meters"] if "distance_meters" in events.columns else []), *extra,
     )
 
 

@@ -72,11 +72,11 @@ def discover_exclude(spark, sf_dir):
     return rows.select("id", stamp("sort_instant").alias("sort_instant"))
 
 
-@query(f"""WITH {ALL}, g AS (SELECT *, {sql_trigrams("'brazil lichkeit'")} AS q, {sql_trigrams('title')} AS t, {sql_trigrams("coalesce(venue_name, '')")} AS v FROM ev WHERE status = 'scheduled')
-  SELECT id FROM g WHERE contains(lower(title), 'brazil lichkeit') OR contains(lower(description), 'brazil lichkeit') OR contains(lower(coalesce(venue_name, '')), 'brazil lichkeit')
+@query(f"""WITH {ALL}, g AS (SELECT *, {sql_trigrams("'br 15'")} AS q, {sql_trigrams('title')} AS t, {sql_trigrams("coalesce(venue_name, '')")} AS v FROM ev WHERE status = 'scheduled')
+  SELECT id FROM g WHERE contains(lower(title), 'br 15') OR contains(lower(description), 'br 15') OR contains(lower(coalesce(venue_name, '')), 'br 15')
     OR {sql_word_similarity('q', 't')} > 0.3 OR {sql_word_similarity('q', 'v')} > 0.3""")
 def discover_text_search(spark, sf_dir):
-    return D.found(*tables(spark, sf_dir), D.Request(q="brazil lichkeit")).select("id")
+    return D.found(*tables(spark, sf_dir), D.Request(q="br 15")).select("id")
 
 
 LAMBERT = """round(CASE WHEN angle = 0 THEN 0e0 ELSE 6378137e0 * (angle - (1 / 298.257223563e0) / 2 * (
@@ -108,18 +108,20 @@ def category_ids(spark, sf_dir):
     return categories(view(spark, sf_dir, "v_events"))
 
 
+TEXT = f"""(contains(lower(e.title), r.q) OR contains(lower(e.description), r.q) OR coalesce(contains(lower(v.name), r.q), false)
+      OR {sql_word_similarity(sql_trigrams('r.q'), sql_trigrams('e.title'))} > 0.3 OR {sql_word_similarity(sql_trigrams('r.q'), sql_trigrams("coalesce(v.name, '')"))} > 0.3)"""
 REQUESTS = """SELECT s_suppkey AS request_id, CAST(1 + s_suppkey % 9 AS INT) AS "limit", CASE WHEN s_suppkey % 3 <> 0 THEN make_date(2024, 1, CAST(1 + s_suppkey % 9 AS INT)) END AS "start",
   CASE WHEN s_suppkey % 3 <> 0 THEN make_date(2024, 1, CAST(1 + s_suppkey % 9 + s_suppkey % 4 AS INT)) END AS "end", CASE WHEN s_suppkey % 5 = 0 THEN 'postponed' ELSE 'scheduled' END AS status,
   CASE WHEN s_suppkey % 4 = 0 THEN 'de' END AS category, CASE WHEN s_suppkey % 7 = 0 THEN true END AS free, CASE WHEN s_suppkey % 2 = 0 THEN -30.0e0 - s_suppkey / 10000e0 END AS lat,
-  CASE WHEN s_suppkey % 2 = 0 THEN -51.2e0 END AS lng, CASE WHEN s_suppkey % 2 = 0 THEN 1000 + s_suppkey END AS radius FROM supplier"""
+  CASE WHEN s_suppkey % 2 = 0 THEN -51.2e0 END AS lng, CASE WHEN s_suppkey % 2 = 0 THEN 1000 + s_suppkey END AS radius, CASE WHEN s_suppkey % 20 = 3 THEN 'br ' || CAST(10 + s_suppkey % 7 AS STRING) WHEN s_suppkey % 40 = 4 THEN 'brazil' END AS q FROM supplier"""
 
 
 @query(
     sql_lambert(
         f"""WITH {OCC}, req AS ({REQUESTS}), hit AS (
     SELECT r.request_id, o.event_id, min(o.instant) AS sort_instant FROM req r JOIN occ o ON r."start" IS NULL OR (o.first_day <= r."end" AND o.last_day >= r."start") GROUP BY ALL),
-  own AS (SELECT r.*, e.id, h.sort_instant, v.latitude, v.longitude FROM hit h JOIN req r ON r.request_id = h.request_id JOIN v_events e ON e.id = h.event_id LEFT JOIN v_venues v ON v.id = e.venue_id
-    WHERE e.status = r.status AND (r.category IS NULL OR r.category = e.category_id) AND (r.free IS NULL OR r.free = e.free))""",
+  own AS (SELECT r.* EXCLUDE (q), e.id, h.sort_instant, v.latitude, v.longitude FROM hit h JOIN req r ON r.request_id = h.request_id JOIN v_events e ON e.id = h.event_id LEFT JOIN v_venues v ON v.id = e.venue_id
+    WHERE e.status = r.status AND (r.category IS NULL OR r.category = e.category_id) AND (r.free IS NULL OR r.free = e.free) AND (r.q IS NULL OR {TEXT}))""",
         "own", "lat", "lng",
     )
     + f""", ok AS (SELECT *, CAST(row_number() OVER (PARTITION BY request_id ORDER BY distance_meters NULLS FIRST, sort_instant, id) AS INTEGER) AS rank FROM far WHERE lat IS NULL OR distance_meters <= radius)
@@ -127,7 +129,7 @@ REQUESTS = """SELECT s_suppkey AS request_id, CAST(1 + s_suppkey % 9 AS INT) AS
 )
 def discover_batch_requests(spark, sf_dir):
     own = spark.sql(REQUESTS.replace('"', "`").replace("FROM supplier", "FROM {s}"), s=view(spark, sf_dir, "supplier"))
-    params = own.select("request_id", F.struct(*(c for c in own.columns if c != "request_id"), F.lit(None).cast("string").alias("q")).alias("params"))
+    params = own.select("request_id", F.struct(*(c for c in own.columns if c != "request_id")).alias("params"))
     rows = D.discover_batch(*tables(spark, sf_dir), params)
     return rows.select("request_id", "rank", "id", stamp("sort_instant").alias("sort_instant"), F.round("distance_meters", 3).alias("distance_meters"))
 
@@ -166,16 +168,16 @@ def request_validation(spark, sf_dir):
     return rows.select("request_id", "error_code", F.col("params.start").cast("string").alias("first_day"), F.col("params.end").cast("string").alias("last_day"), F.col("params.limit").alias("row_limit"))
 
 
-@query(f"SELECT id, {sql_normal('title')} AS normal, list_sort({sql_tokens('title')}) AS tokens_list, CAST(len({sql_tokens('title')}) AS INTEGER) AS tokens FROM v_events".replace(f"list_sort({sql_tokens('title')}) AS tokens_list", f"array_to_string(list_sort({sql_tokens('title')}), ' ') AS significant"))
+@query(f"SELECT id, {sql_normal('description')} AS normal, list_sort({sql_tokens('description')}) AS tokens_list, CAST(len({sql_tokens('description')}) AS INTEGER) AS tokens FROM v_events".replace(f"list_sort({sql_tokens('description')}) AS tokens_list", f"array_to_string(list_sort({sql_tokens('description')}), ' ') AS significant"))
 def text_normalize(spark, sf_dir):
-    title = F.col("title")
-    tokens = text.significant_tokens(title)
-    return view(spark, sf_dir, "v_events").select("id", text.normalize_text(title).alias("normal"), F.array_join(F.array_sort(tokens), " ").alias("significant"), F.size(tokens).alias("tokens"))
+    words = F.col("description")
+    tokens = text.significant_tokens(words)
+    return view(spark, sf_dir, "v_events").select("id", text.normalize_text(words).alias("normal"), F.array_join(F.array_sort(tokens), " ").alias("significant"), F.size(tokens).alias("tokens"))
 
 
-@query(f"SELECT id, {sql_slug('title')} AS slug, CASE WHEN {sql_slug('title')} = '' THEN '' ELSE {sql_slug('title')} || '-' END || substr(sha256(source_id || ':' || id), 1, 8) AS event_slug FROM v_events")
+@query(f"SELECT id, {sql_slug('description')} AS slug, CASE WHEN {sql_slug('description')} = '' THEN '' ELSE {sql_slug('description')} || '-' END || substr(sha256(source_id || ':' || id), 1, 8) AS event_slug FROM v_events")
 def slug_build(spark, sf_dir):
-    return view(spark, sf_dir, "v_events").select("id", text.slug(F.col("title")).alias("slug"), text.event_slug(F.col("title"), F.col("source_id"), F.col("id")).alias("event_slug"))
+    return view(spark, sf_dir, "v_events").select("id", text.slug(F.col("description")).alias("slug"), text.event_slug(F.col("description"), F.col("source_id"), F.col("id")).alias("event_slug"))
 
 
 @query("""SELECT page_id, regexp_replace(lower(trim(url)), '/+$', '') AS normal, regexp_matches(lower(url), '^https?://[^/]') AS is_http,
@@ -188,11 +190,14 @@ def url_external_id(spark, sf_dir):
 
 
 def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = view(spark, sf_dir, "v_events")
-    return a.select("doc_id", F.col("title").alias("a")).join(a.select((F.col("doc_id") - 1).alias("doc_id"), F.col("title").alias("b")), "doc_id")
+    """Whole texts a and b of documents beside each other, and their titles."""
+    x = view(spark, sf_dir, "v_events")
+    left = x.select("doc_id", F.col("description").alias("a"), F.col("title").alias("title_a"))
+    return left.join(x.select((F.col("doc_id") - 1).alias("doc_id"), F.col("description").alias("b"), F.col("title").alias("title_b")), "doc_id")
 
 
-PAIRS = "p AS (SELECT x.doc_id, x.title AS a, y.title AS b FROM v_events x JOIN v_events y ON y.doc_id = x.doc_id + 1)"
+PAIRS = "p AS (SELECT x.doc_id, x.description AS a, y.description AS b, x.title AS title_a, y.title AS title_b FROM v_events x JOIN v_events y ON y.doc_id = x.doc_id + 1)"
+TRIGRAMS = ", ".join(f"{sql_trigrams(c)} AS {n}" for c, n in (("a", "x"), ("b", "y"), ("title_a", "v"), ("title_b", "w")))
 
 
 @query(f"WITH {PAIRS}, t AS (SELECT doc_id, {sql_tokens('a')} AS x, {sql_tokens('b')} AS y FROM p) SELECT doc_id, round({sql_token_similarity('x', 'y')}, 9) AS similarity FROM t")
@@ -200,10 +205,11 @@ def token_similarity(spark, sf_dir):
     return neighbours(spark, sf_dir).select("doc_id", F.round(text.token_similarity(F.col("a"), F.col("b")), 9).alias("similarity"))
 
 
-@query(f"WITH {PAIRS}, t AS (SELECT doc_id, {sql_trigrams('a')} AS x, {sql_trigrams('b')} AS y FROM p) SELECT doc_id, round({sql_similarity('x', 'y')}, 9) AS similarity, round({sql_word_similarity('x', 'y')}, 9) AS word_similarity FROM t")
+@query(f"WITH {PAIRS}, t AS (SELECT doc_id, {TRIGRAMS} FROM p) SELECT doc_id, round({sql_similarity('x', 'y')}, 9) AS similarity, round({sql_word_similarity('v', 'w')}, 9) AS word_similarity FROM t")
 def trigram_similarity(spark, sf_dir):
-    a, b = F.col("a"), F.col("b")
-    return neighbours(spark, sf_dir).select("doc_id", F.round(text.similarity(a, b), 9).alias("similarity"), F.round(text.word_similarity(a, b), 9).alias("word_similarity"))
+    """The plain similarity of whole texts, that of runs of titles."""
+    plain, runs = text.similarity(F.col("a"), F.col("b")), text.word_similarity(F.col("title_a"), F.col("title_b"))
+    return neighbours(spark, sf_dir).select("doc_id", F.round(plain, 9).alias("similarity"), F.round(runs, 9).alias("word_similarity"))
 
 
 DATES = "SELECT o_orderkey, CAST(2020 + o_orderkey % 9 AS STRING) || '-' || CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE '0' END || CAST(1 + o_orderkey % 9 AS STRING) || '-' || CAST(10 + o_orderkey % 23 AS STRING) AS d FROM orders"

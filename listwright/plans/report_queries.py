@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from listwright.operators import discover as D
 from listwright.operators import export as X
 from listwright.operators import reports as R
+from listwright.operators.store import hydrate
 
 from .catalog import OCC, query, sql_slug
 from .views import view
@@ -91,20 +93,25 @@ def gate_filter(spark, sf_dir):
 # exports
 
 
-def hydrated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nested events in the exports' shape."""
+def shaped(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(events, occurrences, venues, refs) with the columns that public rows show."""
+    from listwright.functions.text import slug
+
     c = F.col
     none = F.lit(None).cast("string")
-    events, venues = view(spark, sf_dir, "v_events"), view(spark, sf_dir, "v_venues")
-    occ = view(spark, sf_dir, "v_occurrences").withColumns({"ends_at": F.lit(None).cast("timestamp"), "status": F.lit("scheduled")})
-    kids = occ.groupBy(c("event_id").alias("id")).agg(F.sort_array(F.collect_list(F.struct(c("id").alias("occ"), "temporal_kind", "starts_at", "ends_at", "start_date", "end_date", "status"))).alias("occurrences"))
-    refs = view(spark, sf_dir, "v_refs").groupBy(c("event_id").alias("id")).agg(F.sort_array(F.collect_list(F.struct("source_id", none.alias("external_id"), F.lit("u").alias("url"), "confidence"))).alias("sources"))
-    place = venues.select(c("id").alias("venue_id"), F.struct("name", none.alias("address"), none.alias("neighborhood"), "city", F.lit("RS").alias("state"), F.lit("BR").alias("country"), "latitude", "longitude").alias("venue"))
     price = F.when(c("free").isNotNull(), F.struct(c("free"), F.when(~c("free"), c("doc_id") % 90 + 0.5).alias("min"), F.when(~c("free"), c("doc_id") % 90 + 9.5).alias("max"), F.lit("BRL").alias("currency")))
-    from listwright.functions.text import slug
+    events = view(spark, sf_dir, "v_events").withColumns({
+        "price": price, "slug": F.concat_ws("-", slug(c("title")), "id"), "image_url": none, "ticket_url": F.when(c("doc_id") % 3 == 0, F.lit("https://t.example")), "quality_score": F.lit(0.5), "ranking_score": F.lit(0.5),
+    })
+    occ = view(spark, sf_dir, "v_occurrences").withColumns({"ends_at": F.lit(None).cast("timestamp"), "status": F.lit("scheduled")})
+    venues = view(spark, sf_dir, "v_venues").select("id", "name", none.alias("address"), none.alias("neighborhood"), "city", F.lit("RS").alias("state"), F.lit("BR").alias("country"), "latitude", "longitude")
+    refs = view(spark, sf_dir, "v_refs").select("event_id", "source_id", none.alias("external_id"), F.lit("u").alias("url"), "confidence")
+    return events, occ, venues, refs
+
 
-    rows = events.join(kids, "id").join(refs, "id").join(place, "venue_id", "left").withColumn("price", price)
-    return rows.withColumns({"slug": F.concat_ws("-", slug(c("title")), "id"), "image_url": none, "ticket_url": F.when(c("doc_id") % 3 == 0, F.lit("https://t.example")), "quality_score": F.lit(0.5), "ranking_score": F.lit(0.5)})
+def hydrated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested events in the exports' shape."""
+    return hydrate(*shaped(spark, sf_dir)).where("occurrences is not null and sources is not null")
 
 
 OCC1 = "strftime(starts_at, '%Y-%m-%dT%H:%M:%S.000Z')"
@@ -117,6 +124,18 @@ def export_public_rows(spark, sf_dir):
     return rows.select("id", "category", F.array_join("occurrences", "|").alias("occurrences"), F.col("venue.name").alias("venue_name"), "free", "price_min", "currency")
 
 
+@query(f"""WITH {OCC}, m AS (SELECT event_id, min(instant) AS t FROM occ WHERE first_day <= DATE '2024-01-04' AND last_day >= DATE '2024-01-02' GROUP BY 1),
+  top AS (SELECT e.*, m.t FROM v_events e JOIN m ON m.event_id = e.id WHERE status = 'scheduled' AND doc_id % 7 <> 0 ORDER BY m.t, e.id LIMIT 12), o AS (SELECT event_id, count(*) AS n FROM v_occurrences GROUP BY 1),
+  r AS (SELECT event_id, string_agg(source_id, ',' ORDER BY source_id) AS sources FROM v_refs GROUP BY 1)
+  SELECT CAST(row_number() OVER (ORDER BY t, top.id) AS INTEGER) AS pos, top.id, {sql_slug('title')} || '-' || top.id AS slug, category_id AS category, CAST(o.n AS INTEGER) AS occurrences, sources, v.name AS venue_name, free
+  FROM top JOIN o ON o.event_id = top.id JOIN r ON r.event_id = top.id LEFT JOIN v_venues v ON v.id = venue_id""")
+def discover_public_page(spark, sf_dir):
+    """A request's whole way: duplicates hidden, filters, page, children of its rows, public shape."""
+    events, occ, venues, refs = shaped(spark, sf_dir)
+    rows, _ = D.public_page(events, occ, venues, refs, D.Request(start="2024-01-02", end="2024-01-04", limit=12), events.where("doc_id % 7 = 0"))
+    return rows.select("pos", "id", "slug", "category", F.size("occurrences").alias("occurrences"), F.array_join("sources.source_id", ",").alias("sources"), F.col("venue.name").alias("venue_name"), "free")
+
+
 @query(f"""WITH o AS (SELECT * FROM v_occurrences WHERE id LIKE '%-occ-1')
   SELECT e.id, title AS name, CASE WHEN temporal_kind = 'timed' THEN {OCC1} ELSE CAST(start_date AS VARCHAR) END AS start_date, CASE WHEN status IN ('scheduled', 'cancelled', 'postponed') THEN 'https://schema.org/Event' || upper(substr(status, 1, 1)) || substr(status, 2) END AS event_status,
     v.city AS locality, CASE WHEN doc_id % 3 = 0 THEN CASE WHEN free THEN 0e0 WHEN free = false THEN doc_id % 90 + 0.5e0 END END AS price FROM v_events e JOIN o ON o.event_id = e.id LEFT JOIN v_venues v ON v.id = e.venue_id""")

@@ -18,7 +18,7 @@ NOW = "2024-02-01 00:00:00"
 
 # feeds and normalization: listing rows made of documents, in the feeds' shapes
 
-AGENDA_ROWS = """SELECT CASE WHEN doc_id % 11 <> 0 THEN ' ' || CAST(doc_id AS STRING) || ' ' END AS id, CASE WHEN doc_id % 13 <> 0 THEN substr(text, 1, 60) ELSE '  ' END AS title,
+AGENDA_ROWS = """SELECT CASE WHEN doc_id % 11 <> 0 THEN ' ' || CAST(doc_id AS STRING) || ' ' END AS id, CASE WHEN doc_id % 13 <> 0 THEN text ELSE '  ' END AS title,
   CASE WHEN doc_id % 4 = 0 THEN 'https://x.example/evento/' || CAST(doc_id AS STRING) || '/' END AS url, text AS description, CASE WHEN doc_id % 17 <> 0 THEN '2026-0' || CAST(1 + doc_id % 9 AS STRING) || '-' || CAST(10 + doc_id % 18 AS STRING) END AS startDate,
   CASE WHEN doc_id % 5 = 0 THEN '2026-0' || CAST(1 + doc_id % 9 AS STRING) || '-' || CAST(10 + doc_id % 19 AS STRING) END AS endDate, CASE WHEN doc_id % 3 = 0 THEN CASE WHEN doc_id % 2 = 0 THEN '19:30' ELSE '25:00' END END AS startTime, CASE WHEN doc_id % 6 = 0 THEN '21:00' END AS endTime,
   CASE WHEN doc_id % 7 <> 0 THEN source END AS venueName, CAST(NULL AS STRING) AS address, lang AS neighborhood, doc_id, lang, source, n_chars FROM documents"""
@@ -69,7 +69,7 @@ def normalize_curated_reasons(spark, sf_dir):
     return N.normalize_curated(rows, F.lit(NOW), "curated").groupBy("reason").agg(F.count("*").alias("n"))
 
 
-TICKET_ROWS = """SELECT doc_id, lang, source, n_chars, substr(text, 1, 60) AS name, CASE doc_id % 6 WHEN 0 THEN 'onsale' WHEN 1 THEN 'offsale' WHEN 2 THEN 'canceled' WHEN 3 THEN 'postponed' WHEN 4 THEN 'rescheduled' ELSE 'other' END AS code,
+TICKET_ROWS = """SELECT doc_id, lang, source, n_chars, text AS name, CASE doc_id % 6 WHEN 0 THEN 'onsale' WHEN 1 THEN 'offsale' WHEN 2 THEN 'canceled' WHEN 3 THEN 'postponed' WHEN 4 THEN 'rescheduled' ELSE 'other' END AS code,
   CASE WHEN doc_id % 7 <> 0 THEN '2026-03-0' || CAST(1 + doc_id % 9 AS STRING) || 'T20:00:00Z' END AS begins FROM documents"""
 
 

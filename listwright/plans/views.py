@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 VIEWS = {
-    "v_events": """SELECT CAST(doc_id AS STRING) AS id, doc_id, substr(text, 1, 60) AS title, text AS description, lang AS category_id,
+    "v_events": """SELECT CAST(doc_id AS STRING) AS id, doc_id, lang || ' ' || CAST(n_chars AS STRING) AS title, text AS description, lang AS category_id,
   CASE WHEN doc_id % 10 = 0 THEN 'cancelled' WHEN doc_id % 10 = 1 THEN 'postponed' ELSE 'scheduled' END AS status,
   CASE WHEN doc_id % 5 = 0 THEN true WHEN doc_id % 5 = 1 THEN NULL ELSE false END AS free,
   CASE WHEN doc_id % 3 <> 0 THEN CAST(doc_id % 30 AS INT) END AS venue_id, source AS source_id
