@@ -32,6 +32,8 @@ from .features import fresh
 
 #: Bytes on both sides of a cut with a greater hash; longest chunk; shortest removed run; bytes compared around a run.
 RADIUS, LONGEST, LEAST, CONTEXT = 24, 512, 200, 256
+#: Files whose numbers are broadcast at most (8 MB).
+BROADCAST_FILES = 500_000
 GEAR = np.random.default_rng(20240101).integers(0, 2**32, 256, dtype=np.uint32)
 
 
@@ -76,7 +78,7 @@ def identified(docs: DataFrame, name: str, row: str = "row") -> DataFrame:
 
     Rows of a scan of Parquet files are numbered by file and place in the file, which don't depend on how the scan is
     split into tasks; rows that come from anything else are written first. The list of files is the driver's, as it is
-    Spark's own; what is broadcast has 16 bytes for each file.
+    Spark's own; it is broadcast, 16 bytes for each file, up to `BROADCAST_FILES`, and joined by a shuffle beyond.
     """
     file, at, number = (fresh(docs.columns, x) for x in ("_row_file", "_row_at", "_row_number"))
     try:
@@ -86,7 +88,8 @@ def identified(docs: DataFrame, name: str, row: str = "row") -> DataFrame:
     files = sorted(r[file] for r in placed.select(file).distinct().collect())
     numbers = docs.sparkSession.createDataFrame(list(zip(files, range(len(files)), strict=True)), f"{file} long, {number} long")
     place = F.shiftleft(number, 40).bitwiseOR(F.col(at))
-    return placed.join(F.broadcast(numbers), file).select(*(F.col(f"`{c}`") for c in docs.columns), place.alias(row))
+    numbers = F.broadcast(numbers) if len(files) <= BROADCAST_FILES else numbers.hint("merge")
+    return placed.join(numbers, file).select(*(F.col(f"`{c}`") for c in docs.columns), place.alias(row))
 
 
 def chunks(docs: DataFrame) -> DataFrame:

@@ -19,8 +19,10 @@ decide all others exactly:
    neighbour then, so a core with n different suffixes takes n log^2 n steps, not n^2.
 
 Memory: a task holds runs of `RUN_BYTES`, a receiver the distinct suffixes of its bucket; buckets follow the number of
-anchors left. A passage with very many different surroundings is one core: equal suffixes of a run travel once, but its
-distinct ones meet in one bucket.
+anchors left. A core with more than `HOT_ANCHORS` anchors (a passage that very many documents share) would be one bucket
+that grows with the corpus. Its anchors go another way, as exact (`hot_spans`): an anchor is covered wholly if all bytes
+of its windows stand elsewhere, which one digest tells; of the others, those at a passage's ends, each window's digest is
+counted. Both are aggregations that combine in the tasks, and nothing of a core is gathered.
 
 Defined results. A null or empty text has no bytes, no spans and the digest of nothing. Repeated rows of a doc_id, and
 null doc_ids, are documents of their own, and copies of each other if their texts are. Texts shorter than `length` bytes
@@ -44,6 +46,8 @@ from .substring import gear_hash, identified
 LENGTH, SPAN, GRAM = 400, 256, 32
 #: Bytes of suffixes that a task sorts at once, and anchors of a bucket.
 RUN_BYTES, BUCKET_ANCHORS = 24 << 20, 60_000
+#: Anchors of a core that are merged in one bucket at most, and windows whose digests a task makes at once.
+HOT_ANCHORS, BATCH_WINDOWS = 30_000, 1 << 16
 
 
 def anchors_of(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -259,7 +263,8 @@ def bucket_spans(runs: list[Run], length: int) -> Iterator[tuple[np.ndarray, np.
 
 
 def covered(texts: DataFrame, length: int, buckets: int) -> DataFrame:
-    """(row, start, end) covered bytes; texts has row, text and anchors array<struct<core, at, first, last>>."""
+    """(row, start, end) covered bytes; texts has row, text and anchors array<struct<core, at, first, last, hot>>,
+    of which the hot ones are passed over."""
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, dict] = {}
@@ -276,6 +281,8 @@ def covered(texts: DataFrame, length: int, buckets: int) -> DataFrame:
                 for r, text, own in zip(rows[low : low + 50], batch.column(1).slice(low, 50).to_pylist(), batch.column(2).slice(low, 50).to_pylist(), strict=True):
                     code = text.encode("utf-8", "surrogatepass")
                     for a in own:
+                        if a["hot"]:
+                            continue
                         start = a["at"] - GRAM + 1
                         key = code[start : a["last"] + length], code[a["first"] : start][::-1]
                         held.setdefault(a["core"] % buckets, {}).setdefault(key, []).append((r, start))
@@ -308,19 +315,82 @@ def covered(texts: DataFrame, length: int, buckets: int) -> DataFrame:
     return exchanged.mapInArrow(spans, "row long, start long, end long")
 
 
-def suffix_report(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
+def digests(texts: DataFrame, size: int | None) -> DataFrame:
+    """(high, low, row, start, end): the 128-bit digest of each range of a text, or of each window of `size` bytes in it.
+
+    texts has row, text and ranges array<struct<start, end>> of bytes.
+    """
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out() -> pa.RecordBatch:
+            both = np.frombuffer(b"".join(digest), np.int64).reshape(-1, 2)
+            cols = [pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(row, pa.int64()), pa.array(start, pa.int64()), pa.array(end, pa.int64())]
+            return pa.RecordBatch.from_arrays(cols, names=["high", "low", "row", "start", "end"])
+
+        digest, row, start, end = [], [], [], []
+        for batch in batches:
+            for i in range(batch.num_rows):
+                r, text, ranges = (batch.column(k)[i].as_py() for k in range(3))
+                code = memoryview(text.encode("utf-8", "surrogatepass"))
+                for own in ranges:
+                    low, high = own["start"], own["end"]
+                    n = high - low if size is None else size
+                    for at in range(low, high - n + 1):
+                        digest.append(hashlib.blake2b(code[at : at + n], digest_size=16).digest())
+                        row.append(r)
+                        start.append(at)
+                        end.append(at + n)
+                    if len(row) >= BATCH_WINDOWS:
+                        yield out()
+                        digest, row, start, end = [], [], [], []
+        if row:
+            yield out()
+
+    return texts.select("row", "text", "ranges").mapInArrow(made, "high long, low long, row long, start long, end long")
+
+
+def hot_spans(texts: DataFrame, length: int) -> DataFrame:
+    """(row, start, end) covered bytes around the hot anchors of texts (row, text, anchors).
+
+    Equal windows have their anchors in one core, so windows of hot anchors are met by such windows only. Anchors whose
+    windows hold the same bytes are decided; one of each such set stays, as a partner of the others' windows.
+    """
+    key = ["high", "low"]
+    hot = F.filter("anchors", lambda a: a["hot"])
+    reach = F.transform(hot, lambda a: F.struct(a["first"].alias("start"), (a["last"] + length).alias("end")))
+    own = texts.where(F.exists("anchors", lambda a: a["hot"]))
+    whole = written(digests(own.select("row", "text", reach.alias("ranges")), None), "suffix-hot-ranges")
+    sets = written(whole.groupBy(*key).agg(F.count("*").alias("n"), F.min(F.struct("row", "start", "end")).alias("one")).where("n > 1"), "suffix-hot-sets")
+    keys = sets.select(*key).hint("merge")
+    span = ["row", "start", "end"]
+    decided = whole.join(keys, key, "left_semi").select(*span)
+    open_ = whole.join(keys, key, "left_anti").select(*span).unionByName(sets.select("one.*"))
+    ranges = open_.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
+    windows = written(digests(texts.select("row", "text").join(ranges.hint("merge"), "row"), length), "suffix-hot-windows")
+    again = windows.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*key)
+    return decided.unionByName(windows.join(again.hint("merge"), key, "left_semi").select(*span))
+
+
+def suffix_report(docs: DataFrame, length: int = LENGTH, hot_anchors: int = HOT_ANCHORS) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document.
+
+    hot_anchors: cores with more anchors than this aren't gathered; the result is the same at any number.
+    """
     rows = identified(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "suffix-docs")
     every = cores(rows, length)
-    twice = written(every.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core"), "suffix-cores")
+    n = F.count("*")
+    twice = written(every.groupBy("core").agg(n.alias("n")).where("n > 1").select("core", (F.col("n") > hot_anchors).alias("hot")), "suffix-cores")
     alive = written(every.join(twice.hint("merge"), "core"), "suffix-anchors")
-    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-alive.count() // BUCKET_ANCHORS))
-    of_row = alive.groupBy("row").agg(F.collect_list(F.struct("core", "at", "first", "last")).alias("anchors"))
+    merging, hot = alive.agg(F.count_if(~F.col("hot")), F.count_if("hot")).first()
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-merging // BUCKET_ANCHORS))
+    of_row = alive.groupBy("row").agg(F.collect_list(F.struct("core", "at", "first", "last", "hot")).alias("anchors"))
     kept = F.when(F.col("anchors").isNotNull(), F.col("text"))
     code = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     both = rows.join(of_row.hint("merge"), "row", "left")
     texts = written(both.select("row", "doc_id", F.octet_length(code).cast("long").alias("n_bytes"), F.sha2(code, 256).alias("sha256"), kept.alias("text"), "anchors"), "suffix-texts")
     found = covered(texts.where("anchors is not null"), length, buckets)
+    if hot:
+        found = found.unionByName(hot_spans(texts.where("anchors is not null"), length))
     spans = written(found.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "suffix-spans")
     hit = texts.where("anchors is not null").select("row", "text").join(spans.hint("merge"), "row")
 

@@ -61,11 +61,14 @@ def brute_suffix(rows, length):
     return sorted(out, key=repr)
 
 
-def test_suffix_array_is_exact(docs):
-    assert rows_of(suffixes.suffix_report(docs)) == brute_suffix(corpus(), 400)
+@pytest.mark.parametrize("hot", [0, 6, suffixes.HOT_ANCHORS])
+def test_suffix_array_is_exact(docs, hot):
+    """At any number of anchors from which a core isn't gathered: all cores, some, none."""
+    assert rows_of(suffixes.suffix_report(docs, hot_anchors=hot)) == brute_suffix(corpus(), 400)
 
 
-def test_suffix_array_at_boundaries(spark):
+@pytest.mark.parametrize("hot", [3, suffixes.HOT_ANCHORS])
+def test_suffix_array_at_boundaries(spark, hot):
     """Passages of just under and over the length, at all offsets from their surroundings."""
     draw = np.random.default_rng(5)
     letters = lambda n: "".join(map(chr, draw.integers(97, 123, n)))
@@ -73,7 +76,24 @@ def test_suffix_array_at_boundaries(spark):
     for size in (399, 400, 401, 463, 520, 900):
         passage = letters(size)
         rows += [(len(rows) + k, letters(draw.integers(0, 700)) + passage + letters(draw.integers(0, 700))) for k in range(4)]
-    assert rows_of(suffixes.suffix_report(spark.createDataFrame(rows, "doc_id long, text string"))) == brute_suffix(rows, 400)
+    assert rows_of(suffixes.suffix_report(spark.createDataFrame(rows, "doc_id long, text string"), hot_anchors=hot)) == brute_suffix(rows, 400)
+
+
+def test_suffix_array_of_a_passage_in_most_documents(spark, monkeypatch):
+    """Its ends meet many surroundings; windows are made in many batches."""
+    monkeypatch.setattr(suffixes, "BATCH_WINDOWS", 50)
+    passage = words(50, 150)
+    rows = [(i, f"{words(100 + i, 70)} {passage} {words(300 + i, 70)}" if i % 3 else words(500 + i, 90)) for i in range(60)]
+    rows += [(60, passage + " " + passage), (61, words(101, 70)[-150:] + " " + passage), (62, "x" * 2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert rows_of(suffixes.suffix_report(df, hot_anchors=20)) == brute_suffix(rows, 400)
+
+
+def test_files_beyond_the_broadcast_bound(spark, docs, monkeypatch):
+    stored = written(docs, "stored")
+    before = rows_of(substring.identified(stored, "unused", "number"))
+    monkeypatch.setattr(substring, "BROADCAST_FILES", 0)
+    assert rows_of(substring.identified(stored, "unused", "number")) == before
 
 
 def test_suffix_array_of_nothing(empty):
