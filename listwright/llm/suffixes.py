@@ -48,6 +48,8 @@ LENGTH, SPAN, GRAM = 400, 256, 32
 RUN_BYTES, BUCKET_ANCHORS = 24 << 20, 60_000
 #: Anchors of a core that are merged in one bucket at most, and windows whose digests a task makes at once.
 HOT_ANCHORS, BATCH_WINDOWS = 30_000, 1 << 16
+#: Shares into which the rows of a digest are dealt.
+SALTS = 16
 
 
 def anchors_of(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -353,22 +355,27 @@ def hot_spans(texts: DataFrame, length: int) -> DataFrame:
     """(row, start, end) covered bytes around the hot anchors of texts (row, text, anchors).
 
     Equal windows have their anchors in one core, so windows of hot anchors are met by such windows only. Anchors whose
-    windows hold the same bytes are decided; one of each such set stays, as a partner of the others' windows.
+    windows hold the same bytes are decided; one of each such set stays, as a partner of the others' windows. A digest's
+    rows may be a large part of all, so they are salted where they meet the repeated digests, which are few beside them.
     """
-    key = ["high", "low"]
+    key, salted = ["high", "low"], ["high", "low", "salt"]
     hot = F.filter("anchors", lambda a: a["hot"])
     reach = F.transform(hot, lambda a: F.struct(a["first"].alias("start"), (a["last"] + length).alias("end")))
     own = texts.where(F.exists("anchors", lambda a: a["hot"]))
     whole = written(digests(own.select("row", "text", reach.alias("ranges")), None), "suffix-hot-ranges")
     sets = written(whole.groupBy(*key).agg(F.count("*").alias("n"), F.min(F.struct("row", "start", "end")).alias("one")).where("n > 1"), "suffix-hot-sets")
-    keys = sets.select(*key).hint("merge")
     span = ["row", "start", "end"]
-    decided = whole.join(keys, key, "left_semi").select(*span)
-    open_ = whole.join(keys, key, "left_anti").select(*span).unionByName(sets.select("one.*"))
+
+    def met(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+        every = keys.select(*key, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+        return rows.withColumn("salt", F.pmod(F.xxhash64("row", "start"), F.lit(SALTS))).join(every.hint("merge"), salted, how).select(*span)
+
+    decided = met(whole, sets, "left_semi")
+    open_ = met(whole, sets, "left_anti").unionByName(sets.select("one.*"))
     ranges = open_.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
     windows = written(digests(texts.select("row", "text").join(ranges.hint("merge"), "row"), length), "suffix-hot-windows")
-    again = windows.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*key)
-    return decided.unionByName(windows.join(again.hint("merge"), key, "left_semi").select(*span))
+    again = windows.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
+    return decided.unionByName(met(windows, again, "left_semi"))
 
 
 def suffix_report(docs: DataFrame, length: int = LENGTH, hot_anchors: int = HOT_ANCHORS) -> DataFrame:
