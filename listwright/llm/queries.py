@@ -82,6 +82,12 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op13_qdwh_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import whitening
+
+    return whitening(table(spark, sf_dir, "embeddings"))
+
+
 ORACLE_OP1 = """
 WITH page AS (
   SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
@@ -122,6 +128,7 @@ QUERIES: dict[str, Query] = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_minhash": op10_minhash,
+    "op13_qdwh_whitening": op13_qdwh_whitening,
 }
 
 
