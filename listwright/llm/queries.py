@@ -82,6 +82,12 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_qdwh_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .whitening import whitening
 
@@ -117,6 +123,34 @@ ranked AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
+ORACLE_OP12 = r"""
+WITH piece AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+words AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambda w: w <> '') AS w FROM piece),
+gram AS (
+  SELECT lang, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]),
+    list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS phrase FROM words),
+f AS MATERIALIZED (SELECT lang, phrase, count(*) AS f, string_split(phrase, ' ') AS w FROM gram GROUP BY lang, phrase HAVING count(*) >= 10),
+n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM words GROUP BY lang),
+cut AS (
+  SELECT lang, phrase, f AS a, 1 AS k, w[1] AS head, array_to_string(w[2:], ' ') AS rest FROM f WHERE len(w) > 1
+  UNION ALL SELECT lang, phrase, f, 2, w[1] || ' ' || w[2], w[3] FROM f WHERE len(w) = 3),
+scored AS (
+  SELECT c.lang, c.phrase, c.a, x.f AS l, y.f AS r, c.k, CAST((CAST(1000000 AS HUGEINT) * c.a * c.a) // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+  FROM cut c JOIN f x ON x.lang = c.lang AND x.phrase = c.head JOIN f y ON y.lang = c.lang AND y.phrase = c.rest),
+held AS (
+  SELECT lang, w[1] || ' ' || w[2] AS phrase, f FROM f WHERE len(w) = 3
+  UNION ALL SELECT lang, w[2] || ' ' || w[3], f FROM f WHERE len(w) = 3),
+longest AS (SELECT lang, phrase, max(f) AS f FROM held GROUP BY lang, phrase),
+chosen AS (
+  SELECT s.* FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS nth FROM scored) s
+  LEFT JOIN longest h ON h.lang = s.lang AND h.phrase = s.phrase WHERE nth = 1 AND 100 * coalesce(h.f, 0) < 50 * s.a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM chosen)
+SELECT r.lang, rank, phrase, a, l, r, n, score FROM ranked r JOIN n ON n.lang = r.lang WHERE rank <= 2000
+"""
+
+
 QUERIES: dict[str, Query] = {
     "op1_warc": op1_warc,
     "op2_suffix_array": op2_suffix_array,
@@ -128,6 +162,7 @@ QUERIES: dict[str, Query] = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_minhash": op10_minhash,
+    "op12_collocations": op12_collocations,
     "op13_qdwh_whitening": op13_qdwh_whitening,
 }
 
@@ -137,4 +172,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": ORACLE_OP1, "op4_exact_top_k": ORACLE_OP4}
+    return {"op1_warc": ORACLE_OP1, "op4_exact_top_k": ORACLE_OP4, "op12_collocations": ORACLE_OP12}
