@@ -6,7 +6,7 @@ words (prefix order) what it begins with. One pass over each stream, in step wit
 before their extensions, gives every phrase its right counts, its left counts and its most frequent extension on either
 side: there is no table of counts to look anything up in, and no state but the last word and the last pair.
 
-Counting. A task counts the phrases of some 4 MB of text at a time by sorting numbered words; Spark adds these up. Only
+Counting. A task counts the phrases of some 2 MB of text at a time by sorting numbered words; Spark adds these up. Only
 phrases that occur LEAST times matter, and those of three words have two such pairs in them, so the frequent pairs are
 marked in a bitmap of FILTER bits (16 MB, whatever the corpus), and phrases of three words whose pairs aren't marked are
 not counted at all. Pairs that share a bit with others are counted in vain, so nothing changes by it.
@@ -36,7 +36,7 @@ from .common import written
 #: Occurrences a candidate needs, rows of each lang, percent of a candidate that one longer phrase may hold.
 LEAST, MOST, HELD = 10, 2000, 50
 #: Bits that mark frequent pairs, parts of a word's extensions, bytes of text counted at a time, rows of a sent batch.
-FILTER, PARTS, SLICE, SENT = 1 << 27, 16, 1 << 22, 100_000
+FILTER, PARTS, SLICE, SENT = 1 << 27, 16, 1 << 21, 50_000
 #: Bytes to bytes: A-Z to a-z, tabs to blanks, separators to one byte that no UTF-8 text has.
 BREAK, NEXT = 0xFF, 0xFE
 TO_BYTES = bytes(BREAK if c in b".,;:!?\n\x0b\x0c\r" else 0x20 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -48,7 +48,8 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], list[
     langs: list[str] = []
     texts: list[bytes] = []
     held = 0
-    for batch in batches:
+    some = (batch.slice(low, 100) for batch in batches for low in range(0, batch.num_rows, 100))  # not all of a batch at once
+    for batch in some:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
             for part in parted(text.translate(TO_BYTES)):
                 langs.append(lang)
