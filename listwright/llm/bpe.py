@@ -33,6 +33,10 @@ from pyspark.sql import functions as F
 #: Python worker (some 150 bytes each); when full, the cache starts anew.
 WORDS_AT_ONCE, ROUNDS, DOCUMENTS, CACHED_WORDS = 40_000, 64, 500, 800_000
 AMONG_SPACES = re.compile(r"^ |\s ")
+#: One character of each class that patterns ask for: letters, numbers, white space, all else. None is in a pattern itself.
+CLASSES = {"L": "\u03b1", "N": "\u0663", "S": "\u2003", "O": "\u00a7"}
+#: Planes that have characters with a class of their own.
+PLANES = (0, 1, 2, 3, 14)
 
 #: A row's spot is its word's number << 32 | its place in the word: one number to sort by.
 ENCODE = f"""
@@ -59,16 +63,50 @@ SELECT spot, tok, s.round FROM state s JOIN final f ON f.word = s.spot >> 32 AND
 DECODE = "SELECT list(bytes ORDER BY place) AS parts FROM coded JOIN vocabulary USING (tok)"
 
 
+@lru_cache(1)
+def unlike_characters() -> tuple[tuple[int, str], ...]:
+    """(code point, stand-in) of the characters whose class in this process is another than the library's.
+
+    The library and Python follow different versions of Unicode. What the library takes a character for shows in whether
+    it cuts the character from a letter, a digit or a sign before it: a token of that and of the character's first byte
+    is only made where it doesn't.
+    """
+    import regex
+    import tiktoken
+
+    codes = [c for plane in PLANES for c in range(plane << 16, (plane + 1) << 16) if not 0xD800 <= c < 0xE000]
+    letters = {m.start() for m in regex.finditer(r"\p{L}", "".join(map(chr, codes)))}
+    numbers = {m.start() for m in regex.finditer(r"\p{N}", "".join(map(chr, codes)))}
+    blanks = {m.start() for m in regex.finditer(r"\s", "".join(map(chr, codes)))}
+    theirs = ["S"] * len(codes)
+    for name, before in (("L", "a"), ("N", "1"), ("O", "!")):
+        ranks = {bytes([i]): i for i in range(256)} | {before.encode() + bytes([i]): 256 + i for i in range(256)}
+        probe = tiktoken.Encoding("probe", pat_str=r"\p{L}+|\p{N}+|[^\s\p{L}\p{N}]+|\s", mergeable_ranks=ranks, special_tokens={})
+        for low in range(0, len(codes), 4096):
+            own = codes[low : low + 4096]
+            ids = np.array(probe.encode_ordinary("".join(f"\n{before}{chr(c)}" for c in own)))
+            sizes = np.where(ids < 256, 1, 2)
+            starts = np.cumsum(sizes) - sizes
+            at = np.cumsum([0] + [2 + len(chr(c).encode()) for c in own])[:-1] + 1
+            joined = ids[np.searchsorted(starts, at)] >= 256
+            for k in np.flatnonzero(joined).tolist():
+                theirs[low + k] = name
+    ours = ("L" if k in letters else "N" if k in numbers else "S" if k in blanks else "O" for k in range(len(codes)))
+    return tuple((c, CLASSES[b]) for c, a, b in zip(codes, ours, theirs, strict=True) if a != b or chr(c).isalpha() != (b == "L"))
+
+
 class Words:
     """The merge table in DuckDB, with the words met so far. One for each Python worker, which serves many tasks."""
 
-    def __init__(self, ranks_path: str, pattern: str, space_led: bool) -> None:
+    def __init__(self, ranks_path: str, pattern: str, space_led: bool, unlike: tuple[tuple[int, str], ...]) -> None:
         import duckdb
         import regex
 
         with open(ranks_path, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.find = regex.compile(pattern).findall
+        self.pattern = regex.compile(pattern)
+        self.stand_ins = dict(unlike)
+        self.unlike = re.compile(f"[{''.join(map(chr, self.stand_ins))}]" if unlike else "(?!)")
         self.space_led = space_led
         self.known: dict[str, bytes] = {}
         own = self.ranks
@@ -85,6 +123,12 @@ class Words:
         self.db.execute(f"CREATE OR REPLACE TABLE {name} AS SELECT * FROM given")
         self.db.unregister("given")
 
+    def find(self, text: str) -> list[str]:
+        """The matches of the pattern, with each character taken for what the library takes it for."""
+        if not self.unlike.search(text):
+            return self.pattern.findall(text)
+        return [text[m.start() : m.end()] for m in self.pattern.finditer(text.translate(self.stand_ins))]
+
     def divided(self, text: str | None) -> list[str]:
         """The words of a text, or parts of it between which no match of the pattern goes on."""
         if not text:
@@ -99,11 +143,15 @@ class Words:
         if len(self.known) > CACHED_WORDS:
             self.known.clear()
         new = parts - self.known.keys()
-        several = {x: own for x in new if not ((x[0] == " " or x[0].isalpha()) and x[1:].isalpha()) and len(own := self.find(x)) != 1} if self.space_led else {}
+        several = {x: own for x in new if not self.one_word(x) and len(own := self.find(x)) != 1} if self.space_led else {}
         self.learn_words((new - several.keys()).union(*several.values()))
         known = self.known
         known.update((x, b"".join([known[w] for w in own])) for x, own in several.items())
 
+    def one_word(self, part: str) -> bool:
+        """Letters alone, whatever the version of Unicode, behind a blank or none."""
+        return (part[0] == " " or part[0].isalpha()) and part[1:].isalpha() and (part.isascii() or not self.unlike.search(part))
+
     def learn_words(self, words: set[str]) -> None:
         waiting: list[tuple[str, bytes]] = []
         for w in words - self.known.keys():
@@ -152,8 +200,8 @@ def spread(parts: pa.Array) -> tuple[np.ndarray, bytes]:
 
 
 @lru_cache(1)
-def words_of(ranks_path: str, pattern: str, space_led: bool) -> Words:
-    return Words(ranks_path, pattern, space_led)
+def words_of(ranks_path: str, pattern: str, space_led: bool, unlike: tuple[tuple[int, str], ...]) -> Words:
+    return Words(ranks_path, pattern, space_led, unlike)
 
 
 OUT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -162,8 +210,10 @@ OUT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 def encoded(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = False, space_led: bool = False) -> DataFrame:
     """One row per document with digests; with_ids adds the ids themselves and the decoded text."""
 
+    unlike = unlike_characters()
+
     def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = words_of(ranks_path, pattern, space_led)
+        words = words_of(ranks_path, pattern, space_led, unlike)
         for batch in batches:
             for low in range(0, batch.num_rows, DOCUMENTS):
                 ids = batch.column(0).slice(low, DOCUMENTS)

@@ -33,6 +33,19 @@ SPLIT_ALONE = re.compile("[\x1c-\x1f\u03a3\u0130]")
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, local_rank long"
 
 
+class Letters(dict):
+    """character -> whether the tokenizer cuts it from punctuation before and after it, and from nothing else in it."""
+
+    def __init__(self, encoder: object) -> None:
+        super().__init__()
+        self.encoder = encoder
+
+    def __missing__(self, c: str) -> bool:
+        pieces = [x for x, _ in self.encoder.pre_tokenizer.pre_tokenize_str(self.encoder.normalizer.normalize_str(f"!a{c}b!"))]
+        self[c] = found = len(pieces) == 3
+        return found
+
+
 class Words:
     """A tokenizer with the ids of words it has met, as bytes. One for each Python worker, which serves many tasks.
 
@@ -51,6 +64,7 @@ class Words:
         self.known: dict[str, bytes] = {}
         self.added = {t.content: np.array([i], "<u4").tobytes() for i, t in self.encoder.get_added_tokens_decoder().items()}
         self.border = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")")
+        self.letter = Letters(self.encoder)
         vocabulary = self.encoder.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -64,6 +78,11 @@ class Words:
             out += [self.added[part]] if k % 2 else in_words(part)
         return out
 
+    def letters(self, word: str) -> bool:
+        """Whether the tokenizer takes all characters for letters, when it has lower-cased them: some become a letter and
+        a mark, and its version of Unicode isn't Python's."""
+        return word.isascii() and word.isalpha() or word.isalpha() and all(map(self.letter.__getitem__, word))
+
     def learn(self, words: set[str | bytes]) -> None:
         known = self.known
         if len(known) > CACHED_WORDS:
@@ -73,8 +92,8 @@ class Words:
         for w in words - known.keys():
             core = w.rstrip(PUNCTUATION)
             if core == w or not core:
-                (runs if w.isalpha() or not core else other).append(w)
-            elif core.isalpha():
+                (runs if not core or self.letters(w) else other).append(w)
+            elif self.letters(core):
                 mixed.append((w, core, w[len(core) :]))
             else:
                 other.append(w)

@@ -439,3 +439,33 @@ def test_parse_warc(spark, tmp_path):
 def test_written_survives_in_the_shared_folder(spark):
     assert written(spark.range(5), "x").count() == 5
     assert written(spark.range(5).where(F.col("id") > 9), "x").count() == 0
+
+
+def odd_strings(n):
+    """Letters that lower-case to more than letters, marks, characters of other versions of Unicode, and punctuation."""
+    draw = np.random.default_rng(5)
+    several = [chr(c) for c in range(0x80, 0x20000) if not 0xD800 <= c < 0xE000 and (not chr(c).lower().isalpha() or len(chr(c).lower()) > 1) and chr(c).isalnum()]
+    newer = [chr(c) for c, _ in bpe.unlike_characters()] or ["x"]
+    parts = ["\u0130", "\u01c5", "\u00df", "e\u0301", "\u0307", "H", "caf\u00e9", "'s", "'S", "...", "!", ">", "<|", "|>", " ", "\n", "  ", "1", "\u0663", "\u03c2", "\u03a3", "\u65e5", "\u0338", "\x1c", "\x85", "\xa0", "\u200b", "-", "'"]
+    return ["".join(str(draw.choice(k)) for k in ((parts, parts, parts, several, newer)[i] for i in draw.integers(0, 5, int(draw.integers(1, 9))))) for _ in range(n)]
+
+
+def test_odd_strings_as_the_tokenizers():
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    strings = odd_strings(20_000) + ["\u0130...", "H\u0130!", "caf\u00e9\u0130, x", "\u0130|>", "\U0001258d's"]
+    whole = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    whole.encode_special_tokens = True
+    own = packing.Words(public_tokenizers.path("word_bpe_49k.json"))
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    bytewise = bpe.Words(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, True, bpe.unlike_characters())
+    for low in range(0, len(strings), 500):
+        some = strings[low : low + 500]
+        for make, divide, expected in ((own, own.parts, lambda x: whole.encode(x, add_special_tokens=False).ids), (bytewise, bytewise.divided, library.encode_ordinary)):
+            parts = [divide(x) for x in some]
+            make.learn(set().union(*parts))
+            for x, p in zip(some, parts, strict=True):
+                assert np.frombuffer(b"".join(make.known[w] for w in p), "<u4").tolist() == expected(x), ascii(x)
