@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +37,11 @@ PULL, RATE, THRESHOLD = 2e-3, 0.08, 0.3
 PREFIXES = range(4, 9)
 #: The G statistic a term needs: chance alone passes it once in some 10,000 terms.
 TELLING = 15.0
-#: Whole words, the most frequent of the sample, whose pairs are screened; the standard deviations a pair's documents
-#: need to be apart from what the words' own weights say, and the least variance that counts (8 documents at even odds).
-PAIRED, APART, LEAST_VARIANCE = 1500, 5.5, 2.0
+#: The standard deviations a pair's documents need at least to be apart from what the words' own weights say, pairs that
+#: chance alone may put further apart, and the least variance that counts (8 documents at even odds).
+APART, CHANCE, LEAST_VARIANCE = 5.5, 0.04, 2.0
+#: Pairs counted at once: two numbers of four bytes each.
+BLOCK = 1 << 24
 
 
 @dataclass
@@ -79,45 +82,86 @@ def telling(at: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     return terms[g >= TELLING]
 
 
-def pairs_that_tell(at: list[np.ndarray], miss: np.ndarray, spread: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(terms, effects): words of pairs that tell the labels apart beyond the words' own weights; effects in log odds.
+@dataclass
+class Pairs:
+    """Words (terms, in order) and the effects, in log odds, of pairs of their places; each pair stands in both orders."""
+
+    words: np.ndarray
+    one: np.ndarray
+    other: np.ndarray
+    effect: np.ndarray
+
+
+def pairs_that_tell(at: list[np.ndarray], miss: np.ndarray, spread: np.ndarray) -> Pairs:
+    """Pairs of words that tell the labels apart beyond the words' own weights.
 
     miss and spread are each document's label less its expected label, and that label's variance. What a word misses by
-    itself isn't a pair's doing, so a pair must be further apart than either word.
+    itself isn't a pair's doing, so a pair must be further apart than either word. All pairs of words that could be far
+    enough apart are counted, for a block of words at a time; the more there are, the further apart a pair must be.
     """
-    counts = np.bincount(np.concatenate(at), minlength=DIMENSIONS)
-    counts[1::2] = 0
-    often = np.argsort(-counts, kind="stable")[:PAIRED]
-    often = np.sort(often[counts[often] >= LEAST_ROWS])
+    own = [a[a % 2 == 0] for a in at]
+    words = far_enough(own, miss, spread)
     place = np.full(DIMENSIONS, -1)
-    place[often] = np.arange(len(often))
-    off, var = np.zeros((2, len(often), len(often)), np.float32)
-    for low in range(0, len(at), 400):
-        own = [p[p >= 0] for p in (place[a] for a in at[low : low + 400])]
-        has = np.zeros((len(own), len(often)), np.float32)
-        has[np.repeat(np.arange(len(own)), [len(p) for p in own]), np.concatenate(own)] = 1
-        off += has.T @ (has * miss[low : low + 400, None].astype(np.float32))
-        var += has.T @ (has * spread[low : low + 400, None].astype(np.float32))
-    alone = np.abs(np.diag(off)) / np.sqrt(np.diag(var) + 0.5)
-    found, pairs = [], []
-    for i in range(len(often)):  # row by row: less memory
-        z = np.abs(off[i]) / np.sqrt(var[i] + 0.5)
-        ok = np.flatnonzero((var[i] >= LEAST_VARIANCE) & (z >= APART) & (z >= 1.5 * np.maximum(alone, alone[i])))
-        pairs.append((ok, np.clip(off[i, ok] / var[i, ok], -4, 4)))
-        found += [i] * bool(len(ok))
-    effects = np.zeros((len(found), len(found)))
-    for k, i in enumerate(found):
-        effects[k, np.searchsorted(found, pairs[i][0])] = pairs[i][1]
-    return often[found], effects
-
-
-def first_factors(effects: np.ndarray) -> np.ndarray:
+    place[words] = np.arange(len(words))
+    own = [p[p >= 0] for p in (place[a] for a in own)]
+    col, row = np.concatenate([*own, np.zeros(0, np.int64)]), np.repeat(np.arange(len(own)), [len(p) for p in own])
+    alone = np.abs(np.bincount(col, miss[row], len(words))) / np.sqrt(np.bincount(col, spread[row], len(words)) + 0.5)
+    apart = max(APART, NormalDist().inv_cdf(1 - CHANCE / max(len(words) * (len(words) - 1), 1)))
+    out: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    block = max(1, BLOCK // max(len(words), 1))
+    for low in range(0, len(words), block):
+        off, var = np.zeros((2, min(block, len(words) - low), len(words)), np.float32)
+        for i, has in enumerate(own):
+            first = has[np.searchsorted(has, low) : np.searchsorted(has, low + block)] - low
+            if len(first):
+                off[first[:, None], has] += miss[i]
+                var[first[:, None], has] += spread[i]
+        z = np.abs(off) / np.sqrt(var + 0.5)
+        a, b = np.nonzero((var >= LEAST_VARIANCE) & (z >= apart))
+        good = z[a, b] >= 1.5 * np.maximum(alone[b], alone[a + low])
+        a, b = a[good], b[good]
+        out.append((a + low, b, np.clip(off[a, b] / var[a, b], -4, 4)))
+    one, other, effect = (np.concatenate([x[k] for x in out]) for k in range(3))
+    found = np.unique(one)
+    return Pairs(words[found], np.searchsorted(found, one), np.searchsorted(found, other), effect)
+
+
+def far_enough(own: list[np.ndarray], miss: np.ndarray, spread: np.ndarray) -> np.ndarray:
+    """Words that may be in a pair that is APART: of the documents with a word, some may be so, those that miss most for
+    their variance first. No other word can be."""
+    least = np.full(DIMENSIONS, -1)
+    often = frequent(own, LEAST_ROWS)
+    least[often] = np.arange(len(often))
+    best = np.zeros(len(often))
+    for side in (1, -1):
+        rows = np.flatnonzero(side * miss > 0)
+        rows = rows[np.argsort(-np.abs(miss[rows]) / np.maximum(spread[rows], 1e-12), kind="stable")]
+        off, var = np.zeros((2, len(often)))
+        for i in rows:
+            has = least[own[i]]
+            has = has[has >= 0]
+            off[has] += abs(miss[i])
+            # any documents with a variance from here on miss no more than these; pairs of less than LEAST_VARIANCE don't count
+            best[has] = np.maximum(best[has], off[has] / np.sqrt(np.maximum(var[has], LEAST_VARIANCE) + 0.5))
+            var[has] += spread[i]
+    return often[best >= APART]
+
+
+def first_factors(pairs: Pairs) -> np.ndarray:
     """Factors whose products come near to the effects of pairs: the largest eigenvectors, with a diagonal that allows roots."""
-    own = effects.astype(float) + np.diag(np.abs(effects).sum(1))
-    values, vectors = np.linalg.eigh(own)
-    top = np.argsort(-values)[:FACTORS]
-    out = np.zeros((len(effects), FACTORS))
-    out[:, : len(top)] = vectors[:, top] * np.sqrt(np.maximum(values[top], 0))
+    n = len(pairs.words)
+    diagonal = np.bincount(pairs.one, np.abs(pairs.effect), n)[:, None]
+    draw = np.random.default_rng(3)
+    q = draw.normal(size=(n, min(n, FACTORS)))
+    values = np.zeros(q.shape[1])
+    for _ in range(100 if n else 0):
+        q, _ = np.linalg.qr(q)
+        after = diagonal * q + sums(pairs.one, pairs.effect[:, None] * q[pairs.other], n)
+        values = (q * after).sum(axis=0)
+        q = after
+    out = np.zeros((n, FACTORS))
+    if n:
+        out[:, : q.shape[1]] = np.linalg.qr(q)[0] * np.sqrt(np.maximum(values, 0))
     return out
 
 
@@ -132,10 +176,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MO
     rows = placed(at, terms)
     linear = descended(rows, y, Model(terms, start, np.zeros(len(terms)), np.zeros((len(terms), FACTORS))), 0)
     likely = sigmoid(np.array([raw_score(linear, own) for own in rows]))
-    paired, effects = pairs_that_tell(at, y - likely, likely * (1 - likely))
-    terms = np.union1d(terms, paired).astype(np.int64)
+    pairs = pairs_that_tell(at, y - likely, likely * (1 - likely))
+    terms = np.union1d(terms, pairs.words).astype(np.int64)
     factors = np.random.default_rng(5).normal(0, 0.05, (len(terms), FACTORS))
-    factors[np.searchsorted(terms, paired)] += first_factors(effects)
+    factors[np.searchsorted(terms, pairs.words)] += first_factors(pairs)
     model = descended(placed(at, terms), y, Model(terms, start, np.zeros(len(terms)), factors), 1)
     # the sample holds as many of each label as it may; the bias takes the labels' real shares back
     real = np.log(by_label.get(1, 1) / by_label.get(0, 1))

@@ -145,6 +145,48 @@ def test_pairs_of_words_are_learnt(spark):
             assert (right > 0.9) == good
 
 
+def test_pairs_beside_many_more_frequent_words(spark):
+    """The exclusive or of two words, beside 1,700 words that are more frequent than both."""
+    draw = np.random.default_rng(8)
+    rows, labels = [], []
+    for i in range(4000):
+        a, b = draw.random(2) < 0.5
+        w = [f"word{k}" for k in np.flatnonzero(draw.random(1700) < 0.6)] + ["alpha"] * int(a) + ["beta"] * int(b)
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(a != b)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    held = toxicity.scored(docs, toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))).where(toxicity.held_out(F.col("doc_id"))).collect()
+    assert np.mean([int(r["score"] >= 0.5) == labels[r["doc_id"]][1] for r in held]) > 0.95
+
+
+def test_screen_counts_all_pairs(monkeypatch):
+    """Blocks and the bound on single words lose no pair of the plain count."""
+    draw = np.random.default_rng(4)
+    at = [np.sort(draw.choice(np.arange(0, 400, 2), 60, replace=False)) for _ in range(600)]
+    has = np.zeros((600, 400))
+    for i, a in enumerate(at):
+        has[i, a] = 1
+    expected = draw.uniform(0.1, 0.6, 600)
+    y = draw.random(600) < np.select([has[:, 10] * has[:, 20] == 1, has[:, 10] + has[:, 20] == 1], [expected**0.1, expected * 0.75], expected)
+    miss, spread = y - expected, expected * (1 - expected)
+    monkeypatch.setattr(toxicity, "APART", 3.0)
+    monkeypatch.setattr(toxicity, "CHANCE", 1e9)
+    monkeypatch.setattr(toxicity, "NormalDist", lambda: type("N", (), {"inv_cdf": staticmethod(lambda p: 0.0)}))
+    off, var = has.T @ (has * miss[:, None]), has.T @ (has * spread[:, None])
+    z = np.abs(off) / np.sqrt(var + 0.5)
+    alone = np.diag(z)
+    want = {(a, b) for a, b in zip(*np.nonzero((var >= 2) & (z >= 3.0) & (z >= 1.5 * np.maximum(alone[:, None], alone))), strict=True)}
+    for block in (1, 1000, 1 << 24):
+        monkeypatch.setattr(toxicity, "BLOCK", block)
+        got = toxicity.pairs_that_tell(at, miss, spread)
+        assert {(int(got.words[a]), int(got.words[b])) for a, b in zip(got.one, got.other, strict=True)} == want
+        assert np.allclose(got.effect, np.clip(off[got.words[got.one], got.words[got.other]] / var[got.words[got.one], got.words[got.other]], -4, 4), atol=1e-4)
+    assert {(10, 20), (20, 10)} <= want, sorted(want)
+    factors = toxicity.first_factors(got)
+    a, b = np.searchsorted(got.words, [10, 20])
+    assert factors[a] @ factors[b] > 0
+
+
 def test_toxicity_score_is_the_double_sum(spark):
     docs, labels = labelled(spark)
     model = toxicity.fit(docs, labels)
