@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,7 +25,6 @@ def _accents() -> tuple[str, str]:
 
 
 ACCENTED, PLAIN = _accents()
-WORDS = regex.compile(r"[\p{L}\p{N}]+")
 
 
 def strip_accents(c: Column) -> Column:
@@ -63,8 +61,7 @@ def token_similarity(a: Column, b: Column) -> Column:
         shared, n, m = F.size(F.array_intersect(x, y)), F.size(x), F.size(y)
         return F.when((n <= 0) | (m <= 0), F.lit(0.0)).otherwise(F.greatest(2.0 * shared / (n + m), shared / F.least(n, m)))
 
-    # a lambda's argument is made once, however often it's named: an expression would be made anew in each place
-    return F.transform(F.array(F.struct(significant_tokens(a).alias("x"), significant_tokens(b).alias("y"))), of)[0]
+    return let(F.struct(significant_tokens(a).alias("x"), significant_tokens(b).alias("y")), of)
 
 
 def slug(c: Column) -> Column:
@@ -108,41 +105,72 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when(every == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(x, y)) / every)
 
 
-def best_extent(query: list[str], text: list[str]) -> float:
-    """Best similarity of the query's trigram set and any run of the text's trigrams.
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value made once: a lambda's argument is, an expression would be made anew in each place."""
+    return F.transform(F.array(value), body)[0]
 
-    A best run begins and ends at a shared trigram, so only those are tried.
+
+def trigram_codes(c: Column) -> Column:
+    """`trigrams` as whole numbers, one for each: three code points of 21 bits."""
+    at = lambda g, i, bits: F.shiftleft(F.ascii(F.substring(g, i, 1)).cast("long"), bits)
+    return F.transform(trigrams(c), lambda g: at(g, 1, 42) + at(g, 2, 21) + at(g, 3, 0))
+
+
+def best_run(query: Column, text: Column) -> Column:
+    """The best similarity of a set (an array without repeats) and the set of any run of a list; 0 if nothing is shared.
+
+    One more shared item beside a run makes it better or leaves it as it is, so best runs begin and end where unbroken
+    stretches of shared items do: only those are tried. With n items in the set, a run of d different ones has n / d at
+    most, which ends a start's runs as soon as that isn't above the best so far.
     """
-    wanted = set(query)
-    at = [i for i, t in enumerate(text) if t in wanted]
-    best = 0.0
-    for k, start in enumerate(at):
-        seen: set[str] = set()
-        shared: set[str] = set()
-        low = start
-        for end in at[k:]:
-            seen.update(text[low : end + 1])
-            shared.add(text[end])
-            low = end + 1
-            best = max(best, len(shared) / (len(wanted) + len(seen) - len(shared)))
-    return best
 
+    def stretches(both: Column) -> Column:
+        q, t = both["q"], both["t"]
+        hits = F.transform(t, lambda g: F.array_contains(q, g))
+        return F.struct(q.alias("q"), t.alias("t"), F.size(q).alias("n"), hits.alias("hits"), F.sequence(F.lit(0), F.size(t)).alias("at"))
+
+    def borders(m: Column) -> Column:
+        hit = lambda i: F.coalesce(F.get(m["hits"], i), F.lit(False))
+        return F.struct(m["q"].alias("q"), m["t"].alias("t"), m["n"].alias("n"), F.filter(m["at"], lambda i: hit(i) & ~hit(i - 1)).alias("starts"), F.filter(m["at"], lambda i: hit(i) & ~hit(i + 1)).alias("ends"))
+
+    def best(m: Column) -> Column:
+        def from_start(so_far: Column, start: Column) -> Column:
+            def step(s: Column, end: Column) -> Column:
+                def run(own: Column) -> Column:
+                    every, shared = own["every"], own["shared"]
+                    value = F.greatest(s["best"], shared / (m["n"] + every - shared))
+                    return F.struct(value.alias("best"), (every * value >= m["n"]).alias("done"))
+
+                own = let(F.slice(m["t"], start + 1, end - start + 1), lambda w: F.struct(F.size(F.array_distinct(w)).alias("every"), F.size(F.array_intersect(m["q"], w)).alias("shared")))
+                return F.when(s["done"], s).otherwise(let(own, run))
 
-def trigrams_of(text: str) -> list[str]:
-    """The same list as `trigrams`, of one text."""
-    padded = (f"  {w} " for w in WORDS.findall(text.lower()))
-    return [w[i : i + 3] for w in padded for i in range(len(w) - 2)]
+            return F.aggregate(F.filter(m["ends"], lambda e: e >= start), F.struct(so_far.alias("best"), F.lit(False).alias("done")), step, lambda s: s["best"])
 
+        return F.aggregate(m["starts"], F.lit(0.0), from_start)
 
-@F.pandas_udf(T.DoubleType())
-def _best_extent(query: pd.Series, text: pd.Series) -> pd.Series:
-    return pd.Series([None if a is None or b is None else best_extent(trigrams_of(a), trigrams_of(b)) for a, b in zip(query, text, strict=True)], dtype="float64")
+    return let(F.struct(query.alias("q"), text.alias("t")), lambda both: let(stretches(both), lambda m: let(borders(m), best)))
+
+
+def run_above(query: Column, text: Column, least: float) -> Column:
+    """best_run(query, text) > least, by cheaper bounds where they decide: what is shared over the set is an upper one,
+    the similarity to the whole list a lower one."""
+
+    def above(m: Column) -> Column:
+        n = F.size(m["q"])
+        return F.when(m["c"] / F.nullif(n, F.lit(0)) > least, (m["c"] / (n + F.size(F.array_distinct(m["t"])) - m["c"]) > least) | (best_run(m["q"], m["t"]) > least)).otherwise(F.when(m["c"].isNotNull(), F.lit(False)))
+
+    shared = F.when(query.isNotNull() & text.isNotNull(), F.size(F.array_intersect(query, text)))
+    return let(F.struct(query.alias("q"), text.alias("t"), shared.alias("c")), above)
 
 
 def word_similarity(a: Column, b: Column) -> Column:
-    """Asymmetric: a's trigrams against the best run of b's. In Arrow batches: the runs of a text are too many for
-    array functions."""
-    return _best_extent(a, b)
+    """Asymmetric: a's trigrams against the best run of b's. Null where a text is."""
+    return F.when(a.isNotNull() & b.isNotNull(), best_run(F.array_distinct(trigrams(a)), trigrams(b)))
+
+
+def word_similar(a: Column, b: Column, least: float) -> Column:
+    """word_similarity(a, b) > least."""
+    return F.when(a.isNotNull() & b.isNotNull(), run_above(F.array_distinct(trigrams(a)), trigrams(b), least))
 
 
 def year_token(c: Column) -> Column:

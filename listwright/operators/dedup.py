@@ -6,12 +6,14 @@ canonical_url), as plain Column expressions: one select assesses all pairs.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from listwright.functions.geo import haversine
 from listwright.functions.temporal import local_date, local_end, local_start
-from listwright.functions.text import normalize_text, normalize_url, similarity, token_similarity, trigrams, word_similarity, year_token
+from listwright.functions.text import best_run, let, normalize_text, normalize_url, similarity, token_similarity, trigram_codes, word_similar, year_token
 
 # Blocking threshold; weights; conflict bounds; routing thresholds; time scale of timed pairs in minutes.
 LEAST_TITLE = 0.15
@@ -22,8 +24,8 @@ STRONG = ["date_conflict", "time_conflict", "city_conflict", "edition_conflict"]
 MIXED_BLOCKER = "one source does not report time precision (mixed timed/date-only evidence)"
 STATUS_OF_ROUTING = {"auto_merge": "auto_approved", "review": "pending_review", "separate": "separate"}
 
-#: Days of a bucket, and ranges of more buckets than this, which are met by month instead.
-WEEK, MOST_WEEKS, MONTH = 7, 60, 364
+#: Days of a bucket; ranges of more buckets than this meet by year instead; rows of a block; trigrams known as frequent.
+WEEK, MOST_WEEKS, YEAR, BLOCK, HOT = 7, 60, 364, 1000, 64
 
 
 # blocking
@@ -36,46 +38,105 @@ def spans(occurrences: DataFrame) -> DataFrame:
     return own.select("event_id", local_start(c("temporal_kind"), c("starts_at"), c("start_date")).alias("first"), local_end(c("temporal_kind"), c("starts_at"), c("ends_at"), c("start_date"), c("end_date")).alias("last"))
 
 
+def bucket_of(day: Column, size: int) -> Column:
+    return F.floor(F.datediff(day, F.lit("1970-01-01").cast("date")) / size)
+
+
+def is_lasting() -> Column:
+    return bucket_of(F.col("last"), WEEK) - bucket_of(F.col("first"), WEEK) > MOST_WEEKS
+
+
+def in_buckets(rows: DataFrame, size: int) -> DataFrame:
+    return rows.withColumn("bucket", F.explode(F.sequence(bucket_of(F.col("first"), size), bucket_of(F.col("last"), size))))
+
+
+def in_blocks(left: DataFrame, right: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Both sides with two more columns to join on, left_part and right_part: a key of more than BLOCK rows is cut into
+    blocks of about BLOCK by BLOCK, in which every pair of the key is once. Rows have a column event_id."""
+    rows = left.select(*keys).unionByName(right.select(*keys)).groupBy(*keys).count()
+    crowded = rows.where(F.col("count") > BLOCK).select(*keys, F.ceil(F.col("count") / BLOCK).cast("int").alias("parts"))
+
+    def dealt(side: DataFrame, own: str, other: str) -> DataFrame:
+        found = side.join(crowded, keys, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+        return found.withColumn(own, F.pmod(F.xxhash64("event_id"), F.col("parts")).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+
+    return dealt(left, "left_part", "right_part"), dealt(right, "right_part", "left_part")
+
+
+def met(left: DataFrame, right: DataFrame, keys: list[str], size: int, more: Callable[[], Column] | None = None) -> DataFrame:
+    """(left_id, right_id) of rows with the same keys, bucket among them, whose ranges meet and left_id < right_id; of the
+    buckets two ranges share only the first is used. `more` is a condition on l_ and r_ columns."""
+    left, right = in_blocks(left, right, keys)
+    on = [*keys, "left_part", "right_part"]
+    side = lambda rows, p: rows.select(*on, *(F.col(c).alias(f"{p}_{c}") for c in rows.columns if c not in on))
+    c = F.col
+    meets = (c("l_event_id") < c("r_event_id")) & (c("l_first") <= c("r_last")) & (c("r_first") <= c("l_last")) & (c("bucket") == bucket_of(F.greatest("l_first", "r_first"), size))
+    rows = side(left, "l").join(side(right, "r"), on).where(meets)
+    return (rows.where(more()) if more else rows).select(c("l_event_id").alias("left_id"), c("r_event_id").alias("right_id"))
+
+
+def by_range(left: DataFrame, right: DataFrame, keys: list[str], more: Callable[[], Column] | None = None) -> DataFrame:
+    """Distinct pairs of `met` rows. Ranges meet by week; very long ones would be in many weeks, so they meet all others by
+    year. Nothing is lost: two ranges that overlap share a bucket of either size."""
+    on = ["bucket", *keys]
+    meet = lambda a, b, size: met(in_buckets(a, size), in_buckets(b, size), on, size, more)
+    short, lasting = (rows.where(~is_lasting()) for rows in (left, right)), (rows.where(is_lasting()) for rows in (left, right))
+    (short_left, short_right), (long_left, long_right) = short, lasting
+    return meet(short_left, short_right, WEEK).unionByName(meet(long_left, right, YEAR)).unionByName(meet(short_left, long_right, YEAR)).distinct()
+
+
 def overlapping(rows: DataFrame) -> DataFrame:
-    """Distinct (left_id, right_id), left_id < right_id, of rows (event_id, first, last, ...) whose ranges meet.
+    """Distinct (left_id, right_id), left_id < right_id, of rows (event_id, first, last) whose ranges meet.
 
-    Ranges meet by week; of the weeks two ranges share only the first is used, so no pair is made twice. Very long
-    ranges would be in many weeks: they go to buckets of a year, where all ranges meet them. Nothing is lost: two
-    ranges that overlap share a bucket of either size.
+    Every such pair is a result, so a week of n events has up to n * n / 2; its work is cut into blocks.
     """
-    day = lambda x, n: F.floor(F.datediff(x, F.lit("1970-01-01").cast("date")) / n)
-    long = day(F.col("last"), WEEK) - day(F.col("first"), WEEK) > MOST_WEEKS
+    own = rows.select("event_id", "first", "last")
+    return by_range(own, own, [])
 
-    def meet(a: DataFrame, b: DataFrame, size: int) -> DataFrame:
-        x = a.select(F.col("event_id").alias("a"), F.col("first").alias("a1"), F.col("last").alias("a2"), F.explode(F.sequence(day(F.col("first"), size), day(F.col("last"), size))).alias("bucket"))
-        y = b.select(F.col("event_id").alias("b"), F.col("first").alias("b1"), F.col("last").alias("b2"), F.explode(F.sequence(day(F.col("first"), size), day(F.col("last"), size))).alias("bucket"))
-        both = x.join(y, "bucket").where((F.col("a1") <= F.col("b2")) & (F.col("b1") <= F.col("a2")) & (F.col("bucket") == day(F.greatest("a1", "b1"), size)))
-        return both.select("a", "b")
 
-    short, lasting = rows.where(~long), rows.where(long)
-    pairs = meet(short, short, WEEK).where("a < b").unionByName(meet(lasting, rows, MONTH).where("a <> b"))
-    return pairs.select(F.least("a", "b").alias("left_id"), F.greatest("a", "b").alias("right_id")).distinct()
+def titled(events: DataFrame, refs: DataFrame) -> DataFrame:
+    """(event_id, sources, codes, grams): the trigrams of the title in order, and each once: those that few titles have
+    come first, the HOT most frequent ones of all titles last, in the same order for all events."""
+    sources = refs.groupBy("event_id").agg(F.collect_set("source_id").alias("sources"))
+    own = events.where("status = 'scheduled'").select(F.col("id").alias("event_id"), trigram_codes(F.col("title")).alias("codes"))
+    counts = own.select(F.explode(F.array_distinct("codes")).alias("code")).groupBy("code").count()
+    hottest = [r["code"] for r in counts.orderBy(F.desc("count"), "code").limit(HOT).collect()]
+    hot = F.array(*map(F.lit, reversed(hottest))).cast("array<bigint>")
+    grams = F.concat(F.array_sort(F.array_except("codes", hot)), F.array_intersect(hot, F.col("codes")))
+    return own.join(sources, "event_id", "left").withColumn("grams", grams)
 
 
 def candidate_pairs(events: DataFrame, occurrences: DataFrame, refs: DataFrame) -> DataFrame:
-    """(left_id, right_id): scheduled events of no common source that share local dates and have similar titles."""
-    own = events.where("status = 'scheduled'").select("id", "title")
-    dated = spans(occurrences).join(own.select(F.col("id").alias("event_id")), "event_id", "left_semi")
-    sources = refs.groupBy("event_id").agg(F.collect_set("source_id").alias("sources"))
-    # everything a pair's filters need is made once for each event, before the join
-    side = own.join(sources.withColumnRenamed("event_id", "id"), "id", "left").withColumn("grams", F.array_distinct(trigrams(F.col("title"))))
-    left, right = (side.select(*(F.col(c).alias(f"{p}_{c}") for c in side.columns)) for p in ("left", "right"))
-    rows = overlapping(dated).join(left, "left_id").join(right, "right_id")
-    rows = rows.where(~F.coalesce(F.arrays_overlap("left_sources", "right_sources"), F.lit(False)))
-    shared, every = F.size(F.array_intersect("left_grams", "right_grams")), F.size(F.array_union("left_grams", "right_grams"))
-    rows = rows.withColumn("shared", shared).where("shared > 0").withColumn("similar", F.col("shared") / every > LEAST_TITLE)
-    # the similarity of runs costs more: pairs that the plain one settles send it a null, which it passes over
-    open_title = F.when(~F.col("similar"), F.col("left_title"))
-    return rows.where(F.col("similar") | (word_similarity(open_title, F.col("right_title")) > LEAST_TITLE)).select("left_id", "right_id")
+    """(left_id, right_id): scheduled events of no common source that share local dates and have similar titles.
+
+    Events meet by week and trigram. A title passes only if the left one shares more than LEAST_TITLE of its trigrams, so
+    one of all but that share of them, the least frequent, is shared: the left event is posted under these, the right
+    one under all. A pair is looked at where the first of its shared trigrams is posted, so once. Crowded trigrams
+    of a week are cut into blocks; no task gets a whole week.
+    """
+    dated = spans(occurrences)
+    side = dated.join(titled(events, refs), "event_id").where(F.size("grams") > 0)
+    least = F.size("grams") - F.floor(F.size("grams") * F.lit(round(LEAST_TITLE * 100)) / 100).cast("int")
+    left = side.withColumn("gram", F.explode(F.slice("grams", F.lit(1), least))).drop("codes")
+    right = side.withColumn("gram", F.explode("grams")).withColumn("n", F.size("grams")).drop("grams")
+
+    def alike() -> Column:
+        c = F.col
+        n = F.size("l_grams")
+        apart = ~F.coalesce(F.arrays_overlap("l_sources", "r_sources"), F.lit(False))
+
+        def passes(shared: Column) -> Column:
+            s = F.size(shared)
+            first = (F.get(shared, F.lit(0)) == c("gram")) & (s / n > LEAST_TITLE)
+            return first & ((s / (n + c("r_n") - s) > LEAST_TITLE) | (best_run(c("l_grams"), c("r_codes")) > LEAST_TITLE))
+
+        return apart & let(F.array_intersect("l_grams", "r_codes"), passes)
+
+    return by_range(left, right, ["gram"], alike)
 
 
 def title_candidate(a: Column, b: Column) -> Column:
-    return F.greatest(similarity(a, b), word_similarity(a, b)) > LEAST_TITLE
+    return (similarity(a, b) > LEAST_TITLE) | word_similar(a, b, LEAST_TITLE)
 
 
 # signals

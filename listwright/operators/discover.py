@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from listwright.functions.geo import ellipsoidal, within_box
 from listwright.functions.temporal import PERIODS, date_range, date_range_error, effective_instant, local_end, local_start
-from listwright.functions.text import contains_ignore_case, word_similarity
+from listwright.functions.text import contains_ignore_case, word_similar
 from listwright.operators.export import public_rows
 from listwright.operators.normalize import STATUSES
 from listwright.operators.store import hydrate
@@ -55,12 +55,11 @@ def matching(occurrences: DataFrame, start: Column | None = None, end: Column |
 
 def text_match(term: Column, title: Column, description: Column, venue_name: Column, performers: Column | None = None) -> Column:
     """Substring of title, description, venue or a performer's name, whatever the case, or a similar run of words in
-    title or venue. Wildcards aren't special. Rows that contain the term send the similarity a null, which it passes over."""
+    title or venue. Wildcards aren't special. Rows that contain the term aren't compared."""
     found = contains_ignore_case(title, term) | F.coalesce(contains_ignore_case(description, term), F.lit(False)) | F.coalesce(contains_ignore_case(venue_name, term), F.lit(False))
     if performers is not None:
         found = found | F.coalesce(F.exists(performers, lambda p: contains_ignore_case(p["name"], term)), F.lit(False))
-    open_term = F.when(~F.coalesce(found, F.lit(False)), term)
-    similar = (word_similarity(open_term, title) > LEAST_WORD_SIMILARITY) | F.coalesce(word_similarity(open_term, venue_name) > LEAST_WORD_SIMILARITY, F.lit(False))
+    similar = word_similar(term, title, LEAST_WORD_SIMILARITY) | F.coalesce(word_similar(term, venue_name, LEAST_WORD_SIMILARITY), F.lit(False))
     return found | similar
 
 

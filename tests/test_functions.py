@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -37,14 +39,44 @@ def test_trigram_fixed_points(spark):
     assert value(spark, text.similarity(lit("Rock in Porto Alegre 2026"), lit("Rock in Porto Alegre"))) == pytest.approx(0.808, abs=1e-3)
 
 
-def test_best_extent_is_the_best_of_all_runs():
-    def brute(a, b):
-        runs = [set(b[i:j]) for i in range(len(b)) for j in range(i + 1, len(b) + 1)]
-        return max((len(set(a) & r) / len(set(a) | r) for r in runs), default=0.0)
+def test_word_similarity_is_the_best_of_all_runs(spark):
+    """Against all runs, on titles of all kinds and on whole texts, and what passes a bound."""
+    import random
 
-    for a, b in (("joao", "Show do João"), ("banda sul", "a banda do sul e a banda"), ("x", ""), ("aaa aaa", "aaa")):
-        x, y = text.trigrams_of(a), text.trigrams_of(b)
-        assert text.best_extent(x, y) == pytest.approx(brute(x, y))
+    def trigrams_of(t):
+        return [w[i : i + 3] for w in (f"  {w} " for w in re.findall(r"[^\W_]+", t.lower())) for i in range(len(w) - 2)]
+
+    def brute(a, b):
+        wanted, best = set(a), 0.0
+        for i in range(len(b)):
+            run = set()
+            for g in b[i:]:
+                run.add(g)
+                best = max(best, len(wanted & run) / len(wanted | run))
+        return best
+
+    draw = random.Random(4)
+    vocabulary = "a ab abc abd bcd samba sambas show de do rock in rio são joão x1 12 123 aaa aaaa".split()
+    some = lambda n: " ".join(draw.choices(vocabulary, k=draw.randrange(n)))
+    pairs = [(some(6), some(14)) for _ in range(400)] + [(some(9), some(160)) for _ in range(4)] + [("joao", "Show do João"), ("banda sul", "a banda do sul e a banda"), ("x", ""), ("", "x"), ("aaa aaa", "aaa")]
+    c = F.col
+    rows = spark.createDataFrame([*pairs, (None, "a"), ("a", None)], "a string, b string")
+    got = rows.select("a", "b", text.word_similarity(c("a"), c("b")).alias("value"), *(text.word_similar(c("a"), c("b"), t).alias(f"above{i}") for i, t in enumerate((0.15, 0.3, 0.6)))).collect()
+    for r in got:
+        if r["a"] is None or r["b"] is None:
+            assert r["value"] is None and r["above0"] is None
+            continue
+        want = brute(trigrams_of(r["a"]), trigrams_of(r["b"]))
+        assert r["value"] == pytest.approx(want), (r["a"], r["b"])
+        assert [r[f"above{i}"] for i in range(3)] == [want > t for t in (0.15, 0.3, 0.6)], (r["a"], r["b"])
+
+
+def test_trigram_codes_tell_trigrams_apart(spark):
+    rows = spark.createDataFrame([("São 日本 a1",), ("\U00020000x",), ("",), (None,)], "t string")
+    for r in rows.select(text.trigrams(F.col("t")).alias("t"), text.trigram_codes(F.col("t")).alias("c")).collect():
+        assert (r["t"] is None) == (r["c"] is None)
+        for g, code in zip(r["t"] or [], r["c"] or [], strict=True):
+            assert code == sum(ord(x) << s for x, s in zip(g, (42, 21, 0), strict=True))
 
 
 def test_slugs(spark):
