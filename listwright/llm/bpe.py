@@ -106,7 +106,7 @@ class Words:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.pattern = regex.compile(pattern)
         self.stand_ins = dict(unlike)
-        self.unlike = re.compile(f"[{''.join(map(chr, self.stand_ins))}]" if unlike else "(?!)")
+        self.unlike = frozenset(map(chr, self.stand_ins))
         self.space_led = space_led
         self.known: dict[str, bytes] = {}
         own = self.ranks
@@ -125,7 +125,7 @@ class Words:
 
     def find(self, text: str) -> list[str]:
         """The matches of the pattern, with each character taken for what the library takes it for."""
-        if not self.unlike.search(text):
+        if text.isascii() or self.unlike.isdisjoint(text):
             return self.pattern.findall(text)
         return [text[m.start() : m.end()] for m in self.pattern.finditer(text.translate(self.stand_ins))]
 
@@ -150,7 +150,7 @@ class Words:
 
     def one_word(self, part: str) -> bool:
         """Letters alone, whatever the version of Unicode, behind a blank or none."""
-        return (part[0] == " " or part[0].isalpha()) and part[1:].isalpha() and (part.isascii() or not self.unlike.search(part))
+        return (part[0] == " " or part[0].isalpha()) and part[1:].isalpha() and (part.isascii() or self.unlike.isdisjoint(part))
 
     def learn_words(self, words: set[str]) -> None:
         waiting: list[tuple[str, bytes]] = []
