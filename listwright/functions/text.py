@@ -100,9 +100,30 @@ def trigrams(c: Column) -> Column:
 
 def similarity(a: Column, b: Column) -> Column:
     """Shared over all distinct trigrams."""
-    x, y = F.array_distinct(trigrams(a)), F.array_distinct(trigrams(b))
-    every = F.size(F.array_union(x, y))
-    return F.when(every == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(x, y)) / every)
+
+    def of(both: Column) -> Column:
+        shared = F.size(F.array_intersect(both["x"], both["y"]))
+        every = F.size(both["x"]) + F.size(both["y"]) - shared
+        return F.when(every == 0, F.lit(0.0)).otherwise(shared / every)
+
+    both = F.struct(F.array_distinct(trigrams(a)).alias("x"), F.array_distinct(trigrams(b)).alias("y"))
+    return F.when(a.isNotNull() & b.isNotNull(), let(both, of))
+
+
+def substring_grams(c: Column, longest: int = 3) -> Column:
+    """All distinct runs of one to `longest` characters, lower-cased: a text that contains a term has the term's."""
+
+    def runs(chars: Column) -> Column:
+        at = lambda n: F.transform(F.slice(chars, F.lit(1), F.greatest(F.size(chars) - n + 1, F.lit(0))), lambda x, i: F.concat(x, *(F.get(chars, i + k) for k in range(1, n))))
+        return F.array_distinct(F.flatten(F.array(*(at(n) for n in range(1, longest + 1)))))
+
+    return let(F.filter(F.split(F.lower(c), ""), lambda x: x != ""), runs)
+
+
+def term_grams(c: Column, longest: int = 3) -> Column:
+    """The substring grams of a term that a text which contains it must have: those of `longest` characters, or the whole
+    of a shorter term."""
+    return F.filter(substring_grams(c, longest), lambda g: F.char_length(g) == F.least(F.lit(longest), F.char_length(F.lower(c))))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

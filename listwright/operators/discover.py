@@ -7,15 +7,16 @@ aggregation or the join, so they reach the scans; a page is a top-k of ids and o
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from listwright.functions.geo import ellipsoidal, within_box
 from listwright.functions.temporal import PERIODS, date_range, date_range_error, effective_instant, local_end, local_start
-from listwright.functions.text import contains_ignore_case, word_similar
+from listwright.functions.text import contains_ignore_case, substring_grams, term_grams, trigrams, word_similar
 from listwright.operators.export import public_rows
 from listwright.operators.normalize import STATUSES
 from listwright.operators.store import hydrate
@@ -83,8 +84,11 @@ def after_key(columns: list[str], key: tuple) -> Column:
     return F.struct(*columns) > F.struct(*(F.lit(v).cast(kinds[c]).alias(c) for c, v in zip(columns, key, strict=True)))
 
 
-def found(events: DataFrame, occurrences: DataFrame, venues: DataFrame, request: Request, suppressed: DataFrame | None = None) -> DataFrame:
-    """All rows of a request, without order and limit: events' columns, sort_instant, venue_name, distance_meters."""
+def found(events: DataFrame, occurrences: DataFrame, venues: DataFrame, request: Request, suppressed: DataFrame | None = None, index: DataFrame | None = None) -> DataFrame:
+    """All rows of a request, without order and limit: events' columns, sort_instant, venue_name, distance_meters.
+
+    index: a stored `text_index`, which a request with a text asks first.
+    """
     day = lambda x: F.lit(x).cast("date")
     rows = filtered_events(events, request)
     rows = rows.join(matching(occurrences, *((day(request.start), day(request.end)) if request.start else ())).withColumnRenamed("event_id", "id"), "id")
@@ -96,6 +100,8 @@ def found(events: DataFrame, occurrences: DataFrame, venues: DataFrame, request:
         places = places.where(within_box(F.col("latitude"), F.col("longitude"), lat, lng, radius)).withColumn("distance_meters", distance).where(F.col("distance_meters") <= radius)
     rows = rows.join(places, "venue_id", "inner" if geo else "left")
     if request.q:
+        if index is not None:
+            rows = rows.join(with_text(index, request.q), "id", "left_semi")
         performers = F.col("performers") if "performers" in events.columns else None
         rows = rows.where(text_match(F.lit(request.q), F.col("title"), F.col("description"), F.col("venue_name"), performers))
     if suppressed is not None:
@@ -220,18 +226,84 @@ def by_lists(asked: DataFrame, events: DataFrame) -> DataFrame:
     return out
 
 
-def by_status(asked: DataFrame, events: DataFrame) -> DataFrame:
-    """Requests of a text only: any event may be similar, so they meet all of their status."""
-    wanted = asked.where("`from` is null and lat is null and q is not null").select("request_id", "status")
-    return events.select("id", "status", "sort_instant").join(wanted, "status").select("request_id", "id", "sort_instant")
+# text requests
+
+
+#: Folders of a stored index; grams stay sorted within their files.
+INDEX_PARTS = 64
+
 
+def index_part(gram: Column) -> Column:
+    return (F.crc32(gram.cast("binary")) % INDEX_PARTS).cast("int")
+
+
+def text_index(events: DataFrame, venues: DataFrame) -> DataFrame:
+    """Postings (kind, gram, id): `has` are the substring grams of an event's title, description, performers' names and
+    venue's name; `run` are the trigrams, as similarity knows them, of its title (`run`) and its venue's name (`place`)."""
+    c = F.col
+    places = venues.select(c("id").alias("venue_id"), c("name").alias("venue_name"))
+    own = events.join(places, "venue_id", "left")
+    texts = [c("title"), c("description"), c("venue_name")]
+    if "performers" in events.columns:
+        texts.append(F.array_join(F.transform("performers", lambda p: p["name"]), "\n"))
+    # texts of a row are parted by a character that a term would have to have in it
+    whole = F.concat_ws("\n", *(F.coalesce(x, F.lit("")) for x in texts))
+    kinds = {"has": substring_grams(whole), "run": F.array_distinct(trigrams(c("title"))), "place": F.array_distinct(trigrams(c("venue_name")))}
+    rows = own.select("id", F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.coalesce(g, F.array().cast("array<string>")).alias("grams")) for k, g in kinds.items()))).alias("x"))
+    return rows.select("x.kind", F.explode("x.grams").alias("gram"), "id")
+
+
+def write_text_index(index: DataFrame, path: str) -> None:
+    """Stores postings in INDEX_PARTS folders by gram, sorted: a reader of a few grams opens their folders' files only.
+
+    A gram of very many events isn't one task's: rows are dealt by gram and event within a folder.
+    """
+    rows = index.withColumn("part", index_part(F.col("gram")))
+    rows.repartitionByRange("part", "gram", "id").sortWithinPartitions("part", "gram", "kind", "id").write.partitionBy("part").parquet(path)
 
-def discover_batch(events: DataFrame, occurrences: DataFrame, venues: DataFrame, requests: DataFrame, suppressed: DataFrame | None = None) -> DataFrame:
+
+def grams_of(spark: SparkSession, term: str) -> tuple[list[str], list[str]]:
+    """(substring grams, trigrams) of one term."""
+    r = spark.range(1).select(term_grams(F.lit(term)).alias("has"), F.array_distinct(trigrams(F.lit(term))).alias("run")).first()
+    return r["has"], r["run"]
+
+
+def with_text(index: DataFrame, term: str) -> DataFrame:
+    """(id) of events that may hold or resemble a term, by a stored index: its grams become filters of the scan."""
+    has, run = grams_of(index.sparkSession, term)
+    wanted = sorted({*has, *run})
+    own = index.where(F.col("gram").isin(wanted))
+    if "part" in index.columns:
+        own = own.where(F.col("part").isin(sorted({zlib.crc32(g.encode()) % INDEX_PARTS for g in wanted})))
+    asked = index.sparkSession.range(1).select(F.col("id").alias("request_id"), F.lit(term).alias("q"))
+    return by_text(asked, own).select("id").distinct()
+
+
+def by_text(asked: DataFrame, index: DataFrame) -> DataFrame:
+    """(request_id, id) of events that may hold a request's term q or resemble it; text_match decides.
+
+    Who holds the term has all its grams, so the rarest one is looked up. Who resembles it shares more than
+    LEAST_WORD_SIMILARITY of its trigrams, title and venue each by itself; these are counted, all but the most frequent
+    ones that can't make up that share alone. Both are joins on a gram: a request meets only what is posted under its own.
+    """
+    c = F.col
+    terms = asked.where("q is not null").select("request_id", "q")
+    grams = terms.select("request_id", F.explode(F.array(F.struct(F.lit("has").alias("kind"), term_grams(c("q")).alias("g")), *(F.struct(F.lit(k).alias("kind"), F.array_distinct(trigrams(c("q"))).alias("g")) for k in ("run", "place")))).alias("x"))
+    grams = grams.select("request_id", "x.kind", F.size("x.g").alias("n"), F.explode("x.g").alias("gram"))
+    counts = index.join(grams.select("kind", "gram").distinct(), ["kind", "gram"], "left_semi").groupBy("kind", "gram").count()
+    order = Window.partitionBy("request_id", "kind").orderBy(F.coalesce("count", F.lit(0)), "gram")  # grams of one term
+    ranked = grams.join(counts, ["kind", "gram"], "left").withColumn("place", F.row_number().over(order))
+    alone = F.floor(c("n") * F.lit(round(LEAST_WORD_SIMILARITY * 100)) / 100)
+    looked_up = ranked.where(F.when(c("kind") == "has", c("place") == 1).otherwise(c("place") <= c("n") - alone))
+    return index.join(looked_up.select("request_id", "kind", "gram"), ["kind", "gram"]).select("request_id", "id").distinct()
+
+
+def discover_batch(events: DataFrame, occurrences: DataFrame, venues: DataFrame, requests: DataFrame, suppressed: DataFrame | None = None, index: DataFrame | None = None) -> DataFrame:
     """(request_id, rank, id, sort_instant, distance_meters) of many good requests (request_id, params) in one job.
 
     Each request meets events by equality on its most selective part: weeks, else grid cells, else short lists, else
-    status alone (a text without dates or place). All its conditions are then checked, and its rows are cut to its limit
-    by a rank within the request.
+    grams of a text. All its conditions are then checked, and its rows are cut to its limit by a rank within the request.
+    index: a stored `text_index` of events and venues; without one its postings are made on the way.
     """
     c = F.col
     asked = requests.select("request_id", "params.*").withColumnRenamed("start", "from").withColumnRenamed("end", "to")
@@ -246,7 +318,9 @@ def discover_batch(events: DataFrame, occurrences: DataFrame, venues: DataFrame,
     places = venues.select(c("id").alias("venue_id"), c("name").alias("venue_name"), "latitude", "longitude")
     placed = own.join(places, "venue_id", "left")
     timed = placed.join(occ.groupBy("id").agg(F.min("instant").alias("sort_instant")), "id")
-    hits = by_dates(asked, occ.join(own.select("id", "status"), "id")).unionByName(by_cells(asked, timed)).unionByName(by_lists(asked, timed)).unionByName(by_status(asked, timed))
+    hits = by_dates(asked, occ.join(own.select("id", "status"), "id")).unionByName(by_cells(asked, timed)).unionByName(by_lists(asked, timed))
+    texts = by_text(asked.where("`from` is null and lat is null"), text_index(own, venues) if index is None else index)
+    hits = hits.unionByName(timed.select("id", "status", "sort_instant").join(texts, "id").join(asked.select("request_id", "status"), ["request_id", "status"]).select("request_id", "id", "sort_instant"))
     rows = hits.join(asked.withColumnRenamed("status", "asked_status").withColumnRenamed("free", "asked_free"), "request_id").join(placed, "id")
     rows = rows.where((c("category").isNull() | (c("category") == c("category_id"))) & (c("asked_free").isNull() | c("free").eqNullSafe(c("asked_free"))))
     rows = rows.withColumn("distance_meters", F.when(c("lat").isNotNull(), ellipsoidal(c("latitude"), c("longitude"), c("lat"), c("lng"))))

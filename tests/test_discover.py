@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -45,3 +47,64 @@ def test_a_key_of_the_other_order_is_refused(store):
         D.public_page(*store, D.Request(after=(1.0, "2026-05-01 20:00:00", "e1")))
     with pytest.raises(ValueError, match="key"):
         D.public_page(*store, D.Request(lat=-30.0, lng=-51.2, after=("2026-05-01 20:00:00", "e1")))
+
+
+TERMS = ["samba", "SAMBA na praça", "x", "o", "", "zz", "ñandú", "rock in", "in ro", "%", "日", "sambas", "praca", "a", "roda de", "samb", None]
+
+
+def wide(spark):
+    texts = ["Samba na Praça", "Roda de samba", "Rock in Rio", "Feira do livro", "x", "", "Ñandú 日本", "100% samba-rock", "Noite", "Sambas e choros"]
+    rows = [(f"e{i:02}", texts[i % 10], texts[(i * 7 + 3) % 10] + f" {i}", "m", ["scheduled", "cancelled"][i % 3 == 0], True, i % 4 if i % 5 else None) for i in range(60)]
+    events = spark.createDataFrame(rows, "id string, title string, description string, category_id string, status string, free boolean, venue_id int")
+    day = F.lit(None).cast("date")
+    occ = events.select(F.concat("id", F.lit("o")).alias("id"), F.col("id").alias("event_id"), F.lit("timed").alias("temporal_kind"), F.lit("2026-05-01 20:00:00").cast("timestamp").alias("starts_at"), day.alias("start_date"), day.alias("end_date"))
+    venues = spark.createDataFrame([(0, "Praça Central", -30.0, -51.0), (1, "Rock Bar", -30.1, -51.0), (2, None, None, None), (3, "o", -30.0, -51.1)], "id int, name string, latitude double, longitude double")
+    return events, occ, venues
+
+
+def plainly_found(events, venues, term, status="scheduled"):
+    def grams(t):
+        return [w[i : i + 3] for w in (f"  {w} " for w in re.findall(r"[^\W_]+", (t or "").lower())) for i in range(len(w) - 2)]
+
+    def best(a, b):
+        q, top = set(grams(a)), 0.0
+        for i in range(len(b)):
+            for j in range(i + 1, len(b) + 1):
+                top = max(top, len(q & set(b[i:j])) / len(q | set(b[i:j])))
+        return top
+
+    names = {r["id"]: r["name"] for r in venues.collect()}
+    out = set()
+    for r in events.where(F.col("status") == status).collect():
+        place = names.get(r["venue_id"])
+        held = any(term.lower() in (x or "").lower() for x in (r["title"], r["description"], place) if x is not None)
+        if held or best(term, grams(r["title"])) > 0.3 or best(term, grams(place)) > 0.3:
+            out.add(r["id"])
+    return out
+
+
+def test_text_requests_by_stored_index(spark, tmp_path):
+    """Every request gets what a scan gives, one by one and in a batch; a term's grams are filters of the index's scan."""
+    events, occ, venues = wide(spark)
+    path = str(tmp_path / "index")
+    D.write_text_index(D.text_index(events, venues), path)
+    index = spark.read.parquet(path)
+    terms = [t for t in TERMS if t]
+    want = {t: plainly_found(events, venues, t) for t in terms}
+    assert {len(v) for v in want.values()} >= {0} and max(map(len, want.values())) > 20
+    for t in ("samba", "x", "in ro", "praca", "%"):
+        rows = D.found(events, occ, venues, D.Request(q=t), None, index)
+        assert {r["id"] for r in rows.select("id").collect()} == want[t], t
+    plan = D.with_text(index, "zz")._jdf.queryExecution().executedPlan().toString()
+    assert "In(gram" in plan.replace("PushedFilters: [", "") and "PartitionFilters: [part" in plan
+    shape = "struct<limit: int, start: date, end: date, status: string, category: string, q: string, free: boolean, lat: double, lng: double, radius: long>"
+    requests = spark.createDataFrame([(i, (100, None, None, "scheduled", None, t, None, None, None, None)) for i, t in enumerate(TERMS)], f"request_id int, params {shape}")
+    for own in (index, None):
+        rows = D.discover_batch(events, occ, venues, requests, None, own)
+        got = {}
+        for r in rows.select("request_id", "id").collect():
+            got.setdefault(TERMS[r["request_id"]], set()).add(r["id"])
+        for t in terms:
+            assert got.get(t, set()) == want[t], t
+        assert len(got[None]) == 40
+    assert "Python" not in D.discover_batch(events, occ, venues, requests)._jdf.queryExecution().executedPlan().toString()
