@@ -112,12 +112,8 @@ def similarity(a: Column, b: Column) -> Column:
 
 def substring_grams(c: Column, longest: int = 3) -> Column:
     """All distinct runs of one to `longest` characters, lower-cased: a text that contains a term has the term's."""
-
-    def runs(chars: Column) -> Column:
-        at = lambda n: F.transform(F.slice(chars, F.lit(1), F.greatest(F.size(chars) - n + 1, F.lit(0))), lambda x, i: F.concat(x, *(F.get(chars, i + k) for k in range(1, n))))
-        return F.array_distinct(F.flatten(F.array(*(at(n) for n in range(1, longest + 1)))))
-
-    return let(F.filter(F.split(F.lower(c), ""), lambda x: x != ""), runs)
+    runs = lambda low, n: F.regexp_extract_all(low, F.lit(f"(?s)(?=({'.' * n}))"), F.lit(1))
+    return let(F.lower(c), lambda low: F.array_distinct(F.concat(*(runs(low, n) for n in range(1, longest + 1)))))
 
 
 def term_grams(c: Column, longest: int = 3) -> Column:

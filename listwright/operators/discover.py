@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from listwright.functions.geo import ellipsoidal, within_box
 from listwright.functions.temporal import PERIODS, date_range, date_range_error, effective_instant, local_end, local_start
-from listwright.functions.text import contains_ignore_case, substring_grams, term_grams, trigrams, word_similar
+from listwright.functions.text import contains_ignore_case, let, substring_grams, term_grams, trigrams, word_similar
 from listwright.operators.export import public_rows
 from listwright.operators.normalize import STATUSES
 from listwright.operators.store import hydrate
@@ -229,27 +229,32 @@ def by_lists(asked: DataFrame, events: DataFrame) -> DataFrame:
 # text requests
 
 
-#: Folders of a stored index; grams stay sorted within their files.
-INDEX_PARTS = 64
+#: Folders of a stored index, whose grams are sorted within their files; grams of terms (some 40 bytes each) that may be
+#: broadcast; terms that every text may be searched for.
+INDEX_PARTS, FEW_GRAMS, FEW_TERMS = 64, 100_000, 500
 
 
 def index_part(gram: Column) -> Column:
     return (F.crc32(gram.cast("binary")) % INDEX_PARTS).cast("int")
 
 
-def text_index(events: DataFrame, venues: DataFrame) -> DataFrame:
-    """Postings (kind, gram, id): `has` are the substring grams of an event's title, description, performers' names and
-    venue's name; `run` are the trigrams, as similarity knows them, of its title (`run`) and its venue's name (`place`)."""
+def whole_text(events: DataFrame, venues: DataFrame) -> DataFrame:
+    """(id, title, venue_name, whole): all that a term may be in, parted by a character that it would have to have in it."""
     c = F.col
     places = venues.select(c("id").alias("venue_id"), c("name").alias("venue_name"))
-    own = events.join(places, "venue_id", "left")
     texts = [c("title"), c("description"), c("venue_name")]
     if "performers" in events.columns:
         texts.append(F.array_join(F.transform("performers", lambda p: p["name"]), "\n"))
-    # texts of a row are parted by a character that a term would have to have in it
-    whole = F.concat_ws("\n", *(F.coalesce(x, F.lit("")) for x in texts))
-    kinds = {"has": substring_grams(whole), "run": F.array_distinct(trigrams(c("title"))), "place": F.array_distinct(trigrams(c("venue_name")))}
-    rows = own.select("id", F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.coalesce(g, F.array().cast("array<string>")).alias("grams")) for k, g in kinds.items()))).alias("x"))
+    return events.join(places, "venue_id", "left").select("id", "title", "venue_name", F.concat_ws("\n", *(F.coalesce(x, F.lit("")) for x in texts)).alias("whole"))
+
+
+def text_index(events: DataFrame, venues: DataFrame, kinds: tuple[str, ...] = ("has", "run", "place")) -> DataFrame:
+    """Postings (kind, gram, id): `has` are the substring grams of an event's title, description, performers' names and
+    venue's name; `run` are the trigrams, as similarity knows them, of its title (`run`) and its venue's name (`place`)."""
+    c = F.col
+    grams = {"has": substring_grams(c("whole")), "run": F.array_distinct(trigrams(c("title"))), "place": F.array_distinct(trigrams(c("venue_name")))}
+    posted = (F.struct(F.lit(k).alias("kind"), F.coalesce(grams[k], F.array().cast("array<string>")).alias("grams")) for k in kinds)
+    rows = whole_text(events, venues).select("id", F.explode(F.array(*posted)).alias("x"))
     return rows.select("x.kind", F.explode("x.grams").alias("gram"), "id")
 
 
@@ -290,12 +295,26 @@ def by_text(asked: DataFrame, index: DataFrame) -> DataFrame:
     terms = asked.where("q is not null").select("request_id", "q")
     grams = terms.select("request_id", F.explode(F.array(F.struct(F.lit("has").alias("kind"), term_grams(c("q")).alias("g")), *(F.struct(F.lit(k).alias("kind"), F.array_distinct(trigrams(c("q"))).alias("g")) for k in ("run", "place")))).alias("x"))
     grams = grams.select("request_id", "x.kind", F.size("x.g").alias("n"), F.explode("x.g").alias("gram"))
-    counts = index.join(grams.select("kind", "gram").distinct(), ["kind", "gram"], "left_semi").groupBy("kind", "gram").count()
+    # the terms' grams go to the postings where they are few, so that these need no exchange
+    few = F.broadcast if grams.count() <= FEW_GRAMS else lambda rows: rows
+    counts = index.join(few(grams.select("kind", "gram").distinct()), ["kind", "gram"], "left_semi").groupBy("kind", "gram").count()
     order = Window.partitionBy("request_id", "kind").orderBy(F.coalesce("count", F.lit(0)), "gram")  # grams of one term
     ranked = grams.join(counts, ["kind", "gram"], "left").withColumn("place", F.row_number().over(order))
     alone = F.floor(c("n") * F.lit(round(LEAST_WORD_SIMILARITY * 100)) / 100)
     looked_up = ranked.where(F.when(c("kind") == "has", c("place") == 1).otherwise(c("place") <= c("n") - alone))
-    return index.join(looked_up.select("request_id", "kind", "gram"), ["kind", "gram"]).select("request_id", "id").distinct()
+    return index.join(few(looked_up.select("request_id", "kind", "gram")), ["kind", "gram"]).select("request_id", "id").distinct()
+
+
+def by_terms(asked: DataFrame, events: DataFrame, venues: DataFrame) -> DataFrame:
+    """`by_text` without a stored index. Up to FEW_TERMS terms are looked for in every text as they are, in one pass;
+    more of them by postings made on the way."""
+    terms = [r["q"] for r in asked.where("q is not null").select(F.lower("q").alias("q")).distinct().limit(FEW_TERMS + 1).collect()]
+    if len(terms) > FEW_TERMS:
+        return by_text(asked, text_index(events, venues))
+    sought = F.array(*map(F.lit, terms)).cast("array<string>")
+    held = whole_text(events, venues).select("id", F.explode(let(F.lower("whole"), lambda low: F.filter(sought, lambda t: F.contains(low, t)))).alias("low"))
+    held = held.join(asked.select("request_id", F.lower("q").alias("low")), "low").select("request_id", "id")
+    return held.unionByName(by_text(asked, text_index(events, venues, ("run", "place")))).distinct()
 
 
 def discover_batch(events: DataFrame, occurrences: DataFrame, venues: DataFrame, requests: DataFrame, suppressed: DataFrame | None = None, index: DataFrame | None = None) -> DataFrame:
@@ -319,8 +338,12 @@ def discover_batch(events: DataFrame, occurrences: DataFrame, venues: DataFrame,
     placed = own.join(places, "venue_id", "left")
     timed = placed.join(occ.groupBy("id").agg(F.min("instant").alias("sort_instant")), "id")
     hits = by_dates(asked, occ.join(own.select("id", "status"), "id")).unionByName(by_cells(asked, timed)).unionByName(by_lists(asked, timed))
-    texts = by_text(asked.where("`from` is null and lat is null"), text_index(own, venues) if index is None else index)
-    hits = hits.unionByName(timed.select("id", "status", "sort_instant").join(texts, "id").join(asked.select("request_id", "status"), ["request_id", "status"]).select("request_id", "id", "sort_instant"))
+    worded = asked.where("q is not null")
+    texts = by_terms(worded, own, venues) if index is None else by_text(worded, index)
+    # requests of a text and of dates or a place keep what both give
+    held = hits.join(worded.select("request_id", F.lit(True).alias("worded")), "request_id", "left").join(texts.withColumn("held", F.lit(True)), ["request_id", "id"], "left")
+    only = texts.join(asked.where("`from` is null and lat is null").select("request_id", "status"), "request_id")
+    hits = held.where("worded is null or held").select("request_id", "id", "sort_instant").unionByName(timed.select("id", "status", "sort_instant").join(only, ["id", "status"]).select("request_id", "id", "sort_instant"))
     rows = hits.join(asked.withColumnRenamed("status", "asked_status").withColumnRenamed("free", "asked_free"), "request_id").join(placed, "id")
     rows = rows.where((c("category").isNull() | (c("category") == c("category_id"))) & (c("asked_free").isNull() | c("free").eqNullSafe(c("asked_free"))))
     rows = rows.withColumn("distance_meters", F.when(c("lat").isNotNull(), ellipsoidal(c("latitude"), c("longitude"), c("lat"), c("lng"))))

@@ -83,7 +83,7 @@ def plainly_found(events, venues, term, status="scheduled"):
     return out
 
 
-def test_text_requests_by_stored_index(spark, tmp_path):
+def test_text_requests_by_stored_index(spark, tmp_path, monkeypatch):
     """Every request gets what a scan gives, one by one and in a batch; a term's grams are filters of the index's scan."""
     events, occ, venues = wide(spark)
     path = str(tmp_path / "index")
@@ -99,7 +99,8 @@ def test_text_requests_by_stored_index(spark, tmp_path):
     assert "In(gram" in plan.replace("PushedFilters: [", "") and "PartitionFilters: [part" in plan
     shape = "struct<limit: int, start: date, end: date, status: string, category: string, q: string, free: boolean, lat: double, lng: double, radius: long>"
     requests = spark.createDataFrame([(i, (100, None, None, "scheduled", None, t, None, None, None, None)) for i, t in enumerate(TERMS)], f"request_id int, params {shape}")
-    for own in (index, None):
+    for own, few in ((index, 500), (None, 500), (None, 3)):
+        monkeypatch.setattr(D, "FEW_TERMS", few)
         rows = D.discover_batch(events, occ, venues, requests, None, own)
         got = {}
         for r in rows.select("request_id", "id").collect():
