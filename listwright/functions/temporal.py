@@ -31,6 +31,11 @@ def local_end(kind: Column, starts_at: Column, ends_at: Column, start_date: Colu
     return F.when(kind == "timed", local_date(F.coalesce(ends_at, starts_at))).otherwise(F.coalesce(end_date, start_date))
 
 
+def utc_day(instant: Column) -> Column:
+    """Its date in UTC, whatever the session's zone."""
+    return F.date_from_unix_date(F.floor(F.unix_micros(instant.cast("timestamp")) / 86_400_000_000).cast("int"))
+
+
 def period_range(period: Column, now: Column) -> Column:
     """Inclusive struct<start, end> of a named period around the instant `now`; null for other names."""
     today = local_date(now)

@@ -19,7 +19,7 @@ from listwright.functions.temporal import PERIODS, date_range, date_range_error,
 from listwright.functions.text import contains_ignore_case, let, substring_grams, term_grams, trigrams, word_similar
 from listwright.operators.export import public_rows
 from listwright.operators.normalize import STATUSES
-from listwright.operators.store import hydrate
+from listwright.operators.store import hydrate, in_clustered_range
 
 # Bounds and defaults of a request, and the least word similarity.
 LIMIT, MAX_LIMIT, RADIUS, MIN_RADIUS, MAX_RADIUS, LEAST_WORD_SIMILARITY = 20, 100, 5000, 1, 50000, 0.3
@@ -43,12 +43,17 @@ class Request:
 
 
 def matching(occurrences: DataFrame, start: Column | None = None, end: Column | None = None) -> DataFrame:
-    """(event_id, sort_instant): the earliest instant of the occurrences whose local dates meet the range."""
+    """(event_id, sort_instant): the earliest instant of the occurrences whose local dates meet the range.
+
+    Occurrences as `store.write_occurrences` stores them are read only where the range may be met.
+    """
     c = F.col
     own = occurrences
     if "ends_at" not in own.columns:
         own = own.withColumn("ends_at", F.lit(None).cast("timestamp"))
     if start is not None:
+        if {"utc_first", "utc_last", "utc_week", "lasting"} <= set(own.columns):
+            own = own.where(in_clustered_range(start, end))
         first, last = local_start(c("temporal_kind"), c("starts_at"), c("start_date")), local_end(c("temporal_kind"), c("starts_at"), c("ends_at"), c("start_date"), c("end_date"))
         own = own.where((first <= end) & (last >= start))
     return own.groupBy("event_id").agg(F.min(effective_instant(c("temporal_kind"), c("starts_at"), c("start_date"))).alias("sort_instant"))

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from listwright.functions.temporal import utc_day
+
 
 def latest(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """One row of each key, the first by `order`. A key with very many versions is pre-aggregated in the tasks."""
@@ -87,6 +89,33 @@ def upsert_sources(old: DataFrame, new: DataFrame, now: Column) -> DataFrame:
     return upsert(old, stamped, ["id"], keep=["created_at"])
 
 
+#: Days that an occurrence of a clustered table may last without being among the lasting ones.
+SHORT_DAYS = 7
+
+
+def write_occurrences(occurrences: DataFrame, path: str) -> None:
+    """Occurrences in folders by lasting (more than SHORT_DAYS) and by the week of their first day in UTC, sorted within
+    their files, with the columns utc_first and utc_last that `discover.matching` filters by. A week of very many
+    occurrences is in several files."""
+    c = F.col
+    own = occurrences if "ends_at" in occurrences.columns else occurrences.withColumn("ends_at", F.lit(None).cast("timestamp"))
+    timed = c("temporal_kind") == "timed"
+    first = F.when(timed, utc_day(c("starts_at"))).otherwise(c("start_date"))
+    last = F.when(timed, utc_day(F.coalesce("ends_at", "starts_at"))).otherwise(F.coalesce("end_date", "start_date"))
+    rows = own.withColumns({"utc_first": first, "utc_last": F.greatest(first, last)})
+    rows = rows.withColumns({"lasting": F.datediff("utc_last", "utc_first") > SHORT_DAYS, "utc_week": F.floor(F.unix_date("utc_first") / 7).cast("int")})
+    rows.repartitionByRange("lasting", "utc_week", "utc_first", "event_id").sortWithinPartitions("lasting", "utc_week", "utc_first").write.partitionBy("lasting", "utc_week").parquet(path)
+
+
+def in_clustered_range(start: Column, end: Column) -> Column:
+    """A condition on columns of `write_occurrences` that every occurrence passes whose local dates meet the range: local
+    and UTC dates are a day apart at most. It reaches the scan."""
+    c = F.col
+    week = lambda day: F.floor(F.unix_date(day) / 7)
+    near = (c("utc_first") <= F.date_add(end, 1)) & (c("utc_last") >= F.date_add(start, -1))
+    return near & (c("utc_week") <= week(F.date_add(end, 1))) & (c("lasting") | (c("utc_week") >= week(F.date_add(start, -1 - SHORT_DAYS))))
+
+
 def nested_children(rows: DataFrame, name: str, order: list[str], parent: str = "event_id") -> DataFrame:
     """(parent, array of structs in order)."""
     others = [c for c in rows.columns if c not in (parent, *order)]

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from listwright.operators import buckets
 from listwright.operators import normalize as N
 from listwright.operators import spec as Q
 from listwright.operators import store as S
@@ -123,6 +127,24 @@ def raw_upsert_latest(spark, sf_dir):
     return S.upsert_raw(old, new).select("source_id", "external_id", "version", F.md5("payload").alias("payload_md5"), "processing_status")
 
 
+LATEST = """WITH r AS (SELECT *, row_number() OVER (PARTITION BY source_id, external_id ORDER BY version DESC) AS k FROM v_raw WHERE external_id IS NOT NULL)
+  SELECT source_id, external_id, CAST(version AS BIGINT) AS version, md5(payload) AS payload_md5 FROM r WHERE k = 1"""
+
+
+@query(LATEST)
+def bucketed_upsert(spark, sf_dir):
+    """Two upserts of a stored table in 16 buckets: first the early versions of all payloads, then the later ones."""
+    raw = view(spark, sf_dir, "v_raw").where("external_id is not null").withColumn("version", F.col("version").cast("long"))
+    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
+    path = f"{folder.rstrip('/')}/raw-{uuid.uuid4().hex}"
+    keys = ["source_id", "external_id"]
+    buckets.create(spark, path, "source_id string, external_id string, version bigint, role string, payload string", keys, 16)
+    for part in ("version < 2", "version >= 2"):
+        batch = S.latest(raw.where(part), keys, F.desc("version"))
+        buckets.upsert(spark, path, batch, lambda old, new: S.upsert(old, new, keys))
+    return buckets.read(spark, path).select("source_id", "external_id", "version", F.md5("payload").alias("payload_md5"))
+
+
 def raw_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = view(spark, sf_dir, "v_raw")
     return r.select("source_id", "external_id", "version", "role", "payload", F.lit("pending").alias("processing_status"), F.lit(None).cast("string").alias("processing_error"))
