@@ -15,9 +15,9 @@ STOPWORDS = ["a", "as", "o", "os", "de", "da", "do", "das", "dos", "e", "em", "n
 
 
 def _accents() -> tuple[str, str]:
-    """Latin letters with marks and their plain letters, by canonical decomposition."""
+    """Letters of all scripts whose canonical decomposition is one other letter and marks, and that letter."""
     plain = {}
-    for code in (*range(0x00C0, 0x0250), *range(0x1E00, 0x1F00)):
+    for code in range(0x00C0, 0x10000):
         base = "".join(c for c in unicodedata.normalize("NFD", chr(code)) if not unicodedata.category(c).startswith("M"))
         if len(base) == 1 and base != chr(code):
             plain[chr(code)] = base
@@ -28,13 +28,13 @@ ACCENTED, PLAIN = _accents()
 
 
 def strip_accents(c: Column) -> Column:
-    """Without combining marks: Latin letters by a table, loose marks by their class. JVM only."""
+    """Without combining marks: letters by a table, loose marks by their class. JVM only; syllables of Hangul stay whole."""
     return F.regexp_replace(F.translate(c, ACCENTED, PLAIN), r"\p{M}+", "")
 
 
 @F.pandas_udf(T.StringType())
 def strip_accents_unicode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """The same for every script, by full decomposition in Arrow batches."""
+    """The same with Hangul in its parts, by full decomposition in Arrow batches."""
     for own in batches:
         yield own.map(lambda x: None if x is None else "".join(c for c in unicodedata.normalize("NFD", x) if not unicodedata.category(c).startswith("M")))
 

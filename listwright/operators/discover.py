@@ -231,6 +231,51 @@ def by_lists(asked: DataFrame, events: DataFrame) -> DataFrame:
     return out
 
 
+# nearest first
+
+
+#: Metres of the first ring, and how much wider each next one is. Half of the longest meridian is as far as it gets.
+FIRST_RING, WIDER, FURTHEST = 1_000.0, 8.0, 20_040_000.0
+
+
+def place_cell(lat: Column, lng: Column) -> Column:
+    """A number of a Z-shaped curve over the globe, 16 bits for either direction: places of near numbers are near."""
+    bits = F.lit(0).cast("long")
+    y, x = (F.least(F.floor((c + half) / (2 * half) * 65536), F.lit(65535)).cast("long") for c, half in ((lat, 90), (lng, 180)))
+    for i in range(16):
+        for c, at in ((x, 2 * i), (y, 2 * i + 1)):
+            bits = bits.bitwiseOR(F.shiftleft(F.shiftright(c, i).bitwiseAND(F.lit(1)), at))
+    return bits
+
+
+def write_places(places: DataFrame, path: str, files: int = 64) -> None:
+    """Places along the curve, a stretch of it in each file: the least and greatest latitude and longitude that a file
+    holds are close, so a box opens few of them. Places without coordinates are among them, at the curve's beginning."""
+    cell = F.coalesce(place_cell(F.col("latitude"), F.col("longitude")), F.lit(-1).cast("long"))
+    places.withColumn("cell", cell).repartitionByRange(files, "cell", "id").sortWithinPartitions("cell").write.parquet(path)
+
+
+def nearest(places: DataFrame, lat: float, lng: float, k: int) -> DataFrame:
+    """The k nearest places (id, latitude, longitude, ...), with distance_meters; nearest first, then by id.
+
+    A ring is a box around the point, which reaches the scan, and the distance behind it. The ring that holds k places
+    holds the k nearest; if it has fewer, the next is WIDER times as wide, up to the whole globe. The driver gets one
+    count a ring.
+    """
+    radius = FIRST_RING
+    while True:
+        everywhere = radius >= FURTHEST
+        own = places.where("latitude is not null and longitude is not null")
+        if not everywhere:
+            own = own.where(within_box(F.col("latitude"), F.col("longitude"), F.lit(lat), F.lit(lng), F.lit(radius)))
+        rows = own.withColumn("distance_meters", ellipsoidal(F.col("latitude"), F.col("longitude"), F.lit(lat), F.lit(lng)))
+        if not everywhere:
+            rows = rows.where(F.col("distance_meters") <= radius)
+        if everywhere or rows.limit(k).count() == k:
+            return rows.orderBy("distance_meters", "id").limit(k)
+        radius *= WIDER
+
+
 # text requests
 
 

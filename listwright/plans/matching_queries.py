@@ -149,7 +149,20 @@ def route_counts(spark, sf_dir):
     return assessed(spark, sf_dir).groupBy("routing").agg(F.count("*").alias("n"))
 
 
-@query()
+def sql_two(c: str) -> str:
+    """Two decimals of the number as it is written, half away from zero."""
+    return f"CAST(CAST(round(CAST(CAST({c} AS VARCHAR) AS DECIMAL(30, 20)), 2) AS DECIMAL(10, 2)) AS VARCHAR)"
+
+
+REASONS_SQL = f"""array_to_string(list_filter(['title similarity: ' || {sql_two('title_sim')},
+    CASE WHEN vsim IS NULL THEN 'venue: unknown (missing on one or both sides)' ELSE 'venue similarity: ' || {sql_two('vsim')} END, 'temporal similarity: ' || {sql_two('tsim')},
+    CASE WHEN metres IS NOT NULL THEN 'geo similarity: ' || {sql_two('greatest(0e0, 1 - metres / 1000)')} END, 'performer overlap: ' || {sql_two('psim')},
+    CASE WHEN url_sim = 1 THEN 'ticket/canonical URL matches exactly' ELSE 'URLs present but do not match' END,
+    CASE WHEN len(s.conflicts) > 0 THEN 'critical conflicts detected: ' || array_to_string(s.conflicts, ', ') ELSE 'no critical conflicts detected' END,
+    CASE WHEN evidence = 'mixed_precision' THEN 'auto-merge blocked: {M.MIXED_BLOCKER}' END, 'routing: ' || routing], lambda x: x IS NOT NULL), '; ')"""
+
+
+@query(f"WITH {BOTH}, {ASSESS_SQL} SELECT s.doc_id, {REASONS_SQL} AS reasons FROM sc s JOIN done d ON d.doc_id = s.doc_id")
 def assess_reasons(spark, sf_dir):
     return M.assess(sided(spark, sf_dir)).select("doc_id", F.array_join("reasons", "; ").alias("reasons"))
 

@@ -15,7 +15,7 @@ def lit(x):
 
 
 @pytest.mark.parametrize(
-    ("given", "expected"), [("Auditório  Araújo—Vianna!", "auditorio araujo vianna"), ("", ""), ("  ", ""), ("São João 2026", "sao joao 2026")]
+    ("given", "expected"), [("Auditório  Araújo—Vianna!", "auditorio araujo vianna"), ("", ""), ("  ", ""), ("São João 2026", "sao joao 2026"), ("й Ά ΐ ё", "и α ι е"), ("Åå \u212b q\u0307", "aa a q")]
 )
 def test_normalize_text(spark, given, expected):
     assert value(spark, text.normalize_text(lit(given))) == expected

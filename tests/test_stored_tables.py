@@ -118,3 +118,39 @@ def test_date_ranges_open_few_files(spark, tmp_path):
     every = [f for f in Path(path).rglob("*.parquet") if "lasting=false" in str(f)]
     weeks = {os.path.dirname(f).rpartition("utc_week=")[2] for f in opened if "lasting=false" in f}
     assert len(weeks) <= 3 < len({f.parent for f in every}) // 10
+
+
+def test_nearest_places(spark, tmp_path):
+    """As a sort of all distances, also at the date line and the poles; the box reaches the scan and few files have it."""
+    import numpy as np
+
+    draw = np.random.default_rng(2)
+    rows = [(i, float(np.degrees(np.arcsin(draw.uniform(-1, 1)))), float(draw.uniform(-180, 180))) for i in range(3000)]
+    rows += [(3000 + i, float(draw.normal(-30, 0.01)), float(draw.normal(-51.2, 0.01))) for i in range(300)]
+    rows += [(3300 + i, float(draw.normal(0, 0.5)), float((180 + draw.normal(0, 0.5) + 180) % 360 - 180)) for i in range(300)]
+    rows += [(3600 + i, 90.0 - abs(float(draw.normal(0, 0.3))), float(draw.uniform(-180, 180))) for i in range(200)]
+    rows += [(3900, -30.0, -51.2), (3901, -30.0, -51.2), (3902, None, 1.0), (3903, 1.0, None), (3904, 90.0, 0.0), (3905, -90.0, 180.0), (3906, 0.0, 180.0), (3907, 0.0, -180.0)]
+    plain = spark.createDataFrame(rows, "id long, latitude double, longitude double")
+    path = str(tmp_path / "places")
+    discover.write_places(plain, path)
+    places = spark.read.parquet(path)
+    c = F.col
+    for lat, lng, k in ((-30.0, -51.2, 5), (-30.0, -51.2, 250), (0.0, 179.99, 40), (0.1, -179.999, 40), (89.99, 10.0, 60), (-89.9, 0.0, 7), (10.0, 10.0, 1), (45.0, 45.0, 2000)):
+        distance = discover.ellipsoidal(c("latitude"), c("longitude"), F.lit(lat), F.lit(lng))
+        want = plain.withColumn("d", distance).where("d is not null").orderBy("d", "id").limit(k).collect()
+        assert [r["id"] for r in discover.nearest(places, lat, lng, k).collect()] == [r["id"] for r in want], (lat, lng, k)
+    assert discover.nearest(places, 0.0, 0.0, 10_000).count() == len(rows) - 2
+    assert discover.nearest(places.limit(0), 0.0, 0.0, 3).count() == 0
+    near = discover.nearest(places, -30.0, -51.2, 5)
+    plan = near._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert "GreaterThanOrEqual(latitude," in plan and "LessThanOrEqual(longitude," in plan
+    import pyarrow.parquet as pq
+
+    def meets(f):
+        g = pq.ParquetFile(f).metadata
+        at = {g.row_group(0).column(i).path_in_schema: g.row_group(0).column(i).statistics for i in range(g.num_columns)}
+        lat, lng = at["latitude"], at["longitude"]
+        return lat.has_min_max and lng.has_min_max and lat.min <= -29.99 and lat.max >= -30.01 and lng.min <= -51.19 and lng.max >= -51.21
+
+    files = [f for f in Path(path).rglob("*.parquet")]
+    assert sum(map(meets, files)) <= len(files) // 3
