@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import KEPT, forget_others
+
 #: Words that one query takes, rounds that it goes, documents decoded at once, and words and parts of texts kept in a
 #: Python worker (some 150 bytes each); when full, the cache starts anew.
 WORDS_AT_ONCE, ROUNDS, DOCUMENTS, CACHED_WORDS = 40_000, 64, 500, 800_000
@@ -214,6 +216,8 @@ def encoded(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = Fal
 
     def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = words_of(ranks_path, pattern, space_led, unlike)
+        KEPT["bpe"] = words.known
+        forget_others("bpe")
         for batch in batches:
             for low in range(0, batch.num_rows, DOCUMENTS):
                 ids = batch.column(0).slice(low, DOCUMENTS)

@@ -25,5 +25,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+#: What operators keep between tasks in a Python worker, which may serve one operator after another.
+KEPT: dict[str, dict] = {}
+
+
+def forget_others(name: str = "") -> None:
+    """Empties what other operators than `name` keep in this process: an operator's tasks begin with it."""
+    for other, kept in KEPT.items():
+        if other != name:
+            kept.clear()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

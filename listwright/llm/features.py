@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import forget_others
+
 #: Hashed dimensions, and words kept with their terms in a task; when full, the cache starts anew.
 DIMENSIONS, CACHED_WORDS = 1 << 18, 300_000
 #: Runs of letters and digits; longer ones (scripts without blanks, glued words) are known by all their runs of PART characters.
@@ -79,6 +81,7 @@ def sparse_rows(sample: DataFrame, terms: Callable[[], Callable[[str], tuple[np.
     """(indices, values, labels) of a bounded sample; the terms are made in tasks."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others()
         make = terms()
         for batch in batches:
             found = [make(x) for x in batch.column(1).to_pylist()]

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import forget_others, written
 from .features import fresh
 
 WORDS, SIMILARITY = 5, (75, 100)
@@ -121,6 +121,7 @@ def sketched(docs: DataFrame, width: int = WORDS) -> DataFrame:
     """(doc_id, text_key, n_shingles, digest, minhashes) of every document; the last two are null for an empty set."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others()
         make = Shingler(width)
         for batch in batches:
             n, digest, minhashes = [], [], []

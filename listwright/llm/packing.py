@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import KEPT, forget_others, written
 
 CAPACITY = 4096
 END_ID = 1
@@ -139,6 +139,8 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY)
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = words_of(tokenizer)
+        KEPT["packing"] = words.known
+        forget_others("packing")
         ranks: Counter[int] = Counter()
         part, end = TaskContext.get().partitionId(), np.array([END_ID], "<u4").tobytes()
         for batch in batches:

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from .common import forget_others
 from .features import DIMENSIONS, PIECE, Cached, frequent, fresh, hashed, held_out, labelled_sample, parts_of, sparse_rows
 
 #: Documents of each grade that the fit takes; rows a term needs among them; passes; pull towards zero.
@@ -138,6 +139,7 @@ def scored(docs: DataFrame, model: Model, cut: int | None = None) -> DataFrame:
     place = docs.columns.index("text")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others()
         own = sent.value
         weights = np.zeros(DIMENSIONS)
         weights[own.terms] = own.weights

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import written
+from .common import forget_others, written
 from .features import fresh
 
 #: Bytes on both sides of a cut with a greater hash; longest chunk; shortest removed run; bytes compared around a run.
@@ -96,6 +96,7 @@ def chunks(docs: DataFrame) -> DataFrame:
     """(row, doc_id, at, size, digest) of every chunk; docs has row, doc_id and text."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others()
         for batch in batches:
             rows, ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for low in range(0, batch.num_rows, 200):

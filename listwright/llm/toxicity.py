@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from .common import forget_others
 from .features import DIMENSIONS, PIECE, WHOLE, Cached, frequent, fresh, hashed, held_out, labelled_sample, parts_of, sparse_rows
 from .quality import sigmoid
 
@@ -238,6 +239,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     new = fresh(docs.columns, "score")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others()
         own = sent.value
         at = np.full(DIMENSIONS, -1)
         at[own.terms] = np.arange(len(own.terms))
