@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 # Closed vocabularies and the least number of cases.
 TRUTHS, ROUTINGS, LEVELS = ["same", "different", "uncertain"], ["auto_merge", "review", "separate"], ["easy", "medium", "hard"]
 CONFLICTS = ["venue_conflict", "date_conflict", "time_conflict", "performer_conflict", "city_conflict", "event_scope_conflict", "edition_conflict"]
+KINDS = ["timed", "date", "date-range"]
 LEAST_CASES = 40
 # The ten cases held out.
 HOLDOUT = ["GD-P02", "GD-P08", "GD-P13", "GD-N04", "GD-N07", "GD-N09", "GD-N10", "GD-A03", "GD-A06", "GD-A09"]
@@ -37,12 +38,12 @@ def dataset_errors(cases: DataFrame, conflicts: list[str] | None = None) -> Data
     events = sides.groupBy("key").count().where("count > 1").select(F.lit("repeated_event").alias("code"), "key")
     few = cases.agg(F.count("*").alias("n")).where(c("n") < LEAST_CASES).select(F.lit("too_few_cases").alias("code"), c("n").cast("string").alias("key"))
 
-    def missing(code: str, expected: list[str], column: Column) -> DataFrame:
-        there = cases.agg(F.coalesce(F.collect_set(column), F.array().cast("array<string>")).alias("s"))
+    def missing(code: str, expected: list[str], values: Column) -> DataFrame:
+        there = cases.select(F.explode(values).alias("v")).agg(F.coalesce(F.collect_set(F.when(F.col("v").isin(expected), F.col("v"))), F.array().cast("array<string>")).alias("s"))
         return there.select(F.explode(F.array_except(F.array(*map(F.lit, expected)), "s")).alias("key")).select(F.lit(code).alias("code"), "key")
 
     out = by_case
-    for part in (again, events, few, missing("truth_not_covered", TRUTHS, c("identityTruth")), missing("routing_not_covered", ROUTINGS, c("expectedRouting")), missing("kind_not_covered", ["timed", "date"], c("left.occurrence.kind"))):
+    for part in (again, events, few, missing("truth_not_covered", TRUTHS, F.array("identityTruth")), missing("routing_not_covered", ROUTINGS, F.array("expectedRouting")), missing("kind_not_covered", KINDS, F.array(side_kind(c("left.occurrence")), side_kind(c("right.occurrence"))))):
         out = out.unionByName(part)
     return out
 
@@ -51,7 +52,12 @@ def dataset_summary(cases: DataFrame) -> DataFrame:
     """(dimension, value, n) over scalar and array columns of the cases that there are."""
     scalars = [c for c in ("truth", "expected_routing", "difficulty", "pairing", "identityTruth", "expectedRouting") if c in cases.columns]
     arrays = [c for c in ("criticalConflicts", "tags") if c in cases.columns]
-    cells = F.flatten(F.array(F.array(*(F.struct(F.lit(c).alias("dimension"), F.col(c).alias("value")) for c in scalars)), *(F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda v, c=c: F.struct(F.lit(c).alias("dimension"), v.alias("value"))) for c in arrays)))
+
+    def cells_of(name: str) -> Column:
+        return F.transform(F.coalesce(name, F.array().cast("array<string>")), lambda v: F.struct(F.lit(name).alias("dimension"), v.alias("value")))
+
+    one = F.array(*(F.struct(F.lit(c).alias("dimension"), F.col(c).alias("value")) for c in scalars))
+    cells = F.flatten(F.array(one, *map(cells_of, arrays)))
     return cases.select(F.explode(cells).alias("x")).groupBy("x.dimension", "x.value").agg(F.count("*").alias("n"))
 
 

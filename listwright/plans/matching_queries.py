@@ -298,13 +298,13 @@ def temporal_pairing(spark, sf_dir):
 
 @query("""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 50 = 0 THEN 'maybe' ELSE 'same' END AS truth, doc_id % 40 = 0 AS no_tags FROM documents)
   SELECT 'unknown_truth' AS code, CAST(doc_id AS VARCHAR) AS key FROM d WHERE truth = 'maybe' UNION ALL SELECT 'empty_tags', CAST(doc_id AS VARCHAR) FROM d WHERE no_tags
-  UNION ALL SELECT 'truth_not_covered', unnest(['different', 'uncertain']) UNION ALL SELECT 'routing_not_covered', unnest(['review', 'separate']) UNION ALL SELECT 'kind_not_covered', 'date'""")
+  UNION ALL SELECT 'truth_not_covered', unnest(['different', 'uncertain']) UNION ALL SELECT 'routing_not_covered', unnest(['review', 'separate']) UNION ALL SELECT 'kind_not_covered', 'date-range'""")
 def dataset_validation(spark, sf_dir):
     d = F.col("doc_id")
-    side = lambda p: F.struct(F.concat(F.lit(p), d.cast("string")).alias("id"), F.struct(F.lit("timed").alias("kind")).alias("occurrence"))
+    side = lambda p, kind: F.struct(F.concat(F.lit(p), d.cast("string")).alias("id"), F.struct(F.lit(kind).alias("kind"), F.lit(None).cast("date").alias("endDate")).alias("occurrence"))
     tags = F.when(d % 40 != 0, F.array(F.lit("x"))).otherwise(F.array().cast("array<string>"))
     cases = view(spark, sf_dir, "documents").select(
-        d.cast("string").alias("id"), side("l").alias("left"), side("r").alias("right"), F.when(d % 50 == 0, "maybe").otherwise("same").alias("identityTruth"), F.lit("auto_merge").alias("expectedRouting"), F.lit("easy").alias("difficulty"),
+        d.cast("string").alias("id"), side("l", "timed").alias("left"), side("r", "date").alias("right"), F.when(d % 50 == 0, "maybe").otherwise("same").alias("identityTruth"), F.lit("auto_merge").alias("expectedRouting"), F.lit("easy").alias("difficulty"),
         F.array(F.lit("date_conflict")).alias("criticalConflicts"), F.lit("why").alias("rationale"), tags.alias("tags"),
     )
     return E.dataset_errors(cases)
