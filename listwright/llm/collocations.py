@@ -35,6 +35,8 @@ from .common import written
 
 #: Occurrences a candidate needs, rows of each lang, percent of a candidate that one longer phrase may hold.
 LEAST, MOST, HELD = 10, 2000, 50
+#: Parts of a lang that are ranked by themselves first.
+RANKED = 8
 #: Bits that mark frequent pairs, parts of a word's extensions, bytes of text counted at a time, rows of a sent batch.
 FILTER, PARTS, SLICE, SENT = 1 << 27, 16, 1 << 21, 50_000
 #: Bytes to bytes: A-Z to a-z, tabs to blanks, separators to one byte that no UTF-8 text has.
@@ -271,7 +273,10 @@ def collocations(docs: DataFrame, least: int = LEAST, most: int = MOST, held: in
     second = F.coalesce(F.col("s2") < F.col("s1"), F.lit(False))
     pick = lambda x: F.when(second, F.col(f"{x}2")).otherwise(F.col(f"{x}1"))
     rows = scored.select("lang", "phrase", "a", pick("l").alias("l"), pick("r").alias("r"), pick("s").alias("score"))
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    best = rows.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= most)
+    # the first of each of RANKED parts of a lang, then the first of these: however many tasks there are, one gets RANKED * most rows
+    order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(RANKED)))
+    some = dealt.withColumn("_n", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).where(F.col("_n") <= most).drop("_n", "part")
+    best = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= most)
     words = counts.where("size = 0").select("lang", F.col("f").alias("n"))
     return best.join(words, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
