@@ -72,11 +72,11 @@ def discover_exclude(spark, sf_dir):
     return rows.select("id", stamp("sort_instant").alias("sort_instant"))
 
 
-@query(f"""WITH {ALL}, g AS (SELECT *, {sql_trigrams("'br 15'")} AS q, {sql_trigrams('title')} AS t, {sql_trigrams("coalesce(venue_name, '')")} AS v FROM ev WHERE status = 'scheduled')
-  SELECT id FROM g WHERE contains(lower(title), 'br 15') OR contains(lower(description), 'br 15') OR contains(lower(coalesce(venue_name, '')), 'br 15')
+@query(f"""WITH {ALL}, g AS (SELECT *, {sql_trigrams("'small rings'")} AS q, {sql_trigrams('title')} AS t, {sql_trigrams("coalesce(venue_name, '')")} AS v FROM ev WHERE status = 'scheduled')
+  SELECT id FROM g WHERE contains(lower(title), 'small rings') OR contains(lower(description), 'small rings') OR contains(lower(coalesce(venue_name, '')), 'small rings')
     OR {sql_word_similarity('q', 't')} > 0.3 OR {sql_word_similarity('q', 'v')} > 0.3""")
 def discover_text_search(spark, sf_dir):
-    return D.found(*tables(spark, sf_dir), D.Request(q="br 15")).select("id")
+    return D.found(*tables(spark, sf_dir), D.Request(q="small rings")).select("id")
 
 
 LAMBERT = """round(CASE WHEN angle = 0 THEN 0e0 ELSE 6378137e0 * (angle - (1 / 298.257223563e0) / 2 * (
@@ -108,12 +108,17 @@ def category_ids(spark, sf_dir):
     return categories(view(spark, sf_dir, "v_events"))
 
 
-TEXT = f"""(contains(lower(e.title), r.q) OR contains(lower(e.description), r.q) OR coalesce(contains(lower(v.name), r.q), false)
-      OR {sql_word_similarity(sql_trigrams('r.q'), sql_trigrams('e.title'))} > 0.3 OR {sql_word_similarity(sql_trigrams('r.q'), sql_trigrams("coalesce(v.name, '')"))} > 0.3)"""
+def sql_resembles(a: str, b: str) -> str:
+    """Run similarity above 0.3, which needs more than that share of the first list's trigrams."""
+    return f"CASE WHEN len(list_intersect({a}, {b})) <= 0.3 * len(list_distinct({a})) THEN false ELSE {sql_word_similarity(a, b)} > 0.3 END"
+
+
+TEXT = f"""CASE WHEN contains(lower(e.title), r.q) OR contains(lower(e.description), r.q) OR coalesce(contains(lower(v.name), r.q), false) THEN true
+      ELSE {sql_resembles(sql_trigrams('r.q'), sql_trigrams('e.title'))} OR {sql_resembles(sql_trigrams('r.q'), sql_trigrams("coalesce(v.name, '')"))} END"""
 REQUESTS = """SELECT s_suppkey AS request_id, CAST(1 + s_suppkey % 9 AS INT) AS "limit", CASE WHEN s_suppkey % 3 <> 0 THEN make_date(2024, 1, CAST(1 + s_suppkey % 9 AS INT)) END AS "start",
   CASE WHEN s_suppkey % 3 <> 0 THEN make_date(2024, 1, CAST(1 + s_suppkey % 9 + s_suppkey % 4 AS INT)) END AS "end", CASE WHEN s_suppkey % 5 = 0 THEN 'postponed' ELSE 'scheduled' END AS status,
   CASE WHEN s_suppkey % 4 = 0 THEN 'de' END AS category, CASE WHEN s_suppkey % 7 = 0 THEN true END AS free, CASE WHEN s_suppkey % 2 = 0 THEN -30.0e0 - s_suppkey / 10000e0 END AS lat,
-  CASE WHEN s_suppkey % 2 = 0 THEN -51.2e0 END AS lng, CASE WHEN s_suppkey % 2 = 0 THEN 1000 + s_suppkey END AS radius, CASE WHEN s_suppkey % 20 = 3 THEN 'br ' || CAST(10 + s_suppkey % 7 AS STRING) WHEN s_suppkey % 40 = 4 THEN 'brazil' END AS q FROM supplier"""
+  CASE WHEN s_suppkey % 2 = 0 THEN -51.2e0 END AS lng, CASE WHEN s_suppkey % 2 = 0 THEN 1000 + s_suppkey END AS radius, CASE WHEN s_suppkey % 20 = 3 THEN 'ring de src' || CAST(s_suppkey % 7 AS STRING) WHEN s_suppkey % 40 = 4 THEN 'brazil' END AS q FROM supplier"""
 
 
 @query(

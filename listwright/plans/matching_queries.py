@@ -9,7 +9,7 @@ from listwright.operators import dedup as M
 from listwright.operators import evaluate as E
 
 from .catalog import OCC, query, sql_haversine, sql_local_date, sql_normal, sql_similarity, sql_token_similarity, sql_tokens, sql_trigrams, sql_word_similarity
-from .views import view
+from .views import TITLE, view
 
 OVERLAP = f"""{OCC}, o AS (SELECT occ.*, e.title FROM occ JOIN v_events e ON e.id = occ.event_id WHERE e.status = 'scheduled'),
   src AS (SELECT event_id, list(source_id) AS s FROM v_refs GROUP BY event_id),
@@ -35,7 +35,7 @@ def block_overlap(spark, sf_dir):
     return rows.where(~F.arrays_overlap("a", "b")).select("left_id", "right_id")
 
 
-@query(f"WITH {BLOCK.replace(sql_trigrams(SHORT), sql_trigrams('title'))} SELECT left_id, right_id FROM sim WHERE CASE WHEN s > 0.15 THEN true ELSE {sql_word_similarity('lt', 'rt')} > 0.15 END")
+@query(f"WITH {BLOCK.replace(sql_trigrams(SHORT), sql_trigrams('title'))} SELECT left_id, right_id FROM sim WHERE CASE WHEN s > 0.15 THEN true WHEN len(list_intersect(lt, rt)) <= 0.15 * len(list_distinct(lt)) THEN false ELSE {sql_word_similarity('lt', 'rt')} > 0.15 END")
 def block_pairs(spark, sf_dir):
     events, occurrences, _, refs = store(spark, sf_dir)
     return M.candidate_pairs(events, occurrences, refs)
@@ -48,23 +48,23 @@ def block_pairs_short_titles(spark, sf_dir):
     return M.candidate_pairs(events.withColumn("title", F.concat_ws(" ", "category_id", "source_id")), occurrences, refs)
 
 
-# titles, venues and performers are short whole fields of documents
 # signals: an event beside the next one of its language, with the venues, dates, names and links that documents give
 
-SIDES = """SELECT doc_id, CAST(doc_id AS STRING) AS id, lang || ' ' || CAST(n_chars AS STRING) AS title, lang, source, CASE WHEN doc_id % 3 = 0 THEN 'date' ELSE 'timed' END AS kind,
+SIDES = f"""SELECT doc_id, CAST(doc_id AS STRING) AS id, {TITLE} AS title, lang, source,
+  CASE doc_id % 3 WHEN 0 THEN source || ' é ' || lang WHEN 1 THEN upper(lang) ELSE source END AS first_name, CASE doc_id % 2 WHEN 0 THEN lang ELSE source END AS second_name, CASE WHEN doc_id % 3 = 0 THEN 'date' ELSE 'timed' END AS kind,
   CASE WHEN doc_id % 3 <> 0 THEN make_timestamp(2024, 1, CAST(1 + doc_id % 3 AS INT), CAST(doc_id % 24 AS INT), CAST(doc_id % 60 AS INT), 0) END AS starts_at, CASE WHEN doc_id % 3 = 0 THEN make_date(2024, 1, CAST(1 + doc_id % 4 AS INT)) END AS start_date,
-  CASE WHEN doc_id % 6 = 0 THEN make_date(2024, 1, CAST(1 + doc_id % 4 + doc_id % 5 AS INT)) END AS end_date, CASE WHEN doc_id % 10 <> 0 THEN source || ' ' || lang END AS venue, CASE WHEN doc_id % 2 = 0 THEN source END AS address,
+  CASE WHEN doc_id % 6 = 0 THEN make_date(2024, 1, CAST(1 + doc_id % 4 + doc_id % 5 AS INT)) END AS end_date, CASE WHEN doc_id % 10 <> 0 THEN coalesce(p_name, lang) || ' da ' || source END AS venue, CASE WHEN doc_id % 2 = 0 THEN source END AS address,
   CASE WHEN doc_id % 5 <> 0 THEN lang END AS neighborhood, CASE WHEN doc_id % 50 = 7 THEN 'other' ELSE 'poa' END AS city, CASE WHEN doc_id % 4 <> 0 THEN -30e0 - (doc_id % 40) / 1000e0 END AS lat, CASE WHEN doc_id % 4 <> 0 THEN -51e0 - (doc_id % 9) / 1000e0 END AS lng,
-  CASE WHEN doc_id % 3 = 1 THEN 'https://T.example/' || source || '/' ELSE 'https://t.example/' || source END AS ticket, CASE WHEN doc_id % 4 = 1 THEN 'u' || lang END AS page FROM documents"""
+  CASE WHEN doc_id % 3 = 1 THEN 'https://T.example/' || source || '/' ELSE 'https://t.example/' || source END AS ticket, CASE WHEN doc_id % 4 = 1 THEN 'u' || lang END AS page FROM documents LEFT JOIN part ON p_partkey = doc_id % 200"""
 BOTH = f"s AS ({SIDES}), p AS (SELECT a.doc_id, a AS l, b AS r FROM s a JOIN s b ON b.doc_id = a.doc_id + 20)"
 LOCAL_L, LOCAL_R = sql_local_date("l.starts_at"), sql_local_date("r.starts_at")
 
 
 def sided(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = spark.sql(SIDES.replace("FROM documents", "FROM {d}"), d=view(spark, sf_dir, "documents"))
+    s = spark.sql(SIDES.replace("FROM documents", "FROM {d}").replace("JOIN part", "JOIN {p}"), d=view(spark, sf_dir, "documents"), p=view(spark, sf_dir, "part"))
     c = F.col
     venue = F.when(c("venue").isNotNull(), F.struct(c("venue").alias("name"), c("address"), c("neighborhood"), c("city"), c("lat").alias("latitude"), c("lng").alias("longitude")))
-    people = F.transform(F.array("lang", "source"), lambda w: F.struct(w.alias("name")))
+    people = F.transform(F.array("first_name", "second_name"), lambda w: F.struct(w.alias("name")))
     side = F.struct(c("title"), F.struct(c("kind").alias("temporal_kind"), "starts_at", "start_date", "end_date").alias("occurrence"), venue.alias("venue"), people.alias("performers"), c("ticket").alias("ticket_url"), c("page").alias("canonical_url"))
     left = s.select("doc_id", side.alias("left"))
     return left.join(s.select((c("doc_id") - 20).alias("doc_id"), side.alias("right")), "doc_id")
@@ -107,9 +107,15 @@ def signal_venue(spark, sf_dir):
     return sided(spark, sf_dir).select("doc_id", F.round(M.venue_signal(F.col("left.venue"), F.col("right.venue")), 9).alias("similarity"))
 
 
-# both sides name their language and their source; no language's name is in a source's, so the greedy match is by place
-FITS = " + ".join(f"CASE WHEN contains({a}, {b}) OR contains({b}, {a}) THEN 1 ELSE 0 END" for a, b in ((sql_normal(f"l.{k}"), sql_normal(f"r.{k}")) for k in ("lang", "source")))
-PEOPLE_SQL = f"2e0 * ({FITS}) / 4"
+# each side names two performers, in any order, some of them in others' names: the first takes the first that fits, the
+# second the first that is left
+def sql_fits(a: str, b: str) -> str:
+    x, y = sql_normal(f"l.{a}_name"), sql_normal(f"r.{b}_name")
+    return f"(contains({x}, {y}) OR contains({y}, {x}))"
+
+
+TAKEN = f"CASE WHEN {sql_fits('first', 'first')} THEN 1 WHEN {sql_fits('first', 'second')} THEN 2 ELSE 0 END"
+PEOPLE_SQL = f"""2e0 * (CASE WHEN {TAKEN} > 0 THEN 1 ELSE 0 END + CASE WHEN {TAKEN} <> 1 AND {sql_fits('second', 'first')} THEN 1 WHEN {TAKEN} <> 2 AND {sql_fits('second', 'second')} THEN 1 ELSE 0 END) / 4"""
 
 
 @query(f"WITH {BOTH} SELECT doc_id, round({PEOPLE_SQL}, 9) AS similarity FROM p")

@@ -6,12 +6,15 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: A title of six words or so of whole fields, with accents, punctuation and a word that carries no meaning.
+TITLE = """CASE lang WHEN 'fr' THEN 'Fête' WHEN 'de' THEN 'Führung' WHEN 'es' THEN 'Canción' ELSE 'Show' END || ' ' || coalesce(p_name, source) || ' de ' || source || ': ' || CAST(n_chars AS STRING)"""
+
 VIEWS = {
-    "v_events": """SELECT CAST(doc_id AS STRING) AS id, doc_id, lang || ' ' || CAST(n_chars AS STRING) AS title, text AS description, lang AS category_id,
+    "v_events": f"""SELECT CAST(doc_id AS STRING) AS id, doc_id, {TITLE} AS title, text AS description, lang AS category_id,
   CASE WHEN doc_id % 10 = 0 THEN 'cancelled' WHEN doc_id % 10 = 1 THEN 'postponed' ELSE 'scheduled' END AS status,
   CASE WHEN doc_id % 5 = 0 THEN true WHEN doc_id % 5 = 1 THEN NULL ELSE false END AS free,
   CASE WHEN doc_id % 3 <> 0 THEN CAST(doc_id % 30 AS INT) END AS venue_id, source AS source_id
-FROM documents""",
+FROM documents LEFT JOIN part ON p_partkey = doc_id % 200""",
     "v_occurrences": """SELECT CAST(doc_id AS STRING) || '-occ-1' AS id, CAST(doc_id AS STRING) AS event_id,
   CASE WHEN doc_id % 3 = 0 THEN 'date' ELSE 'timed' END AS temporal_kind,
   CASE WHEN doc_id % 3 <> 0 THEN make_timestamp(2024, 1, CAST(1 + ascii(text) % 7 AS INT), CAST(doc_id % 24 AS INT), 0, 0) END AS starts_at,
