@@ -10,7 +10,7 @@ the top for a block of queries at once and merges the shards' answers.
 Defined results. Vectors that are null, empty, zero, or hold null or non-finite components take no part. Vectors of
 different lengths don't meet. A query never meets its own vec_id. Repeated rows of one vec_id count each; as a query a
 repeated vec_id is asked once, with its least vector. Ties go to the smaller vec_id, also among thousands of equal
-vectors. An empty table gives no rows. Scores are Euclidean distances of the original vectors in doubles.
+vectors. An empty table gives no rows. Other columns are ignored. Scores are Euclidean distances of the original vectors in doubles.
 """
 
 from __future__ import annotations

@@ -4,7 +4,8 @@
 each length: at most `capacity` numbers, however many documents there are. `packed` gives each piece a place.
 
 Defined results. A null or empty text is the closing id alone. Rows are packed as they come: repeated rows and null
-doc_ids are documents of their own. An empty table gives no rows. Other columns are ignored.
+doc_ids are documents of their own. An empty table gives no rows. Texts of any length are cut into as many pieces as
+they need. Other columns are ignored.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ document is scored in its task, on its whole text. The driver gets nothing else.
 
 Defined results. A null or empty text has no terms but those of its shape and gets a score as any other. Repeated rows
 each get the same score. Without labels, or with one grade only, every document keeps tail probability 1 and that grade
-(0 without labels). An empty table gives no rows. Null doc_ids are scored, with held_out false.
+(0 without labels). An empty table gives no rows. Null doc_ids are scored, with held_out false. A tail probability of just
+the limit selects. Texts of any length are read whole. Other columns are ignored, or kept by `scored` as they are.
 """
 
 from __future__ import annotations

@@ -9,8 +9,8 @@ cutoff if in some list it lies above the list's share of it, so every list colle
 
 Defined results. Vectors that are null, empty, or hold null or non-finite components take no part. Vectors of
 different lengths don't meet. A query never meets its own vec_id, so repeated rows of one vec_id don't meet each other;
-as candidates of others each of them counts, as a
-query a repeated vec_id is asked once, with its least vector. Ties go to the smaller vec_id. An empty table gives no rows.
+as candidates of others each of them counts, as a query a repeated vec_id is asked once, with its least vector. Ties go
+to the smaller vec_id. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ document is scored in its task, on its whole text. No label of a held-out docume
 
 Defined results. A null or empty text has no terms and gets the bias's score. Repeated rows each get the same score.
 Without labels of both kinds the score is 0, or 1 where all are toxic. An empty table gives no rows. Null doc_ids are
-scored, with held_out false.
+scored, with held_out false. A score of just the threshold is predicted toxic. Texts of any length are read whole. Other
+columns are ignored, or kept by `scored` as they are.
 """
 
 from __future__ import annotations

@@ -7,7 +7,7 @@ every record, checks both digests and parses the rebuilt bytes. `parse_warc` rea
 Defined results. A null html is an empty payload; a null url gives no WARC-Target-URI line; pages with a null page_id
 are archived too and never outrank one with an id. Repeated rows of one page_id: one of them is the response only if
 its page_id is the largest of its payload, and then each of them is one. An empty table gives empty tables. Columns
-beyond page_id, url and html are ignored.
+beyond page_id, url and html are ignored. Payloads of any length are one value each, up to the 2 GB of a column's value.
 """
 
 from __future__ import annotations
@@ -35,8 +35,8 @@ def base32_sha1(payload: Column) -> Column:
 def write_archive(pages: DataFrame, date: str = FIXED_DATE) -> tuple[DataFrame, DataFrame]:
     """(records, payloads), both written to the shared folder.
 
-    Only (page_id, key) is shuffled to choose the response of each payload; a payload is stored by the row that is its
-    response, so its bytes move once. A payload's key that holds many pages is a skewed join that AQE splits: both
+    Only (page_id, key) is shuffled to choose the response of each payload. Payloads go through one exchange by key, of
+    which each keeps one row: rows of a key have the same bytes, so any of them will do. A payload's key that holds many pages is a skewed join that AQE splits: both
     sides are read from tables, so neither is pre-partitioned.
     """
     html = F.coalesce(F.col("html"), F.lit("")).cast("binary")
