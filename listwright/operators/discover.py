@@ -115,14 +115,19 @@ def found(events: DataFrame, occurrences: DataFrame, venues: DataFrame, request:
 
 
 def page(rows: DataFrame, request: Request) -> tuple[DataFrame, DataFrame]:
-    """(the page's rows in order, (has_more, next key) as one row): limit + 1 rows are read, the last only as a sign."""
+    """(the page's rows in order, (has_more, next key) as one row): limit + 1 rows are read, the last only as a sign.
+
+    The request runs once, here: the driver gets those rows, MAX_LIMIT + 1 at most, and both results are made of them.
+    """
     key = order_key(request.lat is not None)
     if request.after:
         rows = rows.where(after_key(key, request.after))
-    top = rows.orderBy(*key).limit(request.limit + 1)
-    numbered = top.withColumn("_n", F.row_number().over(Window.orderBy(*key)))  # limit + 1 rows at most
-    last = numbered.agg((F.count("*") > request.limit).alias("has_more"), F.max_by(F.struct(*key), F.when(F.col("_n") <= request.limit, F.col("_n"))).alias("key"))
-    return numbered.where(F.col("_n") <= request.limit).drop("_n"), last.select("has_more", F.when(F.col("has_more"), F.col("key")).alias("next_key"))
+    spark = rows.sparkSession
+    top = rows.orderBy(*key).limit(request.limit + 1).toArrow()
+    shown = spark.createDataFrame(top.slice(0, request.limit), rows.schema)
+    more = F.lit(top.num_rows > request.limit)
+    last = spark.createDataFrame(top.slice(request.limit - 1, 1), rows.schema).agg(F.first(F.struct(*key)).alias("key"))
+    return shown, last.select(more.alias("has_more"), F.when(more, F.col("key")).alias("next_key"))
 
 
 def discover(events: DataFrame, occurrences: DataFrame, venues: DataFrame, request: Request, suppressed: DataFrame | None = None) -> DataFrame:
@@ -140,9 +145,9 @@ def public_page(events: DataFrame, occurrences: DataFrame, venues: DataFrame, re
 
     events, venues and refs have the columns that `export.public_rows` shows.
     """
-    rows, following = page(found(events, occurrences, venues, request, suppressed), request)
     extra = ["distance_meters"] if request.lat is not None else []
     key = order_key(request.lat is not None)
+    rows, following = page(found(events, occurrences, venues, request, suppressed).select(*key), request)
     ids = rows.select("id", *extra, F.row_number().over(Window.orderBy(*key)).alias("pos"))  # a page's rows
     return public_rows(hydrate(events, occurrences, venues, refs, ids), "pos"), following
 
