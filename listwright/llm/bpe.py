@@ -100,7 +100,7 @@ def unlike_characters() -> tuple[tuple[int, str], ...]:
 class Words:
     """The merge table in DuckDB, with the words met so far. One for each Python worker, which serves many tasks."""
 
-    def __init__(self, ranks_path: str, pattern: str, space_led: bool, unlike: tuple[tuple[int, str], ...]) -> None:
+    def __init__(self, ranks_path: str, pattern: str, space_led: bool, unlike: tuple[tuple[int, str], ...] = ()) -> None:
         import duckdb
         import regex
 
