@@ -200,40 +200,29 @@ def meridian_cell(cell: Column) -> Column:
 
 
 def by_dates(asked: DataFrame, dated: DataFrame) -> DataFrame:
-    """Requests with dates meet occurrences by status and by the weeks of local dates."""
+    """Ranges of dates (from, to, status) meet occurrences by status and by the weeks of local dates; equal ranges once:
+    (from, to, id, sort_instant)."""
     c = F.col
     left = dated.withColumn("bucket", F.explode(F.sequence(week_of(c("first")), week_of(c("last")))))
-    right = asked.where("`from` is not null").select("request_id", "status", "from", "to", F.explode(F.sequence(week_of(c("from")), week_of(c("to")))).alias("bucket"))
+    ranges = asked.where("`from` is not null").select("status", "from", "to").distinct()
+    right = ranges.withColumn("bucket", F.explode(F.sequence(week_of(c("from")), week_of(c("to")))))
     hit = left.join(right, ["bucket", "status"]).where((c("first") <= c("to")) & (c("last") >= c("from")))
-    return hit.groupBy("request_id", "id").agg(F.min("instant").alias("sort_instant"))
+    return hit.groupBy("status", "from", "to", "id").agg(F.min("instant").alias("sort_instant"))
 
 
-def by_cells(asked: DataFrame, events: DataFrame) -> DataFrame:
-    """Requests with a place and no dates meet events by status and grid cell; near the poles by cells of latitude."""
+def by_cells(asked: DataFrame, places: DataFrame) -> DataFrame:
+    """(request_id, place_id, distance_meters) of requests with a place and the places within their radius, which meet by
+    grid cell; near the poles by cells of latitude."""
     c = F.col
     d_lat = c("radius") / 110000.0
     polar = F.abs("lat") + d_lat > 89.0
     d_lng = F.when(polar, 180.0).otherwise(c("radius") / (F.cos(F.radians(F.least(F.abs("lat") + d_lat, F.lit(89.0)))) * 110000.0))
-    near = asked.where("`from` is null and lat is not null").select("request_id", "status", "lng", d_lng.alias("d"), F.explode(F.sequence(cell_of(c("lat") - d_lat), cell_of(c("lat") + d_lat))).alias("row"))
+    near = asked.where("lat is not null").select("request_id", "lat", "lng", "radius", d_lng.alias("d"), F.explode(F.sequence(cell_of(c("lat") - d_lat), cell_of(c("lat") + d_lat))).alias("row"))
     columns = F.array_distinct(F.transform(F.sequence(cell_of(c("lng") - c("d")), cell_of(c("lng") + c("d"))), meridian_cell))
-    near = near.select("request_id", "status", "row", F.explode(columns).alias("column"))
-    placed = events.where("latitude is not null and longitude is not null").select("id", "status", "sort_instant", cell_of(c("latitude")).alias("row"), meridian_cell(cell_of(c("longitude"))).alias("column"))
-    return placed.join(near, ["status", "row", "column"]).select("request_id", "id", "sort_instant")
-
-
-def by_lists(asked: DataFrame, events: DataFrame) -> DataFrame:
-    """Requests without dates, place and text want the first events of their status, category and price: lists of
-    MAX_LIMIT events, which Spark cuts in the tasks before it exchanges them."""
-    c = F.col
-    plain = asked.where("`from` is null and lat is null and q is null")
-    out = None
-    for keys in (["status"], ["status", "category"], ["status", "free"], ["status", "category", "free"]):
-        own = events.withColumnRenamed("category_id", "category").dropna(subset=keys)
-        first = own.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("sort_instant", "id"))).where(c("_n") <= MAX_LIMIT)
-        wants = [c(k).isNotNull() if k in keys else c(k).isNull() for k in ("category", "free")]
-        rows = first.select(*keys, "id", "sort_instant").join(plain.where(wants[0] & wants[1]).select("request_id", *keys), keys).select("request_id", "id", "sort_instant")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    near = near.select("request_id", "lat", "lng", "radius", "row", F.explode(columns).alias("column"))
+    placed = places.where("latitude is not null and longitude is not null").select("place_id", "latitude", "longitude", cell_of(c("latitude")).alias("row"), meridian_cell(cell_of(c("longitude"))).alias("column"))
+    far = placed.join(near, ["row", "column"]).withColumn("distance_meters", ellipsoidal(c("latitude"), c("longitude"), c("lat"), c("lng")))
+    return far.where(c("distance_meters") <= c("radius")).select("request_id", "place_id", "distance_meters")
 
 
 # nearest first
@@ -372,15 +361,32 @@ def by_terms(asked: DataFrame, events: DataFrame, venues: DataFrame) -> DataFram
     return held.unionByName(by_text(asked, text_index(events, venues, ("run", "place")))).distinct()
 
 
+#: What requests are looked up by: those that have these alike share one list of events, or one for each place.
+FILTERS = ["status", "category", "free", "q", "from", "to"]
+
+
+def first_events(rows: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """The first rows of each key by instant and id, as many as its column `most` says, `most` at most. That is a literal,
+    by which Spark cuts lists in the tasks before it exchanges them."""
+    order = Window.partitionBy(*keys).orderBy("sort_instant", "id")
+    return rows.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most).where(F.col("_n") <= F.col("most")).drop("_n")
+
+
 def discover_batch(events: DataFrame, occurrences: DataFrame, venues: DataFrame, requests: DataFrame, suppressed: DataFrame | None = None, index: DataFrame | None = None) -> DataFrame:
     """(request_id, rank, id, sort_instant, distance_meters) of many good requests (request_id, params) in one job.
 
-    Each request meets events by equality on its most selective part: weeks, else grid cells, else short lists, else
-    grams of a text. All its conditions are then checked, and its rows are cut to its limit by a rank within the request.
+    Requests of equal filters (all but place, radius and limit) are one group. A group meets events by equality on its
+    most selective part: weeks, else grams of a text, else its status; equal ranges of dates and equal terms are met once.
+    All its conditions are checked, and its events are cut to the most that a request of it may show: once for the group
+    and, where it has requests with a place, at each place, as events of one place are as far. A request then takes its
+    group's list, or those of the places in its radius, so it isn't multiplied by events.
     index: a stored `text_index` of events and venues; without one its postings are made on the way.
     """
     c = F.col
-    asked = requests.select("request_id", "params.*").withColumnRenamed("start", "from").withColumnRenamed("end", "to")
+    asked = requests.select("request_id", "params.*").withColumnRenamed("start", "from").withColumnRenamed("end", "to").withColumn("q", F.nullif("q", F.lit("")))
+    asked = asked.withColumn("group", F.sha2(F.to_json(F.struct(*FILTERS)), 256))
+    groups = asked.groupBy("group", *FILTERS).agg(F.max("limit").alias("most"), F.max(c("lat").isNotNull()).alias("placed"), F.max(c("lat").isNull()).alias("anywhere"))
+    most = asked.agg(F.max("limit")).first()[0] or 0
     occ = occurrences if "ends_at" in occurrences.columns else occurrences.withColumn("ends_at", F.lit(None).cast("timestamp"))
     occ = occ.select(
         c("event_id").alias("id"), effective_instant(c("temporal_kind"), c("starts_at"), c("start_date")).alias("instant"),
@@ -390,22 +396,29 @@ def discover_batch(events: DataFrame, occurrences: DataFrame, venues: DataFrame,
     if suppressed is not None:
         own = own.join(suppressed.select("id"), "id", "left_anti")
     places = venues.select(c("id").alias("venue_id"), c("name").alias("venue_name"), "latitude", "longitude")
-    placed = own.join(places, "venue_id", "left")
-    timed = placed.join(occ.groupBy("id").agg(F.min("instant").alias("sort_instant")), "id")
-    hits = by_dates(asked, occ.join(own.select("id", "status"), "id")).unionByName(by_cells(asked, timed)).unionByName(by_lists(asked, timed))
-    worded = asked.where("q is not null")
-    texts = by_terms(worded, own, venues) if index is None else by_text(worded, index)
-    # requests of a text and of dates or a place keep what both give
-    held = hits.join(worded.select("request_id", F.lit(True).alias("worded")), "request_id", "left").join(texts.withColumn("held", F.lit(True)), ["request_id", "id"], "left")
-    only = texts.join(asked.where("`from` is null and lat is null").select("request_id", "status"), "request_id")
-    hits = held.where("worded is null or held").select("request_id", "id", "sort_instant").unionByName(timed.select("id", "status", "sort_instant").join(only, ["id", "status"]).select("request_id", "id", "sort_instant"))
-    rows = hits.join(asked.withColumnRenamed("status", "asked_status").withColumnRenamed("free", "asked_free"), "request_id").join(placed, "id")
-    rows = rows.where((c("category").isNull() | (c("category") == c("category_id"))) & (c("asked_free").isNull() | c("free").eqNullSafe(c("asked_free"))))
-    rows = rows.withColumn("distance_meters", F.when(c("lat").isNotNull(), ellipsoidal(c("latitude"), c("longitude"), c("lat"), c("lng"))))
-    rows = rows.where(c("lat").isNull() | (c("distance_meters") <= c("radius")))
-    rows = rows.where(c("q").isNull() | text_match(c("q"), c("title"), c("description"), c("venue_name")))
+    short = own.select("id", c("category_id").alias("own_category"), c("status").alias("own_status"), c("free").alias("own_free"), c("venue_id").alias("place_id"))
+    fits = (c("category").isNull() | (c("category") == c("own_category"))) & (c("free").isNull() | c("own_free").eqNullSafe(c("free")))
+    # equal terms, and the events that they fit
+    terms = groups.where("q is not null").select(c("q").alias("request_id"), "q").distinct()
+    texts = by_terms(terms, own, venues) if index is None else by_text(terms, index)
+    texts = texts.withColumnRenamed("request_id", "q").join(own.join(places, "venue_id", "left"), "id").where(text_match(c("q"), c("title"), c("description"), c("venue_name"))).select("q", "id")
+    # the events of each group: of its dates, or of its text, or of its status
+    dated = by_dates(groups, occ.join(own.select("id", "status"), "id")).join(short.drop("own_status"), "id")
+    by_range = dated.join(groups, ["status", "from", "to"]).where(fits)
+    timed = short.join(occ.groupBy("id").agg(F.min("instant").alias("sort_instant")), "id")
+    undated = groups.where("`from` is null")
+    by_term = timed.join(texts, "id").join(undated.where("q is not null"), "q").where(fits & (c("status") == c("own_status")))
+    # these groups are no more than there are statuses, categories and prices
+    plain = timed.join(F.broadcast(undated.where("q is null")), c("status") == c("own_status")).where(fits)
+    shape = ["group", "q", "id", "sort_instant", "place_id", "most", "placed", "anywhere"]
+    found_in = by_range.where("q is null").select(*shape).unionByName(by_range.where("q is not null").join(texts, ["q", "id"]).select(*shape)).unionByName(by_term.select(*shape)).unionByName(plain.select(*shape))
+    anywhere = first_events(found_in.where("anywhere"), ["group"], most).select("group", "id", "sort_instant")
+    at_place = first_events(found_in.where("placed and place_id is not null"), ["group", "place_id"], most).select("group", "place_id", "id", "sort_instant")
+    free_rows = asked.where("lat is null").join(anywhere, "group").select("request_id", "limit", "id", "sort_instant", F.lit(None).cast("double").alias("distance_meters"))
+    near = by_cells(asked, places.select(c("venue_id").alias("place_id"), "latitude", "longitude"))
+    near_rows = near.join(asked.select("request_id", "group", "limit"), "request_id").join(at_place, ["group", "place_id"]).select("request_id", "limit", "id", "sort_instant", "distance_meters")
     order = Window.partitionBy("request_id").orderBy(F.asc_nulls_first("distance_meters"), "sort_instant", "id")
-    return rows.withColumn("rank", F.row_number().over(order)).where(c("rank") <= c("limit")).select("request_id", "rank", "id", "sort_instant", "distance_meters")
+    return free_rows.unionByName(near_rows).withColumn("rank", F.row_number().over(order)).where(c("rank") <= c("limit")).select("request_id", "rank", "id", "sort_instant", "distance_meters")
 
 
 __all__ = ["PERIODS", "Request", "discover", "discover_batch", "found", "full_scan", "matching", "page", "public_page", "validated"]

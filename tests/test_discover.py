@@ -109,3 +109,24 @@ def test_text_requests_by_stored_index(spark, tmp_path, monkeypatch):
             assert got.get(t, set()) == want[t], t
         assert len(got[None]) == 40
     assert "Python" not in D.discover_batch(events, occ, venues, requests)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_requests_of_equal_filters_share_their_events(spark):
+    """Requests aren't multiplied by events: equal ranges are met once, and each request still gets what it gets alone."""
+    from datetime import date, datetime
+
+    events = spark.createDataFrame([(f"e{i:02}", "show de rock" if i % 3 else "samba", None, "ab"[i % 2], "scheduled", [True, False, None][i % 3], i % 5 if i % 7 else None) for i in range(60)], "id string, title string, description string, category_id string, status string, free boolean, venue_id int")
+    occ = spark.createDataFrame([(f"e{i:02}", "timed", datetime(2026, 5, 1 + (i * 7 + k) % 9, 20), None, None) for i in range(60) for k in range(1 + i % 2)], "event_id string, temporal_kind string, starts_at timestamp, start_date date, end_date date")
+    venues = spark.createDataFrame([(i, f"v{i}", -30 - i / 300 if i else None, -51.2) for i in range(5)], "id int, name string, latitude double, longitude double")
+    asked = [(i, ([2, 9, 40][i % 3], *((date(2026, 5, 2), date(2026, 5, 4)) if i % 4 else (None, None)), "scheduled", "a" if i % 5 == 1 else None, "samba" if i % 6 == 2 else None, True if i % 7 == 3 else None, *((-30.002 - i / 9999, -51.2, 400 + i * 20) if i % 2 else (None, None, None)))) for i in range(40)]
+    shape = "struct<limit: int, start: date, end: date, status: string, category: string, q: string, free: boolean, lat: double, lng: double, radius: long>"
+    requests = spark.createDataFrame(asked, f"request_id int, params {shape}")
+    got = {}
+    for r in D.discover_batch(events, occ, venues, requests).orderBy("request_id", "rank").collect():
+        got.setdefault(r["request_id"], []).append(r["id"])
+    for i, (limit, start, end, status, category, q, free, lat, lng, radius) in asked[:8]:
+        own = D.discover(events, occ, venues, D.Request(start, end, status, category, free, q, lat, lng, radius or 1, limit))
+        assert got.get(i, []) == [r["id"] for r in own.select("id").collect()], i
+    flat = requests.select("request_id", "params.*").withColumnRenamed("start", "from").withColumnRenamed("end", "to")
+    dated = occ.select(F.col("event_id").alias("id"), F.lit("scheduled").alias("status"), F.col("starts_at").alias("instant"), F.to_date("starts_at").alias("first"), F.to_date("starts_at").alias("last"))
+    assert D.by_dates(flat, dated).count() <= 60
