@@ -125,3 +125,11 @@ def test_distances(spark):
     assert value(spark, geo.haversine(none, *a[1:])) is None
     assert value(spark, geo.ellipsoidal(none, *a[1:])) is None
     assert value(spark, geo.ellipsoidal(a[0], a[1], a[0], a[1])) == 0.0
+
+
+def test_a_long_text_has_the_trigrams_of_its_words_once(spark):
+    from listwright.functions import text
+
+    row = spark.range(1).select(F.repeat(F.lit("Show de rock, "), 500).alias("a"), F.lit("rock de show").alias("b"))
+    got = row.select(F.size(text.trigrams(F.col("a"), once=True)).alias("n"), text.similarity(F.col("a"), F.col("b")).alias("s")).first()
+    assert (got["n"], got["s"]) == (13, 1.0)
